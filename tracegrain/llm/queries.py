@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tracegrain.llm import bpe
+from tracegrain.llm import bpe, langid, secrets
 
 
 def queries() -> dict:
     return {
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op9_language_id": langid.op9_language_id,
     }
 
 
