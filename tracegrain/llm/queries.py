@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracegrain.llm import bpe, langid, secrets
+from tracegrain.llm import bpe, langid, ngramjoin, secrets
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_ngram_join": ngramjoin.op3_ngram_join,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_language_id": langid.op9_language_id,
     }
