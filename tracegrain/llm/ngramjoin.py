@@ -222,9 +222,9 @@ def _named(df: DataFrame, side: str) -> DataFrame:
 
 def _wanted(ids: DataFrame) -> bytes:
     """A bit for each place that an id falls on, MAP_BITS in all; a doc_id may share its place, so this only saves work."""
-    place = F.pmod("doc_id", F.lit(MAP_BITS))
+    place = F.pmod("doc_id", F.lit(MAP_BITS)) + 1  # these functions count buckets from 1, and so values
     rows = ids.filter("doc_id is not null").groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    bits = bytearray(MAP_BITS // 8 + 4096)
+    bits = bytearray(MAP_BITS // 8)
     for k, data in rows:
         bits[(k - 1) * 4096 : k * 4096] = data
     return bytes(bits)
