@@ -15,6 +15,7 @@ each (a null doc_id is neither learnt from nor held out). Other columns are left
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +43,7 @@ def _letters() -> np.ndarray:
 
 def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Letters with single spaces before, between and after words, for all rows of a slice; offsets of the rows."""
-    data, offsets = textvec.utf8(column)
-    points, at, _ = textvec.codepoints(data, offsets)
-    # every row gets a space before and after it, so that its words are bounded
-    letters = np.full(len(points) + 2 * (len(at) - 1), SPACE, np.int64)
-    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    letters[np.arange(len(points)) + 2 * rows + 1] = _letters()[points]
-    edge = at + 2 * np.arange(len(at))
-    keep = letters != SPACE
-    keep[1:] |= letters[:-1] != SPACE
-    keep[edge[:-1]] = True
-    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))
-    return letters[keep], upto[edge]
+    return textvec.folded(column, _letters())[:2]
 
 
 def grams(letters: np.ndarray, order: int) -> list[np.ndarray]:
@@ -146,7 +136,7 @@ def _predictor(known: dict[str, np.ndarray], order: int, profile: int):
         at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
         return int(np.where(codes[at] == own, np.abs(places[at] - np.arange(len(own))), profile).sum())
 
-    def run(columns):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             langs, scores = [], []
             for batch in textvec.slices([pa.RecordBatch.from_arrays([column], ["text"])], "text"):
@@ -166,7 +156,7 @@ def _predictor(known: dict[str, np.ndarray], order: int, profile: int):
 
 def identified(docs: DataFrame, known: dict[str, np.ndarray], order: int = 3, profile: int = 400, name: str = "language") -> DataFrame:
     """docs (with a text column) and a struct column of lang_pred and score (1 less the distance as a share of the largest)."""
-    return docs.withColumn(name, F.arrow_udf(_predictor(known, order, profile), "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER)("text"))
+    return docs.withColumn(name, F.arrow_udf(_predictor(known, order, profile), "lang_pred string, score double")("text"))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracegrain.llm import bpe, langid, ngramjoin, secrets
+from tracegrain.llm import bpe, decontam, langid, ngramjoin, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_ngram_join": ngramjoin.op3_ngram_join,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_decontaminate": decontam.op8_decontaminate,
         "op9_language_id": langid.op9_language_id,
     }
 

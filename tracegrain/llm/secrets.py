@@ -22,6 +22,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -211,7 +212,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 RESULT = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_layers bigint, n_unopened bigint"
 
 
-def _scan_arrays(batches):
+def _scan_arrays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in batches:
         rows = {name.split()[0]: [] for name in RESULT.split(", ")}
         for at in range(0, len(column), 64):
@@ -226,7 +227,7 @@ def _scan_arrays(batches):
 
 def found(docs: DataFrame, name: str = "secrets") -> DataFrame:
     """docs (with a text column) and a struct column of what the scan found in each row."""
-    return docs.withColumn(name, F.arrow_udf(_scan_arrays, RESULT, F.ArrowUDFType.SCALAR_ITER)("text"))
+    return docs.withColumn(name, F.arrow_udf(_scan_arrays, RESULT)("text"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -235,7 +236,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     A null text stays null. All other columns stay as they are.
     """
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             out = []
             for at in range(0, len(column), 64):
@@ -249,7 +250,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                     out.append("".join(parts) + text[done:] if spans else text)
             yield pa.array(out, pa.string())
 
-    return docs.withColumn("text", F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)("text"))
+    return docs.withColumn("text", F.arrow_udf(run, "string")("text"))
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:

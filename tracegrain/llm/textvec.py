@@ -133,3 +133,26 @@ def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.nda
         for j, salt in enumerate(_salts(n)):
             total += mix(hashes[j : len(hashes) - n + 1 + j] ^ salt) * salt
     return mix(total)[at], at
+
+
+def folded(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's code points through a table that maps what separates words to a space.
+
+    Runs of spaces become one, and each row begins and ends with one. Returns the values, the offsets of the rows, and
+    for each value the code point of its row that it came from.
+    """
+    data, offsets = utf8(column)
+    points, at, _ = codepoints(data, offsets)
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = np.arange(len(points)) + 2 * rows + 1
+    values = np.full(len(points) + 2 * (len(at) - 1), 0x20, table.dtype)
+    values[place] = table[points]
+    source = np.zeros(len(values), np.int64)
+    source[place] = np.arange(len(points)) - at[rows]
+    edge = at + 2 * np.arange(len(at))
+    source[edge[1:] - 1] = np.diff(at)
+    keep = values != 0x20
+    keep[1:] |= values[:-1] != 0x20
+    keep[edge[:-1]] = True
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))
+    return values[keep], upto[edge], source[keep]
