@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegrain.llm import textvec
+from tracegrain.llm import counting, textvec
 from tracegrain.llm.graph import components
 from tracegrain.llm.scratch import written
 
@@ -68,39 +68,16 @@ def _cells(n: int):
                 cells, times = np.unique((own % np.uint64(CELLS)).astype(np.int64), return_counts=True)
                 counts[cells] += times
         blocks = counts.reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_packed(blocks[i]) for i in used], pa.binary())], ["block", "counts"])
+        yield counting.batch({int(i): blocks[i] for i in np.flatnonzero(blocks.any(axis=1))})
 
     return run
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Little-endian counts of 1 to 8 bytes each, as few as the largest needs, after that width."""
-    for width, kind in ((1, np.uint8), (2, np.uint16), (4, np.uint32), (8, np.int64)):
-        if width == 8 or counts.max(initial=0) < 1 << (8 * width):
-            return bytes([width]) + counts.astype(kind).tobytes()
-    raise AssertionError
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[data[0]], offset=1).astype(np.int64)
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.int64)
-    for data in table.column("counts").to_pylist():
-        total += _unpacked(data)
-    return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "counts": pa.array([_packed(total)], pa.binary())})
-
-
 def document_counts(docs: DataFrame, n: int) -> np.ndarray:
     """Document counts of all n-grams by cell: CELLS numbers, whatever the corpus."""
-    parts = docs.select("text").mapInArrow(_cells(n), "block int, counts binary")
-    # two levels, so that a task never gets the block of more than a share of all tasks
-    once = parts.withColumn("part", F.spark_partition_id() % 32).groupBy("block", "part").applyInArrow(_summed, "block int, counts binary")
     counts = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
-    for block, data in once.groupBy("block").applyInArrow(_summed, "block int, counts binary").collect():
-        counts[block] = _unpacked(bytes(data))
+    for block, data in counting.summed(docs.select("text").mapInArrow(_cells(n), "block int, counts binary")).collect():
+        counts[block] = counting.unpacked(bytes(data))
     return counts.reshape(-1)
 
 

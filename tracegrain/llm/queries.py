@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tracegrain.llm import bpe, decontam, langid, ngramjoin, secrets
+from tracegrain.llm import bpe, decontam, langid, ngramjoin, preferences, resampling, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_importance_resampling": resampling.op1_importance_resampling,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_ngram_join": ngramjoin.op3_ngram_join,
+        "op5_preferences": preferences.op5_preferences,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_language_id": langid.op9_language_id,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_preferences": preferences.OP5_SQL}
