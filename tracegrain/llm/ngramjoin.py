@@ -33,7 +33,7 @@ from tracegrain.llm.scratch import written
 #: Cells of the table of document counts, and how many are summed in one row.
 CELLS, BLOCK = 1 << 20, 1 << 14
 #: Parts of the hash range whose counts the suffix filter compares.
-PARTS = 16
+PARTS = 64
 #: Bits of the map of wanted documents.
 MAP_BITS = 1 << 23
 
@@ -88,7 +88,7 @@ def _least_shared(size, percent: int):
 
 def _prefixes(n: int, percent: int, counts: pa.Buffer):
     """For mapInArrow: class, size, histogram and rare-first prefix of each document."""
-    fields = {"doc_id": pa.int64(), "node": pa.int64(), "size": pa.int64(), "parts": pa.list_(pa.int32()), "prefix": pa.list_(pa.int64())}
+    fields = {"doc_id": pa.int64(), "node": pa.int64(), "size": pa.int64(), "parts": pa.list_(pa.int16()), "prefix": pa.list_(pa.int64())}
 
     def run(batches):
         table = np.frombuffer(counts, np.int32)
@@ -99,7 +99,7 @@ def _prefixes(n: int, percent: int, counts: pa.Buffer):
                 size = len(own)
                 out["node"].append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), signed=True) if size else None)
                 out["size"].append(size)
-                out["parts"].append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                out["parts"].append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int16))
                 order = np.argsort(table[(own % np.uint64(CELLS)).astype(np.int64)], kind="stable")
                 out["prefix"].append(own[order[: size - _least_shared(size, percent) + 1 if size else 0]].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(v, kind) if isinstance(v, list) else v for v, kind in zip(out.values(), fields.values(), strict=True)], list(fields))
@@ -138,15 +138,13 @@ class _Join:
         self.n, self.percent = n, percent
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         counts = np.minimum(document_counts(self.docs, n), (1 << 31) - 1).astype(np.int32)
-        self.table = written(self.docs.mapInArrow(_prefixes(n, percent, counts.tobytes()), "doc_id bigint, node bigint, size bigint, parts array<int>, prefix array<bigint>"), "prefixes")
+        self.table = written(self.docs.mapInArrow(_prefixes(n, percent, counts.tobytes()), "doc_id bigint, node bigint, size bigint, parts array<smallint>, prefix array<bigint>"), "prefixes")
         # equal sets have equal prefixes, so any row stands for its class
         self.classes = self.table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def shared(self) -> DataFrame:
         """Postings of prefix n-grams that more than one class has: gram, node, size, place."""
-        rows = self.table.filter("node is not null").join(self.classes.filter("doc_id is not null"), ["node", "doc_id"], "left_semi")
-        rows = rows.unionByName(self.table.filter("node is not null").join(self.classes.filter("doc_id is null"), "node", "left_semi"))
-        rows = rows.select("node", "size", F.posexplode("prefix").alias("place", "gram"))
+        rows = self.table.select("node", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("place", "gram"))
         common = rows.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("gram")
         return written(rows.join(common, "gram", "left_semi").distinct(), "postings")
 
@@ -156,10 +154,17 @@ class _Join:
         bound = F.least("place_a", "place_b") + 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
         return (least * 100 >= most * self.percent) & (bound >= _needed(self.percent))
 
-    def _pairs(self, left: DataFrame, right: DataFrame, differ: Column) -> DataFrame:
-        """Pairs of classes on shared prefix n-grams that pass the filters, each once."""
+    def _pairs(self, left: DataFrame, right: DataFrame, differ: Column, every: bool) -> DataFrame:
+        """Pairs of classes on shared prefix n-grams that pass the filters, each once.
+
+        every: left and right hold every prefix n-gram that a pair may share. Of the two, let x be the one whose prefix
+        ends first in the order; what x's prefix shares with the other set is then in both prefixes, so all that they
+        share is at most those n-grams and what x has behind its prefix.
+        """
         joined = left.join(right, "gram").filter(differ & self._fits())
-        return joined.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+        found = joined.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count("*").alias("common"))
+        behind = lambda side: F.ceil(F.col(f"size_{side}") * self.percent / 100 - 1e-9) - 1
+        return (found.filter(F.col("common") + F.greatest(behind("a"), behind("b")) >= _needed(self.percent)) if every else found).drop("common")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole sets reach the similarity. Each pair is checked once."""
@@ -172,23 +177,23 @@ class _Join:
         pairs = written(pairs.filter(F.col("size_a") + F.col("size_b") - apart >= 2 * _needed(self.percent)).select("a", "b"), "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = self.classes.join(ends, "node").select("doc_id")
-        sets = self.docs.mapInArrow(_whole_sets(self.n, _wanted(ids)), "node bigint, grams array<bigint>").join(ends, "node", "left_semi").dropDuplicates(["node"])
-        sets = written(sets, "sets")
+        sets = self.docs.mapInArrow(_whole_sets(self.n, _wanted(ids)), "node bigint, grams array<bigint>")
+        sets = written(sets, "sets")  # a few more than the wanted ones, where places in the map are shared
         both = pairs.join(_named(sets, "a"), "a").join(_named(sets, "b"), "b")
         shared = F.size(F.array_intersect("grams_a", "grams_b"))
-        return both.filter(shared * (100 + self.percent) >= (F.size("grams_a") + F.size("grams_b")) * self.percent).select("a", "b")
+        return both.filter(shared * (100 + self.percent) >= (F.size("grams_a") + F.size("grams_b")) * self.percent).select("a", "b").distinct()
 
     def components(self) -> DataFrame:
         """node, component of every class that is linked with another."""
         rows = self.shared()
         side = lambda s, df: df.select("gram", F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("place").alias(f"place_{s}"), *([F.col("component").alias(f"component_{s}")] if "component" in df.columns else []))
         leaders = rows.groupBy("gram").agg(F.min(F.struct("size", "node", "place")).alias("x")).select("gram", "x.*")
-        first = written(self.verified(self._pairs(side("a", leaders), side("b", rows), F.col("a") != F.col("b"))), "links")
+        first = written(self.verified(self._pairs(side("a", leaders), side("b", rows), F.col("a") != F.col("b"), False)), "links")
         known = written(components(first.toDF("u", "v")), "components")
         labelled = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = labelled.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("gram")
         left = written(labelled.join(mixed, "gram", "left_semi"), "postings")
-        second = self.verified(self._pairs(side("a", left), side("b", left), (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))))
+        second = self.verified(self._pairs(side("a", left), side("b", left), (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")), True))
         second = written(second, "links")
         return components(first.unionByName(second).toDF("u", "v")) if not second.isEmpty() else known
 
