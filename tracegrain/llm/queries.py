@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracegrain.llm import bpe, decontam, langid, ngramjoin, preferences, resampling, secrets
+from tracegrain.llm import annperm, bpe, decontam, langid, ngramjoin, preferences, resampling, secrets, toxicity
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_importance_resampling": resampling.op1_importance_resampling,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_ngram_join": ngramjoin.op3_ngram_join,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_preferences": preferences.op5_preferences,
+        "op6_permutation_index": annperm.op6_permutation_index,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_language_id": langid.op9_language_id,
