@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracegrain.llm import annperm, bpe, decontam, langid, ngramjoin, preferences, resampling, secrets, toxicity
+from tracegrain.llm import annperm, bpe, decontam, fmdedup, langid, ngramjoin, preferences, resampling, secrets, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_language_id": langid.op9_language_id,
+        "op10_substring_dedup": fmdedup.op10_substring_dedup,
     }
 
 
