@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
-#: Rows of a block that one task sums at first are at most a PARTS-th of all tasks' rows.
-PARTS = 32
+#: Rows of a block that one task sums at a time, on the first two levels.
+TOGETHER = 64
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -28,13 +28,18 @@ def _summed(table: pa.Table) -> pa.Table:
     for data in table.column("counts"):
         own = unpacked(data.as_py())
         total = own if total is None else total + own
-    return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "counts": pa.array([packed(total)], pa.binary())})
+    return pa.table([table.column("block")[:1].cast(pa.int32()), table.column("part")[:1].cast(pa.int32()), pa.array([packed(total)], pa.binary())], ["block", "part", "counts"])
 
 
 def summed(parts: DataFrame) -> DataFrame:
-    """parts (block int, counts binary) to one row for each block. Two levels, so no task meets all rows of a block."""
-    once = parts.withColumn("part", F.spark_partition_id() % PARTS).groupBy("block", "part").applyInArrow(_summed, "block int, counts binary")
-    return once.groupBy("block").applyInArrow(_summed, "block int, counts binary")
+    """parts (block int, counts binary) to one row for each block.
+
+    Three levels: 64 tasks' rows of a block, 64 of those sums, and the rest, so no task meets all rows of a block.
+    """
+    rows = parts.withColumn("part", F.spark_partition_id())
+    for _ in range(2):
+        rows = rows.withColumn("part", F.floor(F.col("part") / TOGETHER).cast("int")).groupBy("block", "part").applyInArrow(_summed, "block int, part int, counts binary")
+    return rows.groupBy("block").applyInArrow(_summed, "block int, part int, counts binary").select("block", "counts")
 
 
 def batch(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:

@@ -6,9 +6,9 @@ share its cell, so an order always exists and only its sharpness depends on the
 similarity share an n-gram within their prefixes; classes are joined on those, cut down by the length, positional and
 suffix filters, and each remaining pair is verified once, on whole sets.
 
-Large groups of near copies are not expanded into all pairs: a first round pairs the classes that share a prefix n-gram
-with one leader only; a second round pairs what shares a prefix n-gram but is not connected yet. Every link between
-classes of different components would be found in the second round, so components are exact.
+Large groups of near copies are not expanded into all pairs: rounds pair the classes that share a prefix n-gram with a
+few leaders only, until not many pairs of unconnected classes are left; the last round pairs all of those. Every link
+between classes of different components would be found in the last round, so components are exact.
 
 Edge cases: a document without words or text has no n-grams and no links. With fewer words than n, the whole sequence is
 its one n-gram. A null doc_id takes part but is never a component's id unless all of it are null. Rows that repeat a
@@ -31,7 +31,10 @@ from tracegrain.llm.graph import components
 from tracegrain.llm.scratch import written
 
 #: Cells of the table of document counts, and how many are summed in one row.
-CELLS, BLOCK = 1 << 20, 1 << 14
+CELLS, BLOCK = 1 << 22, 1 << 16
+#: Rounds of pairing with leaders at most, leaders of an n-gram in a round, and how many pairs for each posting may be
+#: left for the last round without another one.
+ROUNDS, LEADERS, FEW = 6, 2, 4
 #: Parts of the hash range whose counts the suffix filter compares.
 PARTS = 64
 #: Bits of the map of wanted documents.
@@ -186,16 +189,43 @@ class _Join:
     def components(self) -> DataFrame:
         """node, component of every class that is linked with another."""
         rows = self.shared()
-        side = lambda s, df: df.select("gram", F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("place").alias(f"place_{s}"), *([F.col("component").alias(f"component_{s}")] if "component" in df.columns else []))
-        leaders = rows.groupBy("gram").agg(F.min(F.struct("size", "node", "place")).alias("x")).select("gram", "x.*")
-        first = written(self.verified(self._pairs(side("a", leaders), side("b", rows), F.col("a") != F.col("b"), False)), "links")
-        known = written(components(first.toDF("u", "v")), "components")
-        labelled = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("gram")
-        left = written(labelled.join(mixed, "gram", "left_semi"), "postings")
-        second = self.verified(self._pairs(side("a", left), side("b", left), (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")), True))
+        few = FEW * rows.count()
+        links, known = None, None
+        left = rows.withColumn("component", F.col("node"))
+        for r in range(ROUNDS):
+            new = written(self.verified(self._led(left, r)), "links")
+            links = new if links is None else links.unionByName(new)
+            known = written(components(links.toDF("u", "v")), "components")
+            labelled = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            sizes = labelled.groupBy("gram", "component").agg(F.count("*").alias("n")).groupBy("gram").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+            mixed = written(sizes.filter("k > 1"), "mixed")
+            left = written(labelled.join(mixed.select("gram"), "gram", "left_semi"), "postings")
+            apart = mixed.agg(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).first()[0] or 0
+            if apart <= few or new.isEmpty():
+                break
+        second = self.verified(self._pairs(_sided(left, "a"), _sided(left, "b"), (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")), True))
         second = written(second, "links")
-        return components(first.unionByName(second).toDF("u", "v")) if not second.isEmpty() else known
+        return components(links.unionByName(second).toDF("u", "v")) if not second.isEmpty() else known
+
+    def _led(self, postings: DataFrame, r: int) -> DataFrame:
+        """Pairs of classes with the leaders of their n-grams, out of another component.
+
+        A leader is the least of an n-gram's classes by a hash of the class and the round, so n-grams of much the same
+        classes have the same leaders.
+        """
+        leaders = None
+        for seed in range(r * LEADERS, (r + 1) * LEADERS):
+            least = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "size", "place", "component"))
+            own = postings.groupBy("gram").agg(least.alias("x")).select("gram", "x.node", "x.size", "x.place", "x.component")
+            leaders = own if leaders is None else leaders.unionByName(own)
+        apart = F.col("component_a") != F.col("component_b")
+        found = self._pairs(_sided(leaders, "a"), _sided(postings, "b"), apart, False)
+        turned = F.col("a") > F.col("b")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"), F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b")).dropDuplicates(["a", "b"])
+
+
+def _sided(postings: DataFrame, side: str) -> DataFrame:
+    return postings.select("gram", F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("size", "place", "component")))
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:
