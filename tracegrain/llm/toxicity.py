@@ -281,8 +281,21 @@ def _rising(good: np.ndarray, all_: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(m), g / n if n else 0.0) for g, n, m in pools])
 
 
-def trained(docs: DataFrame, labels: DataFrame, train_rows: int = 100_000, candidates: int = 65_536, least_z: float = 5.0) -> Model:
-    """docs (doc_id, text), labels (doc_id, toxic: the rows to learn from)."""
+def _root_ratio(with_: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """Root of the likelihood ratio of each word's documents by label against one share for both: about a normal deviate."""
+    share = with_.sum(axis=0) / all_.sum()
+    total = np.zeros(with_.shape[1])
+    for label in (0, 1):
+        for seen, expected in ((with_[label], all_[label] * share), (all_[label] - with_[label], all_[label] * (1 - share))):
+            total += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
+    return np.sqrt(np.maximum(total, 0))
+
+
+def trained(docs: DataFrame, labels: DataFrame, train_rows: int = 100_000, candidates: int = 65_536, least_z: float = 5.0, least_odds: float = 0.7) -> Model:
+    """docs (doc_id, text), labels (doc_id, toxic: the rows to learn from).
+
+    A word tells if its log odds are at least least_odds and its share differs between the labels by least_z deviations.
+    """
     characters = character_model(docs).tobytes()
     rows = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
     known = _Labels([tuple(r) for r in rows])
@@ -294,7 +307,7 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = 100_000, candi
     counts = _both(docs.mapInArrow(_word_counts(known, characters, words), "block int, counts binary"), len(words) + 1)
     with_, all_ = counts[:, :-1] + 0.5, counts[:, -1:] + 1.0
     odds = np.log(with_[1] / all_[1]) - np.log(with_[0] / all_[0])
-    telling = odds / np.sqrt(1 / with_[1] + 1 / with_[0]) >= least_z
+    telling = (odds >= least_odds) & (_root_ratio(counts[:, :-1], counts[:, -1:]) >= least_z)
     model = Model(characters, words[telling], odds[telling], np.zeros(BINS))
     counts = _both(docs.mapInArrow(_bin_counts(known, model), "block int, counts binary"), BINS)
     model.chances = _rising(counts[1], counts.sum(axis=0))
