@@ -84,8 +84,12 @@ class Probes:
     cells: np.ndarray
 
 
-def probes(rows: list[tuple], q: int, probe: int, rate: float) -> Probes | None:
-    """Probes of (item_id, text) rows."""
+#: Probes that need fewer shared q-grams than this are searched by themselves, lest they let everything through.
+FEW = 20
+
+
+def probes(rows: list[tuple], q: int, probe: int, rate: float) -> list[Probes]:
+    """Probes of (item_id, text) rows, in groups of much the same bound."""
     values, at, _ = textvec.folded(pa.array([t for _, t in rows], pa.string()), _characters())
     texts, item = [], []
     for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
@@ -98,16 +102,22 @@ def probes(rows: list[tuple], q: int, probe: int, rate: float) -> Probes | None:
         texts += [own[s : s + probe] for s in starts]
         item += [i] * len(starts)
     if not texts:
-        return None
+        return []
     sizes = np.array([len(t) for t in texts])
     budget = np.minimum((sizes * rate).astype(np.int64), np.maximum((sizes + 1) // q - 2, 0))
+    low = sizes + 1 - (budget + 1) * q < FEW
+    return [_indexed([i for i, _ in rows], np.array(item)[g], [texts[i] for i in np.flatnonzero(g)], budget[g], q) for g in (low, ~low) if g.any()]
+
+
+def _indexed(items: list, item: np.ndarray, texts: list, budget: np.ndarray, q: int) -> Probes:
+    sizes = np.array([len(t) for t in texts])
     grams = [qgrams(t, q) for t in texts]
     code, own, offset = np.concatenate(grams), np.repeat(np.arange(len(texts)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])
     order = np.argsort(code, kind="stable")
     codes, first = np.unique(code[order], return_index=True)
     cells = np.zeros(1 << CELL_BITS, bool)
     cells[(codes >> np.uint64(64 - CELL_BITS)).astype(np.int64)] = True
-    return Probes([i for i, _ in rows], np.array(item), texts, budget, sizes + 1 - (budget + 1) * q, codes, np.append(first, len(code)), own[order], offset[order], cells)
+    return Probes(items, item, texts, budget, sizes + 1 - (budget + 1) * q, codes, np.append(first, len(code)), own[order], offset[order], cells)
 
 
 def aligned(pattern: np.ndarray, text: np.ndarray, anchored: int | None = None) -> np.ndarray:
@@ -127,18 +137,22 @@ def aligned(pattern: np.ndarray, text: np.ndarray, anchored: int | None = None)
     return cost
 
 
-def _matches(known: Probes, q: int, values: np.ndarray, at: np.ndarray, source: np.ndarray):
-    """(row, probe, edits, first code point, code point after the last) of all verified bands of a slice."""
-    code = qgrams(values, q)
+def _matches(known: Probes, code: np.ndarray, values: np.ndarray, at: np.ndarray, source: np.ndarray):
+    """(row, probe, edits, first code point, code point after the last) of all verified bands of a slice. code: its q-grams."""
     hit = known.cells[(code >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
     if not hit.any():
         return
-    # a band needs `bound` hits within probe + budget places: leave out hits with fewer around them
+    # a band needs `bound` hits within probe + budget places: leave out hits that no such stretch holds
     span = int((np.array([len(t) for t in known.texts]) + known.budget).max())
-    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(hit)))
-    places = np.flatnonzero(hit)
-    around = upto[np.minimum(places + span, len(hit))] - upto[np.maximum(places - span, 0)]
-    places = places[around >= max(1, int(known.bound.min()))]
+    upto = np.concatenate((np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)))
+    full = np.flatnonzero(upto[np.minimum(np.arange(len(hit)) + span, len(hit))] - upto[:-1] >= max(1, int(known.bound.min())))
+    if not len(full):
+        return
+    inside = np.zeros(len(hit) + 1, np.int32)
+    new = np.flatnonzero(np.append(True, full[1:] > full[:-1] + 1))
+    np.add.at(inside, full[new], 1)
+    np.add.at(inside, np.minimum(full[np.append(new[1:], len(full)) - 1] + span, len(hit)), -1)
+    places = np.flatnonzero(hit & (np.cumsum(inside[:-1]) > 0))
     found = np.minimum(np.searchsorted(known.codes, code[places]), len(known.codes) - 1)
     places, found = places[known.codes[found] == code[places]], found[known.codes[found] == code[places]]
     if not len(places):
@@ -151,14 +165,15 @@ def _matches(known: Probes, q: int, values: np.ndarray, at: np.ndarray, source:
     step = known.budget[probe] + 1
     for shift in (0, 1):  # bands of two steps, each overlapping the next by one
         band = (diagonal // step + shift) // 2
-        keys = np.stack((row, probe, band))
-        order = np.lexsort(keys[::-1])
-        keys = keys[:, order]
-        new = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
-        count = np.diff(np.append(new, keys.shape[1]))
-        good = new[count >= known.bound[keys[1, new]]]
-        if len(good):
-            r, p, b = keys[:, good]
+        width = int(band.max()) + 1
+        keys = np.sort((row * len(known.texts) + probe) * width + band)
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        count = np.diff(np.append(new, len(keys)))
+        first = keys[new]
+        good = count >= known.bound[first // width % len(known.texts)]
+        if good.any():
+            p, b = first[good] // width % len(known.texts), first[good] % width
+            r = first[good] // width // len(known.texts)
             yield from _verified(known, values, at, source, r, p, at[r] - span + (2 * b - shift) * (known.budget[p] + 1))
 
 
@@ -177,28 +192,33 @@ def _verified(known: Probes, values, at, source, rows, probe, low):
             cost = aligned(pattern, text)
             stop = cost.argmin(axis=1)
             edits = cost[np.arange(len(some)), stop]
-            for j in np.flatnonzero(edits <= k):
-                end = int(start[j] + size + stop[j])
-                # backwards from the end, to find where it begins
-                back = np.arange(end - 1 + k, end - 1 - size - k, -1)
-                ok = (back >= at[rows[some[j]]]) & (back < end)
-                reverse = aligned(pattern[j : j + 1, ::-1], np.where(ok, values[np.clip(back, 0, len(values) - 1)], np.uint64(0))[None], k)[0]
-                begin = max(int(at[rows[some[j]]]), end - size - int(reverse.argmin()) + k)
-                yield int(rows[some[j]]), int(probe[some[j]]), int(edits[j]), int(source[begin]), int(source[min(end, int(at[rows[some[j]] + 1])) - 1]) + 1
-
-
-def _search(known: Probes, q: int):
+            good = np.flatnonzero(edits <= k)
+            if not len(good):
+                continue
+            # backwards from the ends, to find where they begin
+            row, end = rows[some[good]], start[good] + size + stop[good]
+            back = end[:, None] - 1 + k - np.arange(size + 2 * k)
+            ok = (back >= at[row, None]) & (back < end[:, None]) & (back < at[row + 1, None])
+            reverse = aligned(pattern[good, ::-1], np.where(ok, values[np.clip(back, 0, len(values) - 1)], np.uint64(0)), k)
+            begin = np.maximum(at[row], end - size - reverse.argmin(axis=1) + k)
+            last = np.minimum(end, at[row + 1]) - 1
+            yield from zip(row.tolist(), probe[some[good]].tolist(), edits[good].tolist(), source[begin].tolist(), (source[last] + 1).tolist(), strict=True)
+
+
+def _search(groups: list[Probes], q: int):
     """For mapInArrow: a row for each document and item that match."""
     names = ["doc_id", "item_id", "probes", "matched", "edits", "spans"]
 
     def run(batches):
-        total = np.bincount(known.item, minlength=len(known.items))
+        total = sum(np.bincount(known.item, minlength=len(known.items)) for known in groups)
         for batch in textvec.slices(batches, "text"):
             values, at, source = textvec.folded(batch.column("text"), _characters())
             best: dict[tuple, dict] = {}
-            for row, probe, edits, start, end in _matches(known, q, values, at, source):
-                of = best.setdefault((row, int(known.item[probe])), {})
-                of.setdefault(probe, []).append((edits, start, end))
+            code = qgrams(values, q)
+            for g, known in enumerate(groups):
+                for row, probe, edits, start, end in _matches(known, code, values, at, source):
+                    of = best.setdefault((row, int(known.item[probe])), {})
+                    of.setdefault((g, probe), []).append((edits, start, end))
             ids = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
             for (row, item), of in sorted(best.items()):
@@ -208,7 +228,7 @@ def _search(known: Probes, q: int):
                         spans[-1][1] = max(spans[-1][1], end)
                     else:
                         spans.append([start, end])
-                out.append((ids[row], known.items[item], int(total[item]), len(of), sum(min(x)[0] for x in of.values()), ",".join(f"{a}:{b}" for a, b in spans)))
+                out.append((ids[row], groups[0].items[item], int(total[item]), len(of), sum(min(x)[0] for x in of.values()), ",".join(f"{a}:{b}" for a, b in spans)))
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if name == "spans" else pa.int64()) for name, c in zip(names, columns, strict=True)], names)
 
