@@ -301,7 +301,7 @@ def seq_ngrams(spark, d):
     return sequences.ngrams(table(spark, d, "events"), ["user_id"], ["event_id"], "event_type")
 
 
-@query("SELECT p_brand, string_agg(DISTINCT CASE WHEN p_size BETWEEN 8 AND 18 THEN CAST(p_size AS VARCHAR) END, ',' ORDER BY CASE WHEN p_size BETWEEN 8 AND 18 THEN CAST(p_size AS VARCHAR) END) AS normal_sizes, count(*) FILTER (p_size NOT BETWEEN 8 AND 18) AS abnormal FROM part GROUP BY 1")
+@query("SELECT p_brand, coalesce(string_agg(DISTINCT CASE WHEN p_size BETWEEN 8 AND 18 THEN CAST(p_size AS VARCHAR) END, ',' ORDER BY CASE WHEN p_size BETWEEN 8 AND 18 THEN CAST(p_size AS VARCHAR) END), '') AS normal_sizes, count(*) FILTER (p_size NOT BETWEEN 8 AND 18) AS abnormal FROM part GROUP BY 1")
 def freq_sets(spark, d):
     normal = F.col("p_size").between(8, 18)
     return table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set(F.when(normal, F.col("p_size").cast("string")))), ",").alias("normal_sizes"), F.count_if(~normal).alias("abnormal"))
