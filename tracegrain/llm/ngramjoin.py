@@ -190,7 +190,7 @@ class _Join:
         """node, component of every class that is linked with another."""
         rows = self.shared()
         few = FEW * rows.count()
-        links, known = None, None
+        links, known, before = None, None, None
         left = rows.withColumn("component", F.col("node"))
         for r in range(ROUNDS):
             new = written(self.verified(self._led(left, r)), "links")
@@ -201,8 +201,10 @@ class _Join:
             mixed = written(sizes.filter("k > 1"), "mixed")
             left = written(labelled.join(mixed.select("gram"), "gram", "left_semi"), "postings")
             apart = mixed.agg(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).first()[0] or 0
-            if apart <= few or new.isEmpty():
+            # leaders help no more where most pairs of a group are not similar themselves
+            if apart <= few or new.isEmpty() or before is not None and apart > 0.7 * before:
                 break
+            before = apart
         second = self.verified(self._pairs(_sided(left, "a"), _sided(left, "b"), (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")), True))
         second = written(second, "links")
         return components(links.unionByName(second).toDF("u", "v")) if not second.isEmpty() else known
