@@ -96,6 +96,18 @@ def test_secret_query(spark, corpus):
     assert secrets.found(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ways", [("base64",), ("gzip",), ("base64", "url"), ("url", "base64"), ("base64", "base64"), ("base64", "unicode")])
+def test_secret_at_two_places(spark, ways):
+    token = hidden('token = "abcdefghijklmnop"', *ways)
+    text = f"first {token} then {token} end, {token}"
+    spans = [s for s in secrets.scan(text)[1] if s[1] == 0]
+    assert len(spans) == 3 and all(sum(a <= s[0] and s[2] <= a + len(token) for s in spans) == 1 for a in (6, 12 + len(token), 18 + 2 * len(token)))
+    docs = table(spark, [text, "", "", ""])
+    assert secrets.found(docs).filter("doc_id = 0").first().secrets.spans.count("assign") == 3
+    kept = secrets.redacted(docs).filter("doc_id = 0").first().text
+    assert kept.count("[assign]") == 3 and token not in kept
+
+
 def shingles(text, n):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if len(words) >= n else frozenset([tuple(words)] if words else [])

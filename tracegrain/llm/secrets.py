@@ -2,8 +2,10 @@
 
 Each text is the first entry of a worklist. A layer is scanned for secrets, then unwrapped in every way that applies:
 percent escapes, Unicode escapes, base64 tokens, and compressed bytes inside those. What comes out is a new layer
-unless its content was seen before (cycle detection); the list runs dry at the fixpoint. Each layer knows which part of
-its parent every character came from, so spans map back, layer by layer, to code points of the text.
+unless the same content came from the same span of the text before (cycle detection); the list runs dry at the fixpoint.
+A content is searched and unwrapped once, wherever it stands, and its spans are mapped for every place; of places within
+each other (a token with and without its escaped end) the outermost counts. Each layer knows which part of its parent
+every character came from, so spans map back, layer by layer, to code points of the text.
 
 A span inside base64 or compressed data maps to the whole encoded token; one across escapes to all of their characters.
 
@@ -175,34 +177,47 @@ def children(layer: Layer, runs: list[re.Match], room: int) -> tuple[list[Layer]
     return [x for x in found if x is not None], unopened
 
 
+def _mark(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def scan(text: str, expansion: int = 1 << 24) -> tuple[list, list, int, int]:
-    """Base spans and all spans, as sorted (start, kind, end); layers unwrapped; layers left unopened."""
-    base, spans, seen, layers, unopened = [], set(), set(), -1, 0
-    work = [Layer(text)]
+    """Base spans and all spans, as sorted (start, kind, end); distinct layers unwrapped; layers left unopened."""
+    runs = list(RUN.finditer(text))
+    base = sorted(base_spans(text, runs))
+    if not (runs or "%" in text or "\\" in text):
+        return base, base, 0, 0
+    below, unopened = children(Layer(text), runs, expansion)
+    if not below:
+        return base, base, 0, unopened
+    places: dict[tuple, set] = {}  # of each secret of a content: where it came from
+    seen = set()
+    known = {_mark(text): (base, below)}  # of each content: its spans, and the layers below
+    work = list(below)
     while work:
         layer = work.pop()
-        mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() if work or layers >= 0 else b""
-        if mark in seen:
+        mark, place = _mark(layer.text), layer.source(0, len(layer.text))
+        if (mark, place) in seen:
             continue
-        seen.add(mark)
-        layers += 1
-        runs = list(RUN.finditer(layer.text))
-        found = base_spans(layer.text, runs)
-        if layer.parent is None:
-            base = sorted(found)
-            spans.update(base)
-        else:
+        seen.add((mark, place))
+        if mark not in known:
             expansion -= len(layer.text)
-            for start, kind, end in found:
-                a, b = layer.source(start, end)
-                spans.add((a, kind, b))
-        if runs or "%" in layer.text or "\\" in layer.text:
-            below, left = children(layer, runs, max(0, expansion))
-            if below and layer.parent is None:
-                seen.add(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            work += below
+            runs = list(RUN.finditer(layer.text))
+            below, left = children(layer, runs, max(0, expansion)) if runs or "%" in layer.text or "\\" in layer.text else ([], 0)
+            known[mark] = base_spans(layer.text, runs), below
             unopened += left
-    return base, sorted(spans), layers, unopened
+        found, below = known[mark]
+        for start, kind, end in found:
+            places.setdefault((mark, start, kind, end), set()).add(layer.source(start, end))
+        work += [Layer(x.text, layer, x.pieces) for x in below]
+    spans = set(base)
+    for (_, _, kind, _), of in places.items():
+        stop = -1
+        for a, b in sorted(of, key=lambda x: (x[0], -x[1])):
+            if b > stop:
+                spans.add((a, kind, b))
+                stop = b
+    return base, sorted(spans), len(known) - 1, unopened
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
