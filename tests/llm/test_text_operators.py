@@ -108,6 +108,39 @@ def test_secret_at_two_places(spark, ways):
     assert kept.count("[assign]") == 3 and token not in kept
 
 
+def kinds_in(text, data, **options):
+    """Kinds of the spans that are the base64 of data within text."""
+    token = base64.b64encode(data).decode()
+    return [k for a, k, b in secrets.scan(text.format(token), **options)[1] if text.format(token)[a:b] == token]
+
+
+SECRET = 'token = "abcdefghijklmnop"'
+
+
+@pytest.mark.parametrize("data", [b"\xff\x00\x9b " + SECRET.encode(), ("\ufeff" + SECRET).encode(), (SECRET + "\u200b").encode(), ("\x1b[1m" + SECRET).encode(), SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), b"z" + SECRET.encode("utf-16-le"), gzip.compress(b"a") + gzip.compress(SECRET.encode()), gzip.compress(gzip.compress(SECRET.encode("utf-16")))])
+def test_secrets_in_bytes_that_are_not_clean_text(data):
+    assert kinds_in("see {} end", data) == [0]
+    assert len([s for s in secrets.scan("see " + "".join(f"%{b:02x}" for b in data) + " end")[1] if s[1] == 0]) == 1
+    assert len([s for s in secrets.scan("see " + "".join(f"\\x{b:02x}" for b in data) + " end")[1] if s[1] == 0]) == 1
+
+
+def test_secrets_in_streams_past_the_room():
+    rng = random.Random(3)
+    filler = syllables(rng, 400_000).encode()  # some MB
+    assert len(filler) > 2 << 20
+    for at in (0, (1 << 20) - 10, len(filler)):
+        assert kinds_in("see {} end", gzip.compress(filler[:at] + b" " + SECRET.encode() + b" " + filler[at:]), expansion=1000) == [0]
+    inner = base64.b64encode(b"x" * 100_000 + SECRET.encode())  # a token across the windows' bounds, longer than they share
+    assert kinds_in("see {} end", gzip.compress(gzip.compress(filler[:1_000_000] + b" " + inner + b" " + filler)), expansion=1000) == [0]
+    assert kinds_in("see {} end", gzip.compress(filler), expansion=1000) == []
+    # one large stream does not hide the other escapes of its document
+    large, other = ("".join(f"%{b:02x}" for b in x) for x in (gzip.compress(bytes(100_000)), SECRET.encode()))
+    assert [(a, k) for a, k, _ in secrets.scan(f"{large} {other}", expansion=1000)[1]] == [(len(large) + 1, 0)]
+    # long texts with escapes leave the room to the streams
+    text = "plain words " * 1000 + "%41 \\u0041 " + hidden(SECRET, "gzip")
+    assert any(k == 0 for _, k, _ in secrets.scan(text, expansion=2000)[1]) and secrets.scan(text, expansion=2000)[3] == 0
+
+
 def shingles(text, n):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if len(words) >= n else frozenset([tuple(words)] if words else [])

@@ -9,9 +9,15 @@ every character came from, so spans map back, layer by layer, to code points of
 
 A span inside base64 or compressed data maps to the whole encoded token; one across escapes to all of their characters.
 
+Bytes are read as UTF-8, or as latin-1 where they are not that; bytes with a NUL also as UTF-16 of either byte order, from
+their first and from their second byte. Bytes that do not look like text make a layer only if something can be found there.
+
+A text's compressed streams may unpack to `expansion` bytes together. One that goes past what is left of them is unpacked
+and scanned in windows of 1 MB, each of which begins at least 64 KB, and at most a token, before the last one's end.
+
 Edge cases: a null text counts as empty: no spans, digest of the empty string. Repeated rows and null ids give one
-result row each. Layers that would grow a text by more than `expansion` characters are left unopened and counted in
-n_unopened; every other layer is scanned whole. Other columns are ignored, whatever their names.
+result row each. n_unopened counts what was not scanned whole: such streams within each other more than `DEEP` times, and
+windows of 16 MB cut within a token. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ import binascii
 import bisect
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +46,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-LINES = re.compile(r"(?:[A-Za-z0-9+/]{40,}\r?\n)+[A-Za-z0-9+/]+={0,2}")
+LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n)+[A-Za-z0-9+/]+={0,2}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)")
 
@@ -76,22 +83,154 @@ class Layer:
         return start, end
 
 
-def opened(data: bytes, room: int) -> str | None:
-    """Text of decoded bytes, decompressed if they are a compressed stream; None if they are neither. Raises OverflowError past room."""
-    for magic, tool in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor), (b"x", zlib.decompressobj)):
+MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor), (b"x", zlib.decompressobj))
+BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
+#: Bytes of a window over a large stream at first and at most, that it shares with the next, and that are unpacked at once.
+WINDOW, MOST, SHARED, CHUNK = 1 << 20, 1 << 24, 1 << 16, 1 << 18
+DEEP = 8
+TOKEN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\{}\r\n"
+
+
+class Room:
+    """Bytes that a text's streams may still unpack to, what its large streams hold, and layers and gaps within those."""
+
+    def __init__(self, expansion: int, depth: int = 0, streams: dict | None = None):
+        self.expansion, self.left, self.depth, self.streams = expansion, expansion, depth, {} if streams is None else streams
+        self.layers = self.unopened = 0
+
+
+def _packed(data: bytes):
+    """The decompressor for bytes that begin with a compressed stream, or None."""
+    for magic, tool in MAGIC:
         if data.startswith(magic) and (magic != b"x" or len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0):
             try:
-                unpacked = tool().decompress(data, room + 1)
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                continue
-            if len(unpacked) > room:
-                raise OverflowError
-            return opened(unpacked, room) or unpacked.decode("latin-1")
+                tool().decompress(data[:4096], 1)
+            except BROKEN:
+                return None
+            return tool
+    return None
+
+
+def _unpacked(source: Iterable[bytes]) -> Iterator[bytes]:
+    """What the streams in the bytes unpack to, one after another; bytes that are no stream, or a broken one's rest, as they are."""
+    tool, data = None, b""
+    for more in source:
+        data += more
+        out = b""
+        while data or tool is not None and (not getattr(tool, "needs_input", True) or len(out) == CHUNK):
+            if tool is None:
+                if (make := _packed(data)) is None:
+                    yield data
+                    data = b""
+                    break
+                tool = make()
+            try:
+                out = tool.decompress(data, CHUNK)
+            except BROKEN:
+                yield data
+                tool, data = None, b""
+                break
+            if out:
+                yield out
+            if tool.eof:
+                tool, data, out = None, tool.unused_data, b""
+            else:
+                data = getattr(tool, "unconsumed_tail", b"")
+
+
+def readings(data: bytes) -> list[str]:
+    """The bytes as text, and as UTF-16 if they may be that."""
     try:
-        text = data.decode("utf-8")
+        texts = [data.decode("utf-8")]
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        texts = [data.decode("latin-1")]
+    if b"\0" in data:
+        texts += [data[at:].decode(code, "replace") for at in (0, 1) for code in ("utf-16-le", "utf-16-be")]
+    return texts
+
+
+def opened(data: bytes, room: Room) -> tuple[list[str], bool]:
+    """Readings of decoded bytes, unpacked if they are a stream, and whether they are one or look like text.
+
+    Raises OverflowError if a stream goes past the room.
+    """
+    packed, seen = False, set()
+    while data not in seen and _packed(data):
+        seen.add(data)
+        parts, size = [], 0
+        for part in _unpacked([data]):
+            size += len(part)
+            if size > room.left:
+                raise OverflowError
+            parts.append(part)
+        packed, data = True, b"".join(parts)
+        room.left -= size
+    texts = readings(data)
+    return texts, packed or all(c.isprintable() or c in "\t\n\r" for c in texts[0]) and texts[0].encode() == data
+
+
+def _windows(source: Iterable[bytes], room: Room) -> Iterator[bytes]:
+    """Overlapping windows over a stream that do not cut a token."""
+    held, want, new = bytearray(), WINDOW, False
+    for more in source:
+        held += more
+        new = True
+        if len(held) < want:
+            continue
+        tail = len(held) - len(held.rstrip(TOKEN_BYTES))
+        if tail > len(held) // 2 and len(held) < MOST:
+            want = len(held) * 2
+            continue
+        yield bytes(held)
+        room.unopened += tail > len(held) // 2
+        held, want, new = held[-(SHARED if tail > len(held) // 2 else max(SHARED, tail)) :], WINDOW, False
+        want = max(want, 2 * len(held))
+    if new:
+        yield bytes(held)
+
+
+def streamed(data: bytes, room: Room) -> frozenset[int]:
+    """Kinds of the secrets in a stream that is too large to be held whole."""
+    mark = hashlib.blake2b(data, digest_size=16).digest()
+    if mark in room.streams:
+        return room.streams[mark]
+    room.layers += 1
+    source: Iterable[bytes] = [data]
+    for _ in range(DEEP):
+        source = _unpacked(source)
+        first = b""
+        for part in source:
+            first += part
+            if len(first) >= 64:
+                break
+        source = itertools.chain([first], source)
+        if not _packed(first):
+            break
+    else:
+        room.unopened += 1
+    kinds: set[int] = set()
+    for window in _windows(source, room):
+        of = hashlib.blake2b(window, digest_size=16, person=b"window").digest()
+        if of not in room.streams:
+            if room.depth >= DEEP:
+                room.unopened += 1
+            own: set[int] = set()
+            for text in readings(window):
+                if room.depth < DEEP:
+                    _, spans, layers, unopened = scan(text, room.expansion, Room(room.expansion, room.depth + 1, room.streams))
+                    room.layers += layers
+                    room.unopened += unopened
+                    own |= {kind for _, kind, _ in spans}
+                else:
+                    own |= {kind for _, kind, _ in base_spans(text)}
+            room.streams[of] = frozenset(own)
+        kinds |= room.streams[of]
+    room.streams[mark] = frozenset(kinds)
+    return room.streams[mark]
+
+
+def _may_hold(text: str) -> bool:
+    return bool(RUN.search(text) or PERCENT.search(text) or ESCAPE.search(text) or base_spans(text, []))
 
 
 def _rewritten(layer: Layer, pattern: re.Pattern, turn) -> Layer | None:
@@ -118,81 +257,94 @@ def _rewritten(layer: Layer, pattern: re.Pattern, turn) -> Layer | None:
     return Layer("".join(out), layer, pieces) if pieces else None
 
 
-def _percent(room: int):
-    def turn(m: re.Match) -> str:
-        data = bytes.fromhex(m[0].replace("%", ""))
-        return opened(data, room) or data.decode("latin-1")
-
-    return turn
+def _escaped(layer: Layer, pattern: re.Pattern, room: Room) -> tuple[list[Layer], list[tuple[int, int, int]]]:
+    """The layer without its escapes, layers of other readings of them, and spans of escapes that hold large streams."""
+    more, spans = [], []
 
+    def read(m: re.Match, data: bytes) -> str | None:
+        try:
+            texts, _ = opened(data, room)
+        except OverflowError:
+            spans.extend((m.start(), kind, m.end()) for kind in streamed(data, room))
+            return None
+        more.extend(Layer(x, layer, [(0, m.start(), m.end(), False)]) for x in texts[1:] if _may_hold(x))
+        return texts[0]
 
-def _escape(room: int):
     def turn(m: re.Match) -> str | None:
+        if pattern is PERCENT:
+            return read(m, bytes.fromhex(m[0].replace("%", "")))
         if m[2]:
             return bytes.fromhex(m[2].replace("\\u", "")).decode("utf-16-be", "replace")
         if m[4]:
-            data = bytes.fromhex(m[4].replace("\\x", ""))
-            return opened(data, room) or data.decode("latin-1")
+            return read(m, bytes.fromhex(m[4].replace("\\x", "")))
         point = int(m[1] or m[3], 16)
         return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else None
 
-    return turn
+    new = _rewritten(layer, pattern, turn)
+    return ([new] if new else []) + more, spans
 
 
-def _base64(layer: Layer, token: str, start: int, room: int) -> list[Layer]:
-    """Layers within one token; if the token as a whole is not base64, within its parts between / _ and -."""
+def _base64(layer: Layer, token: str, start: int, room: Room) -> tuple[list[Layer], list[tuple[int, int, int]]]:
+    """Layers within one token and spans of large streams; if it does not decode to text, also within its parts between / _ and -."""
     bare = re.sub(r"\s", "", token).rstrip("=")
+    found, spans = [], []
     if len(bare) % 4 != 1:
         try:
             data = base64.b64decode(bare.translate({45: 43, 95: 47}) + "=" * (-len(bare) % 4))
         except (binascii.Error, ValueError):
             data = b""
-        if data and (text := opened(data, room)):
-            return [Layer(text, layer, [(0, start, start + len(token), False)])]
-    found = []
+        if data:
+            try:
+                texts, whole = opened(data, room)
+            except OverflowError:
+                return [], [(start, kind, start + len(token)) for kind in streamed(data, room)]
+            found = [Layer(x, layer, [(0, start, start + len(token), False)]) for i, x in enumerate(texts) if x and (whole and not i or _may_hold(x))]
+            if whole:
+                return found, []
     for part in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}", token):
         if part[0] != token:
-            found += _base64(layer, part[0], start + part.start(), room)
-    return found
+            layers, more = _base64(layer, part[0], start + part.start(), room)
+            found += layers
+            spans += more
+    return found, spans
 
 
-def children(layer: Layer, runs: list[re.Match], room: int) -> tuple[list[Layer], int]:
-    """All layers one step below, and how many were left unopened for their size."""
-    found, unopened = [], 0
+def children(layer: Layer, runs: list[re.Match], room: Room) -> tuple[list[Layer], list[tuple[int, int, int]]]:
+    """All layers one step below, and (start, kind, end) of what streams hold that were not made layers for their size."""
+    found, spans = [], []
     text = layer.text
-    for sign, pattern, turn in (("%", PERCENT, _percent), ("\\", ESCAPE, _escape)):
+    for sign, pattern in (("%", PERCENT), ("\\", ESCAPE)):
         if sign in text:
-            try:
-                found.append(_rewritten(layer, pattern, turn(room)))
-            except OverflowError:
-                unopened += 1
+            layers, more = _escaped(layer, pattern, room)
+            found += layers
+            spans += more
     tokens = [(m[0], m.start()) for m in runs]
     if any(len(token) >= 40 for token, _ in tokens):
         tokens += [(m[0], m.start()) for m in LINES.finditer(text)]
     for token, start in tokens:
-        try:
-            found += _base64(layer, token, start, room)
-        except OverflowError:
-            unopened += 1
-    return [x for x in found if x is not None], unopened
+        layers, more = _base64(layer, token, start, room)
+        found += layers
+        spans += more
+    return found, spans
 
 
 def _mark(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def scan(text: str, expansion: int = 1 << 24) -> tuple[list, list, int, int]:
-    """Base spans and all spans, as sorted (start, kind, end); distinct layers unwrapped; layers left unopened."""
+def scan(text: str, expansion: int = 1 << 24, room: Room | None = None) -> tuple[list, list, int, int]:
+    """Base spans and all spans, as sorted (start, kind, end); distinct layers unwrapped; parts left unopened."""
     runs = list(RUN.finditer(text))
     base = sorted(base_spans(text, runs))
     if not (runs or "%" in text or "\\" in text):
         return base, base, 0, 0
-    below, unopened = children(Layer(text), runs, expansion)
+    room = room or Room(expansion)
+    below, large = children(Layer(text), runs, room)
     if not below:
-        return base, base, 0, unopened
+        return base, sorted({*base, *large}), room.layers, room.unopened
     places: dict[tuple, set] = {}  # of each secret of a content: where it came from
     seen = set()
-    known = {_mark(text): (base, below)}  # of each content: its spans, and the layers below
+    known = {_mark(text): (base + large, below)}  # of each content: its spans, and the layers below
     work = list(below)
     while work:
         layer = work.pop()
@@ -201,23 +353,21 @@ def scan(text: str, expansion: int = 1 << 24) -> tuple[list, list, int, int]:
             continue
         seen.add((mark, place))
         if mark not in known:
-            expansion -= len(layer.text)
             runs = list(RUN.finditer(layer.text))
-            below, left = children(layer, runs, max(0, expansion)) if runs or "%" in layer.text or "\\" in layer.text else ([], 0)
-            known[mark] = base_spans(layer.text, runs), below
-            unopened += left
+            below, more = children(layer, runs, room) if runs or "%" in layer.text or "\\" in layer.text else ([], [])
+            known[mark] = base_spans(layer.text, runs) + more, below
         found, below = known[mark]
         for start, kind, end in found:
             places.setdefault((mark, start, kind, end), set()).add(layer.source(start, end))
         work += [Layer(x.text, layer, x.pieces) for x in below]
-    spans = set(base)
+    spans = {*base, *large}
     for (_, _, kind, _), of in places.items():
         stop = -1
         for a, b in sorted(of, key=lambda x: (x[0], -x[1])):
             if b > stop:
                 spans.add((a, kind, b))
                 stop = b
-    return base, sorted(spans), len(known) - 1, unopened
+    return base, sorted(spans), len(known) - 1 + room.layers, room.unopened
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
