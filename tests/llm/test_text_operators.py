@@ -7,6 +7,7 @@ import random
 import re
 import urllib.parse
 
+import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
@@ -232,3 +233,19 @@ def test_toxicity(spark):
     assert own.extra("plain words, nothing else!!") == ""
     empty = toxicity.trained(table(spark, []), spark.createDataFrame([], "doc_id long, toxic long"))
     assert {r.score for r in toxicity.scored(table(spark, EDGES).drop("score"), empty).collect()} == {0.0}
+
+
+@pytest.mark.parametrize(("written", "meant"), [("worthle$$", "worthless"), ("w0rthle55", "worthless"), ("idi07", "idiot"), ("disgu5tin9", "disgusting"), ("i d 1 o t", "idiot"), ("1 d 1 0 t", "idiot"), ("s t u p ! d", "stupid"), ("idiiot", "idiot"), ("stuupid", "stupid")])
+def test_noisy_spellings(written, meant):
+    words = "the idiot was stupid and worthless a letter of disgusting weather passed all the rest less or more ".split()
+    counts = np.ones((28, 28, 28))
+    codes = [27 if c == " " else ord(c) - 97 for c in " ".join(["", *words * 50, ""])]
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        counts[27 if b == 27 else a, b, c] += 1
+    codes = [27, *codes]
+    for b, c in zip(codes, codes[1:], strict=False):
+        if b == 27:
+            counts[27, 27, c] += 1
+    own = toxicity.Restorer(np.log(counts / counts.sum(axis=2, keepdims=True)))
+    assert own.extra(f"the {written} was, passed!") == meant
+    assert own.extra("a letter passed, less 12 345 of all weather!") == ""

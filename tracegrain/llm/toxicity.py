@@ -2,8 +2,9 @@
 
 A writer's letters pass a channel that swaps them for look-alikes, stretches them and puts signs or spaces between them.
 Each suspect token becomes a lattice of the letters that its characters may stand for; a Viterbi search under a character
-trigram model, counted over the whole corpus, restores the likeliest word. A token without look-alikes, stretches or
-inner signs has one path only, so it stands as it is.
+trigram model, counted over the whole corpus, restores the likeliest word. A token without look-alikes, doubled letters or
+inner signs has one path only, so it stands as it is; a doubled letter is one of the paths, so the model decides.
+Look-alikes that end sentences or open brackets (! and parenthesis) do not end a token.
 
 The restored text is scored by words whose share among toxic training documents is significantly larger; the sum of their
 log odds is turned into a probability by the labels of the training documents with about that sum.
@@ -31,12 +32,18 @@ from tracegrain.llm import counting, textvec
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
-#: Log costs of the channel: a look-alike, a dropped sign, a dropped repetition.
-SWAPPED, DROPPED, STRETCHED = -0.7, -0.4, -0.1
+#: Log costs of the channel: a look-alike, a dropped sign, a dropped repetition of three or more, one of two, a dropped
+#: look-alike. The last two weigh against the letter that the model need not explain then.
+SWAPPED, DROPPED, STRETCHED, DOUBLED, SKIPPED = -0.7, -0.4, -0.1, -5.5, -10.0
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Symbols of the character model: a to z, any other letter, and the space at a word's ends.
 SYMBOLS, REST, EDGE = 28, 26, 27
-SUSPECT = re.compile(r"[a-z]*(?:[a-z][0-9@$!|+(€£¡.*_\-]+|[0-9@$!|+(€£¡]+)(?:[a-z][0-9@$!|+(€£¡.*_\-]*)*[a-z]|[a-z]*([a-z])\1\1[a-z]*|(?<![a-z])[a-z](?:[ .\-_*][a-z]){2,}(?![a-z])")
+LIKE, LAST = r"0-9@$!|+(€£¡", r"0-9@$|+€£"
+SUSPECT = re.compile(
+    rf"(?<![a-z])(?=[{LIKE}]*[a-z])[a-z]*+(?=[{LIKE}.*_\-])[a-z{LIKE}.*_\-]*[a-z{LAST}]"
+    r"|(?<![a-z])[a-z]*([a-z])\1[a-z]*"
+    rf"|(?<![a-z0-9])(?=(?:[{LIKE}][ .\-_*])*[a-z])[a-z{LIKE}](?:[ .\-_*][a-z{LIKE}])+[ .\-_*][a-z{LAST}](?![a-z0-9])"
+)
 MEMORY = 200_000
 #: Bins of summed log odds: below 0 (no telling word), then in steps of a quarter.
 BINS, STEP = 66, 0.25
@@ -99,19 +106,21 @@ class Restorer:
         # state: the last two symbols, and whether the last may still be stretched; value: log probability, letters
         states = {(EDGE, EDGE): (0.0, "")}
         before = ""
-        for c in token:
+        for i, c in enumerate(token):
             new: dict = {}
+            again = c == before
+            dropped = DOUBLED if again and (i < 2 or token[i - 2] != c) and token[i + 1 : i + 2] != c else STRETCHED
             for (a, b), (value, letters) in states.items():
                 ways = []
                 if "a" <= c <= "z":
                     ways.append((c, 0.0))
-                    if c == before:
-                        ways.append(("", STRETCHED))
+                    if again:
+                        ways.append(("", dropped))
                 elif c in LOOKALIKES:
-                    ways += [(x, SWAPPED) for x in LOOKALIKES[c]]
-                    ways.append(("", DROPPED - 3.0))
-                    if c == before:
-                        ways.append(("", STRETCHED))
+                    ways += [(x, 0.0 if again else SWAPPED) for x in LOOKALIKES[c]]
+                    ways.append(("", SKIPPED))
+                    if again:
+                        ways.append(("", dropped))
                 else:
                     ways.append(("", DROPPED))
                 for letter, cost in ways:
