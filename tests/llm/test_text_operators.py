@@ -203,6 +203,15 @@ def test_decontamination(spark, corpus):
     assert decontam.matches(docs, bench.limit(0)).count() == decontam.matches(docs.limit(0), bench).count() == 0
 
 
+def test_excerpts_at_all_offsets(spark):
+    rng = random.Random(31)
+    item, other = syllables(rng, 80)[:390].strip(), syllables(rng, 30)[:110].strip()
+    cuts = [text[at : at + 81] for text in (item, other) for at in range(len(text) - 80)]
+    docs = table(spark, [f"some prose before, {cut} and after" for cut in cuts] + ["nothing of the kind"])
+    found = decontam.matches(docs, spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")).select("doc_id", "item_id").collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, 1 if i < len(item) - 80 else 2) for i in range(len(cuts))}
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     known = langid.profiles(docs.filter(langid.is_training(F.col("doc_id"))))

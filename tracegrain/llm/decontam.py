@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-A benchmark item is cut into probes of `probe` characters that overlap by half. If a probe stands in a document with at
+A benchmark item is cut into probes of `probe` characters that overlap by half, and into short ones of `short` characters
+at a quarter of that. So every exact excerpt of 79 compared characters (short + short / 4 - 1), about 13 words, holds a whole
+probe, wherever it begins; of an item that is shorter than that, the whole item is found. If a probe stands in a document with at
 most k edits, the two share at least len + 1 - (k + 1) * q character q-grams (the q-gram lemma), all of them within k
 neighbouring diagonals. So the q-grams of each document are counted in overlapping bands of diagonals; bands that reach
 the bound are verified by banded alignment, which also gives the edits and the place.
@@ -88,25 +90,32 @@ class Probes:
 FEW = 20
 
 
-def probes(rows: list[tuple], q: int, probe: int, rate: float) -> list[Probes]:
-    """Probes of (item_id, text) rows, in groups of much the same bound."""
+def _starts(size: int, probe: int, step: int) -> list[int]:
+    starts = [*range(0, max(1, size - probe + 1), max(1, step))]
+    return starts + [size - probe] if starts[-1] + probe < size else starts
+
+
+def probes(rows: list[tuple], q: int, probe: int, rate: float, short: int = 64) -> list[Probes]:
+    """Probes of (item_id, text) rows, in groups of much the same bound; short ones apart."""
     values, at, _ = textvec.folded(pa.array([t for _, t in rows], pa.string()), _characters())
-    texts, item = [], []
+    texts, item, is_short = [], [], []
     for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         own = values[lo + 1 : hi - 1]  # without the spaces at its ends
         if len(own) <= q:
             continue
-        starts = [*range(0, max(1, len(own) - probe + 1), max(1, probe // 2))]
-        if starts[-1] + probe < len(own):
-            starts.append(len(own) - probe)
-        texts += [own[s : s + probe] for s in starts]
-        item += [i] * len(starts)
+        for size, step in ((probe, probe // 2), (short, short // 4)):
+            if size == probe or size < min(probe, len(own)):
+                starts = _starts(len(own), size, step)
+                texts += [own[s : s + size] for s in starts]
+                item += [i] * len(starts)
+                is_short += [size != probe] * len(starts)
     if not texts:
         return []
     sizes = np.array([len(t) for t in texts])
     budget = np.minimum((sizes * rate).astype(np.int64), np.maximum((sizes + 1) // q - 2, 0))
+    brief = np.array(is_short)
     low = sizes + 1 - (budget + 1) * q < FEW
-    return [_indexed([i for i, _ in rows], np.array(item)[g], [texts[i] for i in np.flatnonzero(g)], budget[g], q) for g in (low, ~low) if g.any()]
+    return [_indexed([i for i, _ in rows], np.array(item)[g], [texts[i] for i in np.flatnonzero(g)], budget[g], q) for g in (low & ~brief, ~low & ~brief, brief) if g.any()]
 
 
 def _indexed(items: list, item: np.ndarray, texts: list, budget: np.ndarray, q: int) -> Probes:
@@ -246,8 +255,8 @@ def blocks(benchmark: DataFrame, most: int) -> list[list[tuple]]:
     return [[tuple(r) for r in sized.filter(part == i).sort("item_id", "text").collect()] for i in range(2 * count)]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, probe: int = 128, rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
-    """Rows doc_id, item_id, probes (of the item), matched (of those), edits (over the matched), spans ("start:end,...").
+def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, probe: int = 128, rate: float = 0.1, block_chars: int = 4_000_000, short: int = 64) -> DataFrame:
+    """Rows doc_id, item_id, probes (of the item, of both lengths), matched (of those), edits (over the matched), spans ("start:end,...").
 
     docs: doc_id, text; benchmark: item_id, text. rate: edits for each character of a probe that still match.
     """
@@ -255,7 +264,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, probe: int = 128,
     schema = "doc_id bigint, item_id bigint, probes bigint, matched bigint, edits bigint, spans string"
     out = docs.sparkSession.createDataFrame([], schema)
     for rows in blocks(benchmark, block_chars):
-        if rows and (known := probes(rows, q, probe, rate)):
+        if rows and (known := probes(rows, q, probe, rate, short)):
             out = out.unionByName(docs.mapInArrow(_search(known, q), schema))
     return out
 
