@@ -8,6 +8,7 @@ import re
 import urllib.parse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -167,6 +168,13 @@ def test_ngram_join(spark, corpus, n, percent):
     assert ngramjoin.groups(docs.limit(0), n, percent).count() == 0
 
 
+def test_ngram_parts_of_long_texts(monkeypatch):
+    monkeypatch.setattr(ngramjoin, "_sets", lambda batch, n: [np.arange(40_000, dtype=np.uint64)])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["any"]})
+    (rows,) = ngramjoin._prefixes(5, 80, np.zeros(ngramjoin.CELLS, np.int32).tobytes())([batch])
+    assert rows.column("parts").to_pylist()[0][0] == 40_000  # past the largest smallint
+
+
 def test_substring_dedup(spark, corpus):
     docs = table(spark, corpus).filter("doc_id is not null").distinct()
     seen, want = set(), {}

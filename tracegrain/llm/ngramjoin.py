@@ -91,7 +91,7 @@ def _least_shared(size, percent: int):
 
 def _prefixes(n: int, percent: int, counts: pa.Buffer):
     """For mapInArrow: class, size, histogram and rare-first prefix of each document."""
-    fields = {"doc_id": pa.int64(), "node": pa.int64(), "size": pa.int64(), "parts": pa.list_(pa.int16()), "prefix": pa.list_(pa.int64())}
+    fields = {"doc_id": pa.int64(), "node": pa.int64(), "size": pa.int64(), "parts": pa.list_(pa.int32()), "prefix": pa.list_(pa.int64())}
 
     def run(batches):
         table = np.frombuffer(counts, np.int32)
@@ -102,7 +102,7 @@ def _prefixes(n: int, percent: int, counts: pa.Buffer):
                 size = len(own)
                 out["node"].append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), signed=True) if size else None)
                 out["size"].append(size)
-                out["parts"].append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int16))
+                out["parts"].append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32))
                 order = np.argsort(table[(own % np.uint64(CELLS)).astype(np.int64)], kind="stable")
                 out["prefix"].append(own[order[: size - _least_shared(size, percent) + 1 if size else 0]].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(v, kind) if isinstance(v, list) else v for v, kind in zip(out.values(), fields.values(), strict=True)], list(fields))
@@ -141,7 +141,7 @@ class _Join:
         self.n, self.percent = n, percent
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         counts = np.minimum(document_counts(self.docs, n), (1 << 31) - 1).astype(np.int32)
-        self.table = written(self.docs.mapInArrow(_prefixes(n, percent, counts.tobytes()), "doc_id bigint, node bigint, size bigint, parts array<smallint>, prefix array<bigint>"), "prefixes")
+        self.table = written(self.docs.mapInArrow(_prefixes(n, percent, counts.tobytes()), "doc_id bigint, node bigint, size bigint, parts array<int>, prefix array<bigint>"), "prefixes")
         # equal sets have equal prefixes, so any row stands for its class
         self.classes = self.table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
