@@ -168,11 +168,36 @@ def test_ngram_join(spark, corpus, n, percent):
     assert ngramjoin.groups(docs.limit(0), n, percent).count() == 0
 
 
-def test_ngram_parts_of_long_texts(monkeypatch):
-    monkeypatch.setattr(ngramjoin, "_sets", lambda batch, n: [np.arange(40_000, dtype=np.uint64)])
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["any"]})
-    (rows,) = ngramjoin._prefixes(5, 80, np.zeros(ngramjoin.CELLS, np.int32).tobytes())([batch])
-    assert rows.column("parts").to_pylist()[0][0] == 40_000  # past the largest smallint
+def test_suffix_filter_never_drops_a_link():
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(0, 1 << 63, 40_000, np.int64).astype(np.uint64) * np.uint64(2))
+    for changed in (0, 1, 30, 4000):
+        b = np.unique(np.concatenate((a[changed:], rng.integers(0, 1 << 63, changed, np.int64).astype(np.uint64))))
+        words = [np.array([c[i].as_py() for c in ngramjoin._sketches([a, b])], np.int64).view(np.uint64) for i in (0, 1)]
+        assert int(np.bitwise_count(words[0] ^ words[1]).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_ngram_join_of_a_large_group_of_near_copies(spark):
+    """Copies with one to nine changed words each and no original, against brute force."""
+    rng = random.Random(11)
+    words = syllables(rng, 150).split()
+    texts = []
+    for i in range(150):
+        own = list(words)
+        for j in rng.sample(range(150), 1 + i % 9):
+            own[j] = f"w{rng.randrange(60)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    group = list(range(150))
+    for _ in range(150):
+        new = [min(group[j] for j in range(150) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in range(150)]
+        if new == group:
+            break
+        group = new
+    assert 1 < len(set(group)) < 150
+    got = {r.doc_id: r.component_id for r in ngramjoin.groups(docs, 5, 80).collect()}
+    assert got == dict(enumerate(group))
 
 
 def test_substring_dedup(spark, corpus):

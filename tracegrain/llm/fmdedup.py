@@ -11,8 +11,8 @@ builds a suffix array, its Burrows-Wheeler transform in a wavelet matrix with pa
 through backward search; as soon as a match is longer than a window it is cut back to the window's length, so every
 window gets the interval of all its occurrences. Windows whose interval holds an earlier start are reported.
 
-Which anchors occur twice is kept in a map of `map_bits` bits at most; a wrong hit there only costs a segment that finds
-nothing. In the index a word is the 32-bit half of its hash; two different windows are taken for equal only if all words
+Which anchors occur twice, and which documents are looked at, is kept in maps of `map_bits` bits at most; a wrong hit there
+only costs a segment or a document that finds nothing. In the index a word is the 32-bit half of its hash; two different windows are taken for equal only if all words
 that differ collide.
 
 Edge cases: a null or empty text has no words and keeps none (the digest of the empty string). A null doc_id comes after
@@ -30,8 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.llm import textvec
-from tracegrain.llm.ngramjoin import MAP_BITS
-from tracegrain.llm.ngramjoin import _wanted as places_of
 from tracegrain.llm.scratch import written
 
 #: Words of an anchor, and segments of a shard.
@@ -68,7 +66,7 @@ def _kept(batches, places: bytes):
     """Slices of the documents that stand in the map of places."""
     bits = np.frombuffer(places, np.uint8)
     for batch in textvec.slices(batches, "text"):
-        place = batch.column("doc").to_numpy(zero_copy_only=False) % MAP_BITS
+        place = batch.column("doc").to_numpy(zero_copy_only=False) % (len(bits) * 8)
         keep = np.flatnonzero((bits[place >> 3] >> (place & 7)) & 1)
         if len(keep):
             yield batch.take(pa.array(keep)) if len(keep) < batch.num_rows else batch
@@ -295,8 +293,9 @@ def _removed(window: int):
     return run
 
 
-def _map(values: DataFrame, name: str, bits: int) -> bytes:
-    """A bit for each value's place among `bits`."""
+def _map(values: DataFrame, name: str, n: int, most: int) -> bytes:
+    """A bit for the place of each of n values, among 16 places for each value, but at most `most`."""
+    bits = min(most, max(1 << 20, 1 << (16 * max(1, n) - 1).bit_length()))
     place = F.pmod(name, F.lit(bits)) + 1
     rows = values.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b")).collect()
     found = bytearray(bits // 8)
@@ -310,7 +309,7 @@ def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28) ->
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), "text")
     rows = written(docs.mapInArrow(_summaries, "doc_id bigint, doc bigint, seq bigint, n_words bigint, whole string"), "documents")
     firsts = rows.groupBy("seq").agg(F.min("doc").alias("first"))
-    places = places_of(firsts.select(F.col("first").alias("doc_id")))
+    places = _map(firsts, "first", rows.count(), map_bits)
     texts = docs.select("doc", "text")
 
     def counted(frequent: np.ndarray) -> DataFrame:
@@ -322,8 +321,7 @@ def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28) ->
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
     if len(frequent):
         counts = written(counted(frequent), "anchors")
-    bits = min(map_bits, max(1 << 20, 1 << (16 * max(1, counts.count()) - 1).bit_length()))
-    repeated = _map(counts, "anchor", bits)
+    repeated = _map(counts, "anchor", counts.count(), map_bits)
     place = "seg bigint, doc bigint, seq bigint, at int, n int"
     with_words = texts.mapInArrow(_occurrences(window, frequent, places, repeated, True), place + ", anchor bigint, words binary")
     known = with_words.groupBy("seg").agg(F.min(F.struct("doc", "seq", "at")).alias("x"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
@@ -336,7 +334,7 @@ def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28) ->
     offsets = F.when(F.struct("doc", "seq", "at") == F.col("first"), F.coalesce("earlier", F.array().cast("array<int>"))).otherwise(all_windows)
     removed = occurrences.withColumn("starts", F.transform(offsets, lambda x: x + F.col("at"))).filter(F.size("starts") > 0).groupBy("doc", "seq").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     removed = written(removed, "removed")
-    some = texts.mapInArrow(_texts(places_of(removed.select(F.col("doc").alias("doc_id")))), "doc bigint, seq bigint, text string")
+    some = texts.mapInArrow(_texts(_map(removed, "doc", removed.count(), map_bits)), "doc bigint, seq bigint, text string")
     left = some.join(removed, ["doc", "seq"]).mapInArrow(_removed(window), "doc bigint, seq bigint, removed bigint, left string").dropDuplicates(["doc", "seq"])
     out = rows.join(firsts, "seq").join(written(left, "left"), ["doc", "seq"], "left")
     copied = (F.col("doc") != F.col("first")) & (F.col("n_words") >= window)

@@ -6,20 +6,25 @@ share its cell, so an order always exists and only its sharpness depends on the
 similarity share an n-gram within their prefixes; classes are joined on those, cut down by the length, positional and
 suffix filters, and each remaining pair is verified once, on whole sets.
 
-Large groups of near copies are not expanded into all pairs: rounds pair the classes that share a prefix n-gram with a
-few leaders only, until not many pairs of unconnected classes are left; the last round pairs all of those. Every link
-between classes of different components would be found in the last round, so components are exact.
+The suffix filter deals the hash range into PARTS parts: two sets differ in at least as many n-grams as there are parts
+where one count is odd and the other even.
+
+Large groups of near copies are not expanded into all pairs. Rounds pair the classes that share a prefix n-gram with a few
+leaders only: first those whose shared n-gram stands earliest in the prefix (they have the fewest n-grams of their own, so
+they are nearest to what a group was copied from), then others. The last round joins the classes that are still in
+different components, with all filters in the join's condition. Every link between classes of different components is
+found there, so components are exact.
 
 Edge cases: a document without words or text has no n-grams and no links. With fewer words than n, the whole sequence is
 its one n-gram. A null doc_id takes part but is never a component's id unless all of it are null. Rows that repeat a
 doc_id give a result row each. Other columns are ignored, whatever their names.
 
-N-grams and classes are known by 64-bit hashes.
+N-grams are known by 64-bit hashes, classes by 120 bits.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +33,17 @@ from pyspark.sql import functions as F
 
 from tracegrain.llm import counting, textvec
 from tracegrain.llm.graph import components
-from tracegrain.llm.scratch import written
+from tracegrain.llm.scratch import dropped, written
 
 #: Cells of the table of document counts, and how many are summed in one row.
 CELLS, BLOCK = 1 << 22, 1 << 16
-#: Rounds of pairing with leaders at most, leaders of an n-gram in a round, and how many pairs for each posting may be
-#: left for the last round without another one.
-ROUNDS, LEADERS, FEW = 6, 2, 4
-#: Parts of the hash range whose counts the suffix filter compares.
-PARTS = 64
-#: Bits of the map of wanted documents.
-MAP_BITS = 1 << 23
+#: Rounds of pairing with leaders at most, leaders of an n-gram in a round, and steps of components between rounds.
+ROUNDS, LEADERS, STEPS = 6, 2, 3
+#: A round that adds less than this part of the first one's links is followed by the last round.
+FEW = 0.02
+#: Parts of the hash range whose parities the suffix filter compares, and the 64-bit words that hold them.
+PARTS = 1024
+SKETCH = [f"k{i}" for i in range(PARTS // 64)]
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -89,41 +94,41 @@ def _least_shared(size, percent: int):
     return -(-size * percent // 100)
 
 
+def _sketches(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Parities of the sets' counts in PARTS parts of the hash range, as columns of 64-bit words."""
+    odd = np.zeros((len(sets), PARTS), np.uint8)
+    for i, own in enumerate(sets):
+        odd[i] = np.bincount((own >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS) & 1
+    words = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+    return [pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(SKETCH))]
+
+
 def _prefixes(n: int, percent: int, counts: pa.Buffer):
-    """For mapInArrow: class, size, histogram and rare-first prefix of each document."""
-    fields = {"doc_id": pa.int64(), "node": pa.int64(), "size": pa.int64(), "parts": pa.list_(pa.int32()), "prefix": pa.list_(pa.int64())}
+    """For mapInArrow: class, size, sketch and rare-first prefix (n-grams of more than one document, and their places)."""
 
     def run(batches):
         table = np.frombuffer(counts, np.int32)
         for batch in textvec.slices(batches, "text"):
-            out = {name: [] for name in fields}
-            out["doc_id"] = batch.column("doc_id")
-            for own in _sets(batch, n):
-                size = len(own)
-                out["node"].append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), signed=True) if size else None)
-                out["size"].append(size)
-                out["parts"].append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32))
-                order = np.argsort(table[(own % np.uint64(CELLS)).astype(np.int64)], kind="stable")
-                out["prefix"].append(own[order[: size - _least_shared(size, percent) + 1 if size else 0]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(v, kind) if isinstance(v, list) else v for v, kind in zip(out.values(), fields.values(), strict=True)], list(fields))
+            sets = list(_sets(batch, n))
+            places, grams = [], []
+            for own in sets:
+                counts_of = table[(own % np.uint64(CELLS)).astype(np.int64)]
+                order = np.argsort(counts_of, kind="stable")[: len(own) - _least_shared(len(own), percent) + 1 if len(own) else 0]
+                places.append(np.flatnonzero(counts_of[order] > 1).astype(np.int32))  # an n-gram of one document is shared by none
+                grams.append(own[order[places[-1]]].view(np.int64))
+            columns = [batch.column("doc_id"), batch.column("row"), textvec.digests(sets), pa.array([len(x) for x in sets], pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64())), *_sketches(sets)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "size", "places", "grams", *SKETCH])
 
     return run
 
 
-def _whole_sets(n: int, wanted: bytes):
-    """For mapInArrow: n-gram hashes of the documents in the map."""
+def _whole_sets(n: int):
+    """For mapInArrow: class and n-gram hashes of each document."""
 
     def run(batches):
-        bits = np.frombuffer(wanted, np.uint8)
         for batch in textvec.slices(batches, "text"):
-            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            place = ids % MAP_BITS
-            keep = np.flatnonzero(((bits[place >> 3] >> (place & 7)) & 1).astype(bool) | (ids < 0))
-            if len(keep):
-                batch = batch.take(pa.array(keep))
-                sets = list(_sets(batch, n))
-                nodes = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), signed=True) if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "grams"])
+            sets = list(_sets(batch, n))
+            yield pa.RecordBatch.from_arrays([textvec.digests(sets), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "grams"])
 
     return run
 
@@ -134,130 +139,118 @@ def _needed(percent: int) -> Column:
     return F.ceil((total * percent) / F.lit(100.0 + percent) - 1e-9)
 
 
+def _sided(df: DataFrame, side: str, *names: str) -> DataFrame:
+    """df with its node as `side` and its other columns, but for those named, with that suffix."""
+    return df.select(*(F.col(c).alias(side if c == "node" else c if c in names else f"{c}_{side}") for c in df.columns))
+
+
 class _Join:
     """One run of the join over the documents' n-gram sets."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.n, self.percent = n, percent
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        self.docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
         counts = np.minimum(document_counts(self.docs, n), (1 << 31) - 1).astype(np.int32)
-        self.table = written(self.docs.mapInArrow(_prefixes(n, percent, counts.tobytes()), "doc_id bigint, node bigint, size bigint, parts array<int>, prefix array<bigint>"), "prefixes")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        schema = f"doc_id {kind}, row bigint, node decimal(38,0), size bigint, places array<int>, grams array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCH)
+        self.table = written(self.docs.mapInArrow(_prefixes(n, percent, counts.tobytes()), schema), "prefixes")
         # equal sets have equal prefixes, so any row stands for its class
         self.classes = self.table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def shared(self) -> DataFrame:
         """Postings of prefix n-grams that more than one class has: gram, node, size, place."""
-        rows = self.table.select("node", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("place", "gram"))
+        rows = self.table.filter("node is not null").select("node", F.col("size").cast("int").alias("size"), F.explode(F.arrays_zip("places", "grams")).alias("x")).select("node", "size", F.col("x.places").alias("place"), F.col("x.grams").alias("gram"))
         common = rows.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("gram")
         return written(rows.join(common, "gram", "left_semi").distinct(), "postings")
 
     def _fits(self) -> Column:
         """Length filter, and the positional filter of one shared n-gram."""
         least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-        bound = F.least("place_a", "place_b") + 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
+        bound = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
         return (least * 100 >= most * self.percent) & (bound >= _needed(self.percent))
 
-    def _pairs(self, left: DataFrame, right: DataFrame, differ: Column, every: bool) -> DataFrame:
-        """Pairs of classes on shared prefix n-grams that pass the filters, each once.
-
-        every: left and right hold every prefix n-gram that a pair may share. Of the two, let x be the one whose prefix
-        ends first in the order; what x's prefix shares with the other set is then in both prefixes, so all that they
-        share is at most those n-grams and what x has behind its prefix.
-        """
-        joined = left.join(right, "gram").filter(differ & self._fits())
-        found = joined.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count("*").alias("common"))
-        behind = lambda side: F.ceil(F.col(f"size_{side}") * self.percent / 100 - 1e-9) - 1
-        return (found.filter(F.col("common") + F.greatest(behind("a"), behind("b")) >= _needed(self.percent)) if every else found).drop("common")
+    def _suffix_fits(self) -> Column:
+        """Suffix filter: the sets differ at least by the parts with different parities."""
+        apart = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH))
+        return F.col("size_a") + F.col("size_b") - apart >= 2 * _needed(self.percent)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose whole sets reach the similarity. Each pair is checked once."""
-        pairs = written(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = self.table.join(ends, "node", "left_semi").dropDuplicates(["node"]).select("node", "parts")
-        # suffix filter: the sets differ at least by the differences of their parts
-        apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-        pairs = pairs.join(_named(some, "a"), "a").join(_named(some, "b"), "b")
-        pairs = written(pairs.filter(F.col("size_a") + F.col("size_b") - apart >= 2 * _needed(self.percent)).select("a", "b"), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = self.classes.join(ends, "node").select("doc_id")
-        sets = self.docs.mapInArrow(_whole_sets(self.n, _wanted(ids)), "node bigint, grams array<bigint>")
-        sets = written(sets, "sets")  # a few more than the wanted ones, where places in the map are shared
-        both = pairs.join(_named(sets, "a"), "a").join(_named(sets, "b"), "b")
+        """Pairs (a, b), of a written table, whose whole sets reach the similarity."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        rows = written(self.rows.join(wanted, "node", "left_semi").select("row"), "rows")
+        sets = written(self.docs.join(rows, "row", "left_semi").select("text").mapInArrow(_whole_sets(self.n), "node decimal(38,0), grams array<bigint>"), "sets")
+        both = pairs.join(_sided(sets, "a"), "a").join(_sided(sets, "b"), "b")
         shared = F.size(F.array_intersect("grams_a", "grams_b"))
-        return both.filter(shared * (100 + self.percent) >= (F.size("grams_a") + F.size("grams_b")) * self.percent).select("a", "b").distinct()
+        return written(both.filter(shared * (100 + self.percent) >= (F.size("grams_a") + F.size("grams_b")) * self.percent).select("a", "b").distinct(), "links", rows, sets)
 
     def components(self) -> DataFrame:
         """node, component of every class that is linked with another."""
-        rows = self.shared()
-        few = FEW * rows.count()
-        links, known, before = None, None, None
-        left = rows.withColumn("component", F.col("node"))
+        postings = self.shared()
+        self.rows = written(self.table.join(postings.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), *(F.min(k).alias(k) for k in SKETCH)), "classes")
+        links, tested, old = [], [], []
+        left = postings.withColumn("component", F.col("node"))
         for r in range(ROUNDS):
-            new = written(self.verified(self._led(left, r)), "links")
-            links = new if links is None else links.unionByName(new)
-            known = written(components(links.toDF("u", "v")), "components")
-            labelled = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            sizes = labelled.groupBy("gram", "component").agg(F.count("*").alias("n")).groupBy("gram").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            mixed = written(sizes.filter("k > 1"), "mixed")
-            left = written(labelled.join(mixed.select("gram"), "gram", "left_semi"), "postings")
-            apart = mixed.agg(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).first()[0] or 0
-            # leaders help no more where most pairs of a group are not similar themselves
-            if apart <= few or new.isEmpty() or before is not None and apart > 0.7 * before:
+            tested.append(self._untested(self._led(left, r), tested))
+            links.append(self.verified(tested[-1]))
+            if r and links[-1].count() <= FEW * links[0].count():  # leaders help no more
                 break
-            before = apart
-        second = self.verified(self._pairs(_sided(left, "a"), _sided(left, "b"), (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")), True))
-        second = written(second, "links")
-        return components(links.unionByName(second).toDF("u", "v")) if not second.isEmpty() else known
+            known = components(_all(links).toDF("u", "v"), STEPS, settle=False)
+            labelled = postings.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = labelled.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("gram")
+            left = written(labelled.join(mixed, "gram", "left_semi"), "postings", *old)
+            old = [known, left]
+        full = left.join(self.rows.drop("row"), "node")
+        apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
+        found = _sided(full, "a", "gram").join(_sided(full, "b", "gram"), "gram").filter(apart & self._fits() & self._suffix_fits()).select("a", "b")
+        tested.append(self._untested(found.distinct(), tested))
+        links.append(self.verified(tested[-1]))
+        out = components(_all(links).toDF("u", "v"))
+        for table in (postings, self.rows, *old, *tested, *links):
+            dropped(table)
+        return out
+
+    def _untested(self, pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
+        """The pairs (a, b) without those that a round has verified before, written."""
+        pairs = pairs.select("a", "b")
+        return written(pairs.join(_all(tested), ["a", "b"], "left_anti") if tested else pairs, "pairs")
 
     def _led(self, postings: DataFrame, r: int) -> DataFrame:
-        """Pairs of classes with the leaders of their n-grams, out of another component.
+        """Pairs (a, b) of classes with the leaders of their n-grams, out of another component, that pass the filters.
 
-        A leader is the least of an n-gram's classes by a hash of the class and the round, so n-grams of much the same
-        classes have the same leaders.
+        The first leader of an n-gram in the first round is the class where it stands earliest in the prefix. All others
+        are the least of its classes by a hash of the class and the round, so n-grams of much the same classes have the
+        same leaders.
         """
-        leaders = None
+        leaders = []
         for seed in range(r * LEADERS, (r + 1) * LEADERS):
-            least = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "size", "place", "component"))
-            own = postings.groupBy("gram").agg(least.alias("x")).select("gram", "x.node", "x.size", "x.place", "x.component")
-            leaders = own if leaders is None else leaders.unionByName(own)
-        apart = F.col("component_a") != F.col("component_b")
-        found = self._pairs(_sided(leaders, "a"), _sided(postings, "b"), apart, False)
+            order = F.struct(*([F.col("place").alias("first")] if not seed else []), F.xxhash64("node", F.lit(seed)).alias("h"), "node", "size", "place", "component")
+            leaders.append(postings.groupBy("gram").agg(F.min(order).alias("x")).select("gram", "x.node", "x.size", "x.place", "x.component"))
+        found = _sided(_all(leaders), "a", "gram").join(_sided(postings, "b", "gram"), "gram").filter((F.col("component_a") != F.col("component_b")) & self._fits())
         turned = F.col("a") > F.col("b")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"), F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b")).dropDuplicates(["a", "b"])
-
-
-def _sided(postings: DataFrame, side: str) -> DataFrame:
-    return postings.select("gram", F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("size", "place", "component")))
-
-
-def _named(df: DataFrame, side: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in df.columns))
+        size = lambda x, y: F.when(turned, F.col(f"size_{x}")).otherwise(F.col(f"size_{y}"))
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), size("b", "a").alias("size_a"), size("a", "b").alias("size_b")).distinct()
+        rows = self.rows.drop("row")
+        return pairs.join(_sided(rows, "a"), "a").join(_sided(rows, "b"), "b").filter(self._suffix_fits())
 
 
-def _wanted(ids: DataFrame) -> bytes:
-    """A bit for each place that an id falls on, MAP_BITS in all; a doc_id may share its place, so this only saves work."""
-    place = F.pmod("doc_id", F.lit(MAP_BITS)) + 1  # these functions count buckets from 1, and so values
-    rows = ids.filter("doc_id is not null").groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    bits = bytearray(MAP_BITS // 8)
-    for k, data in rows:
-        bits[(k - 1) * 4096 : k * 4096] = data
-    return bytes(bits)
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
 
 
 def groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_shingles, component_id), one row for each row of docs.
 
     Documents link when 100 * shared n-grams >= percent * all their n-grams; component_id is the least doc_id that
-    links reach.
+    links reach. doc_id may be of any type that has an order.
     """
     join = _Join(docs, n, percent)
     found = join.components()
     labels = join.classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = written(labels.join(least, "component").select("node", "component_id"), "labels")
+    labels = labels.join(least, "component").select("node", "component_id")
     rows = join.table.select("doc_id", F.col("size").alias("n_shingles"), "node")
     return rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("bigint")))

@@ -7,6 +7,7 @@ slice limit (or by one text, if a single text is longer than the limit).
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,6 +120,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
 
 
+#: What the digests of hash sequences are kept as: 120 bits.
+DIGEST = pa.decimal128(38, 0)
+
+
+def digests(sequences: list[np.ndarray]) -> pa.Array:
+    """A digest of each sequence of hashes as a decimal; null for an empty one."""
+    data = b"".join(hashlib.blake2b(x.tobytes(), digest_size=15).digest() + b"\0" for x in sequences)
+    valid = np.packbits(np.array([len(x) > 0 for x in sequences], bool), bitorder="little")
+    return pa.Array.from_buffers(DIGEST, len(sequences), [pa.py_buffer(valid), pa.py_buffer(data)])
+
+
 def _salts(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
