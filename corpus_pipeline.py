@@ -11,6 +11,8 @@ All but the last return the columns of their input, whatever those are; n_chars,
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +24,29 @@ from tracegrain.session import reachable
 LEAST_LANGUAGE_SCORE = 0.2
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    return next(c for c in itertools.chain([name], (f"{name}{i}" for i in itertools.count())) if c.lower() not in taken)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
     known = langid.profiles(docs.filter(langid.is_training(F.col("doc_id"))))
-    found = langid.identified(docs, known, name="_language")
-    return found.filter((F.col("_language.lang_pred") != langid.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)).drop("_language")
+    name = _unused(docs, "_language")
+    found = langid.identified(docs, known, name=name)
+    return found.filter((F.col(f"{name}.lang_pred") != langid.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_LANGUAGE_SCORE)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the row of the least doc_id stays; of rows that agree in it, the one with the least digest of all columns."""
     reachable(spark)
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    groups = ngramjoin.groups(keyed.select(F.col("_row").alias("doc_id"), "text"), n=5, percent=80)
-    kept = written(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct(), "kept")
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = _unused(docs, "_row")
+    keyed = docs.withColumn(row, F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))).alias("digest")))
+    groups = ngramjoin.groups(keyed.select(F.col(row).alias("doc_id"), "text"), n=5, percent=80)
+    kept = written(groups.filter("doc_id = component_id").select(F.col("doc_id").alias(row)).distinct(), "kept")
+    # rows of one digest are equal in every column
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
