@@ -104,20 +104,18 @@ def _sketches(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _prefixes(n: int, percent: int, counts: pa.Buffer):
-    """For mapInArrow: class, size, sketch and rare-first prefix (n-grams of more than one document, and their places)."""
+    """For mapInArrow: class, size, sketch and rare-first prefix of each document."""
 
     def run(batches):
         table = np.frombuffer(counts, np.int32)
         for batch in textvec.slices(batches, "text"):
             sets = list(_sets(batch, n))
-            places, grams = [], []
+            prefixes = []
             for own in sets:
-                counts_of = table[(own % np.uint64(CELLS)).astype(np.int64)]
-                order = np.argsort(counts_of, kind="stable")[: len(own) - _least_shared(len(own), percent) + 1 if len(own) else 0]
-                places.append(np.flatnonzero(counts_of[order] > 1).astype(np.int32))  # an n-gram of one document is shared by none
-                grams.append(own[order[places[-1]]].view(np.int64))
-            columns = [batch.column("doc_id"), batch.column("row"), textvec.digests(sets), pa.array([len(x) for x in sets], pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64())), *_sketches(sets)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "size", "places", "grams", *SKETCH])
+                order = np.argsort(table[(own % np.uint64(CELLS)).astype(np.int64)], kind="stable")
+                prefixes.append(own[order[: len(own) - _least_shared(len(own), percent) + 1 if len(own) else 0]].view(np.int64))
+            columns = [batch.column("doc_id"), batch.column("row"), textvec.digests(sets), pa.array([len(x) for x in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *_sketches(sets)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "size", "prefix", *SKETCH])
 
     return run
 
@@ -152,15 +150,16 @@ class _Join:
         self.docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
         counts = np.minimum(document_counts(self.docs, n), (1 << 31) - 1).astype(np.int32)
         kind = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, row bigint, node decimal(38,0), size bigint, places array<int>, grams array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCH)
+        schema = f"doc_id {kind}, row bigint, node decimal(38,0), size bigint, prefix array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCH)
         self.table = written(self.docs.mapInArrow(_prefixes(n, percent, counts.tobytes()), schema), "prefixes")
         # equal sets have equal prefixes, so any row stands for its class
         self.classes = self.table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def shared(self) -> DataFrame:
         """Postings of prefix n-grams that more than one class has: gram, node, size, place."""
-        rows = self.table.filter("node is not null").select("node", F.col("size").cast("int").alias("size"), F.explode(F.arrays_zip("places", "grams")).alias("x")).select("node", "size", F.col("x.places").alias("place"), F.col("x.grams").alias("gram"))
-        common = rows.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("gram")
+        rows = self.table.filter("node is not null").select("node", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("place", "gram"))
+        class_of = F.xxhash64("node")  # of half the width of a node, and enough to tell that there are two
+        common = rows.groupBy("gram").agg(F.min(class_of).alias("least"), F.max(class_of).alias("most")).filter("least < most").select("gram")
         return written(rows.join(common, "gram", "left_semi").distinct(), "postings")
 
     def _fits(self) -> Column:
