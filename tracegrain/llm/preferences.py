@@ -86,7 +86,10 @@ def preferences(rows: DataFrame) -> DataFrame:
     first = F.sha2(F.concat_ws("\n", F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256)
     pairs = paired(convs.select("conv_id", first.alias("first")))
     side = lambda s: convs.select(F.col("conv_id").alias(f"{s}_id"), F.col("turns").alias(s))
-    return formatted(pairs.join(side("chosen"), "chosen_id").join(side("rejected"), "rejected_id", "left"))
+    whole = pairs.filter("rejected_id is not null").join(side("chosen"), "chosen_id").join(side("rejected"), "rejected_id")
+    # conversations without another side stay out of that join, where their null would bring all of them to one task
+    alone = pairs.filter("rejected_id is null").join(side("chosen"), "chosen_id").withColumn("rejected", F.lit(None).cast(convs.schema["turns"].dataType))
+    return formatted(whole.unionByName(alone))
 
 
 def op5_preferences(spark, sf_dir: str) -> DataFrame:
