@@ -12,8 +12,8 @@ through backward search; as soon as a match is longer than a window it is cut ba
 window gets the interval of all its occurrences. Windows whose interval holds an earlier start are reported.
 
 Which anchors occur twice, and which documents are looked at, is kept in maps of `map_bits` bits at most; a wrong hit there
-only costs a segment or a document that finds nothing. In the index a word is the 32-bit half of its hash; two different windows are taken for equal only if all words
-that differ collide.
+only costs a segment or a document that finds nothing. Texts are told apart by 256 bits, segments by 120, and words in the
+index by 64.
 
 Edge cases: a null or empty text has no words and keeps none (the digest of the empty string). A null doc_id comes after
 all others. Different texts with one doc_id are ordered by their digest; rows that repeat id and words count as one
@@ -134,13 +134,12 @@ def _occurrences(window: int, frequent: np.ndarray, places: bytes, repeated: byt
             start, count, anchor = start[keep], count[keep], anchor[keep]
             row = rows[start]
             sequences = {r: _digest(hashes[first[r] : first[r + 1]]) for r in np.unique(row).tolist()}
-            small = (hashes >> np.uint64(32)).astype(np.uint32)
             ends = start + count + window - 1
-            own = [_digest(hashes[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
-            columns = [pa.array(own, pa.int64()), batch.column("doc").take(pa.array(row)), pa.array([sequences[r] for r in row.tolist()], pa.int64()), pa.array((start - first[row]).astype(np.int32)), pa.array(count.astype(np.int32))]
+            parts = [hashes[a:b] for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
+            columns = [textvec.digests(parts), batch.column("doc").take(pa.array(row)), pa.array([sequences[r] for r in row.tolist()], pa.int64()), pa.array((start - first[row]).astype(np.int32)), pa.array(count.astype(np.int32))]
             names = ["seg", "doc", "seq", "at", "n"]
             if with_words:
-                columns += [pa.array(anchor), pa.array([small[a:b].tobytes() for a, b in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary())]
+                columns += [pa.array(anchor), pa.array([x.tobytes() for x in parts], pa.binary())]
                 names += ["anchor", "words"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -239,7 +238,7 @@ def _searched(window: int):
     """For applyInArrow: segments of a shard with the windows that have an earlier occurrence in it."""
 
     def run(table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()]
+        words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
         sizes = np.array([len(w) for w in words])
         symbols = np.unique(np.concatenate(words), return_inverse=True)[1] + 1
         begin = np.cumsum(sizes + 1) - sizes - 1
@@ -308,7 +307,7 @@ def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28) ->
     """docs (doc_id, text) to doc_id, n_words, n_removed, kept_sha256 for each row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), "text")
     rows = written(docs.mapInArrow(_summaries, "doc_id bigint, doc bigint, seq bigint, n_words bigint, whole string"), "documents")
-    firsts = rows.groupBy("seq").agg(F.min("doc").alias("first"))
+    firsts = rows.groupBy("whole").agg(F.min("doc").alias("first"))
     places = _map(firsts, "first", rows.count(), map_bits)
     texts = docs.select("doc", "text")
 
@@ -322,13 +321,14 @@ def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28) ->
     if len(frequent):
         counts = written(counted(frequent), "anchors")
     repeated = _map(counts, "anchor", counts.count(), map_bits)
-    place = "seg bigint, doc bigint, seq bigint, at int, n int"
+    place = "seg decimal(38,0), doc bigint, seq bigint, at int, n int"
     with_words = texts.mapInArrow(_occurrences(window, frequent, places, repeated, True), place + ", anchor bigint, words binary")
     known = with_words.groupBy("seg").agg(F.min(F.struct("doc", "seq", "at")).alias("x"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
     known = written(known.select("seg", "x.*", "anchor", "words"), "segments")
     shards = max(1, -(-known.count() // SHARD))
-    found = known.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_searched(window), "seg bigint, earlier array<int>")
-    found = known.select("seg", F.struct("doc", "seq", "at").alias("first")).join(written(found, "found"), "seg", "left")
+    found = known.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_searched(window), "seg decimal(38,0), earlier array<int>")
+    # written, so that the join below is of two shuffles, of which Spark can split what a very common segment fills
+    found = written(known.select("seg", F.struct("doc", "seq", "at").alias("first")).join(written(found, "found"), "seg", "left"), "found")
     occurrences = texts.mapInArrow(_occurrences(window, frequent, places, repeated, False), place).join(found, "seg")
     all_windows = F.sequence(F.lit(0), F.col("n") - 1)
     offsets = F.when(F.struct("doc", "seq", "at") == F.col("first"), F.coalesce("earlier", F.array().cast("array<int>"))).otherwise(all_windows)
@@ -336,7 +336,7 @@ def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28) ->
     removed = written(removed, "removed")
     some = texts.mapInArrow(_texts(_map(removed, "doc", removed.count(), map_bits)), "doc bigint, seq bigint, text string")
     left = some.join(removed, ["doc", "seq"]).mapInArrow(_removed(window), "doc bigint, seq bigint, removed bigint, left string").dropDuplicates(["doc", "seq"])
-    out = rows.join(firsts, "seq").join(written(left, "left"), ["doc", "seq"], "left")
+    out = rows.join(firsts, "whole").join(written(left, "left"), ["doc", "seq"], "left")
     copied = (F.col("doc") != F.col("first")) & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select(
