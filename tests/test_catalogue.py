@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tracegrain.plans import catalogue
+from tracegrain.plans import analyses, catalogue  # noqa: F401  (analyses adds its queries)
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -41,11 +41,17 @@ def layer_index(key: Column) -> Column:
     return F.nullif(F.regexp_extract(key, r"\.layers\.(\d+)\.", 1), F.lit("")).try_cast("int")
 
 
+#: Kinds of block and what their parameters' names contain, the first match wins.
+BLOCKS = (("mlp", (".mlp.",)), ("attn", ("self_attn", "self_attention", "attention")), ("norm", ("norm",)), ("embed", ("embed",)))
+
+
 def block_kind(key: Column) -> Column:
     """Block that a parameter belongs to; the first that its name contains."""
-    rules = (("mlp", ("mlp",)), ("attn", ("attn", "attention")), ("norm", ("norm",)), ("embed", ("embed",)))
     small = F.lower(key)
-    return reduce(lambda c, r: c.when(reduce(Column.__or__, [small.contains(w) for w in r[1]]), r[0]), rules[1:], F.when(small.contains("mlp"), "mlp")).otherwise("other")
+    found = F.lit("other")
+    for kind, parts in reversed(BLOCKS):
+        found = F.when(reduce(Column.__or__, [small.contains(w) for w in parts]), kind).otherwise(found)
+    return found
 
 
 #: Thread classes and the patterns that name them, the first match wins; and what each class is worth.

@@ -42,7 +42,7 @@ def link_overview(rows: DataFrame, keys: list[str], op: str, source: str, target
     rows = rows.withColumn("_bw", bandwidth)
     return rows.groupBy(*keys).agg(
         F.count("*").alias("row_count"), F.count_distinct(op).alias("op_count"), F.count_distinct(F.concat_ws("->", F.col(source).cast("string"), F.col(target).cast("string"))).alias("pair_count"),
-        exact_sum(size).alias("total_size"), exact_sum(time).alias("total_time"), exact_sum("_bw", "decimal(30,12)").alias("_sum"), F.count("_bw").alias("_n"), F.min("_bw").alias("min_bw"), F.max("_bw").alias("max_bw"),
+        exact_sum(size).alias("total_size"), exact_sum(time).alias("total_time"), exact_sum("_bw").alias("_sum"), F.count("_bw").alias("_n"), F.min("_bw").alias("min_bw"), F.max("_bw").alias("max_bw"),
         F.sum((F.coalesce(F.col("_bw") < low, F.lit(False))).cast("int")).cast("bigint").alias("low_count"),
     ).withColumn("avg_bw", F.col("_sum") / F.nullif(F.col("_n"), F.lit(0))).drop("_sum", "_n")
 

@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_sum(column: str | Column, kind: str = "decimal(20,4)") -> Column:
-    """Sum of a double that does not depend on the order of rows."""
-    return F.sum((F.col(column) if isinstance(column, str) else column).cast(kind)).cast("double")
+def exact_sum(column: str | Column) -> Column:
+    """Sum of doubles that does not depend on the order of rows: as decimals of 8 places.
+
+    Where these cannot hold the values (one of 1e29 or more, none of 1 or more, infinite, NaN), the sum of doubles.
+    """
+    value = (F.col(column) if isinstance(column, str) else column).cast("double")
+    exact = value.try_cast("decimal(38,8)")
+    held = (F.count(exact) == F.count(value)) & (F.max(F.abs(value)) >= 1)
+    return F.coalesce(F.when(held, F.try_sum(exact).cast("double")), F.sum(value))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -114,8 +120,8 @@ def health(frag_pct: Column, segments: Column, failed: Column) -> Column:
 def failure_cause(allocs: DataFrame, group: str, stack: str, size: str, free: str) -> DataFrame:
     """Cause of each failure from its last large allocations: needs three; one stack for all (none counts as one) before size."""
     prefix = F.coalesce(F.left(F.col(stack), F.lit(60)), F.lit(""))
-    top = allocs.groupBy(group, prefix.alias("stack")).agg(F.count("*").alias("n"), F.sum(size).alias("s"), F.max(F.coalesce(free, F.lit(0))).alias("free"))
-    per = top.groupBy(group).agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.sum("s").alias("total"), F.max("free").alias("free"))
+    top = allocs.groupBy(group, prefix.alias("stack")).agg(F.count("*").alias("n"), exact_sum(size).alias("s"), F.max(F.coalesce(free, F.lit(0))).alias("free"))
+    per = top.groupBy(group).agg(F.sum("n").alias("n"), F.max("n").alias("same"), exact_sum("s").alias("total"), F.max("free").alias("free"))
     cause = F.when(F.col("n") < 3, "insufficient").when(F.col("same") >= 3, "same_stack").when(F.col("total") > 3 * F.col("free"), "burst").otherwise("single_large")
     return per.select(group, "n", "total", cause.alias("cause"))
 

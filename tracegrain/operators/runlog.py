@@ -55,7 +55,7 @@ def envelope_errors(text: Column) -> Column:
         "protocol": field("protocol").isNull(),
         "type": ~F.coalesce(field("type").isin("delegation_input", "delegation_output"), F.lit(False)),
         "status": (field("type") == "delegation_output") & ~F.coalesce(field("status").isin("success", "failed", "partial"), F.lit(False)),
-        "commands": F.coalesce(F.size(F.from_json(field("commands"), "array<string>")), F.lit(0)) < 0,
+        "commands": field("commands").isNotNull() & ~field("commands").startswith("["),
     }
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in wrong.items())))
 
