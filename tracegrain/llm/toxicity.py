@@ -40,9 +40,10 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS, REST, EDGE = 28, 26, 27
 LIKE, LAST = r"0-9@$!|+(€£¡", r"0-9@$|+€£"
 SUSPECT = re.compile(
-    rf"(?<![a-z])(?=[{LIKE}]*[a-z])[a-z]*+(?=[{LIKE}.*_\-])[a-z{LIKE}.*_\-]*[a-z{LAST}]"
+    # each lookahead over a run is asked for at the run's first place only, so that long runs take linear time
+    rf"(?<![a-z])(?<![^a-z][{LIKE}])(?<!\A[{LIKE}])(?=[{LIKE}]*+[a-z])[a-z]*+(?=[{LIKE}.*_\-])[a-z{LIKE}.*_\-]*[a-z{LAST}]"
     r"|(?<![a-z])[a-z]*([a-z])\1[a-z]*"
-    rf"|(?<![a-z0-9])(?=(?:[{LIKE}][ .\-_*])*[a-z])[a-z{LIKE}](?:[ .\-_*][a-z{LIKE}])+[ .\-_*][a-z{LAST}](?![a-z0-9])"
+    rf"|(?<![a-z0-9])(?<![^a-z0-9][{LIKE}][ .\-_*])(?<!\A[{LIKE}][ .\-_*])(?=(?:[{LIKE}][ .\-_*])*+[a-z])[a-z{LIKE}](?:[ .\-_*][a-z{LIKE}])+[ .\-_*][a-z{LAST}](?![a-z0-9])"
 )
 MEMORY = 200_000
 #: Bins of summed log odds: below 0 (no telling word), then in steps of a quarter.
