@@ -156,10 +156,15 @@ class _Join:
         self.classes = self.table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def shared(self) -> DataFrame:
-        """Postings of prefix n-grams that more than one class has: gram, node, size, place."""
+        """Postings of prefix n-grams that more than one class has: gram, node, size, place.
+
+        What a pair shares first stands so early in the smaller set that what follows could be all that they must share
+        at equal sizes; an n-gram that stands so early in no set is left out.
+        """
         rows = self.table.filter("node is not null").select("node", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("place", "gram"))
         class_of = F.xxhash64("node")  # of half the width of a node, and enough to tell that there are two
-        common = rows.groupBy("gram").agg(F.min(class_of).alias("least"), F.max(class_of).alias("most")).filter("least < most").select("gram")
+        early = F.col("size") - F.col("place") >= F.ceil(F.col("size") * (2 * self.percent) / F.lit(100.0 + self.percent) - 1e-9)
+        common = rows.groupBy("gram").agg(F.min(class_of).alias("least"), F.max(class_of).alias("most"), F.bool_or(early).alias("early")).filter("early and least < most").select("gram")
         return written(rows.join(common, "gram", "left_semi").distinct(), "postings")
 
     def _fits(self) -> Column:
