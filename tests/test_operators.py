@@ -16,6 +16,12 @@ def value(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
 
+@pytest.mark.parametrize("values", [[1e-5] * 10, [1e18, 1e17, 1.0], [0.1, 0.2, 2.5], [1e30, 1.0]])
+def test_sum_of_doubles(spark, values):
+    got = spark.createDataFrame([(v,) for v in values], "v double").agg(memory.exact_sum("v").alias("x")).first().x
+    assert math.isclose(got, math.fsum(values), rel_tol=1e-12)
+
+
 def lit(x):
     return F.lit(x)
 
