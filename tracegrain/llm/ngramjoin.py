@@ -156,7 +156,10 @@ class _Join:
         self.classes = self.table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def shared(self) -> DataFrame:
-        """Postings of prefix n-grams that more than one class has: gram, node, size, place.
+        """Postings of prefix n-grams that more than one class has: gram, node, size, place, more.
+
+        more is false where only two documents have the n-gram: the first round pairs those two, and nothing is left.
+
 
         What a pair shares first stands so early in the smaller set that what follows could be all that they must share
         at equal sizes; an n-gram that stands so early in no set is left out.
@@ -164,8 +167,8 @@ class _Join:
         rows = self.table.filter("node is not null").select("node", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("place", "gram"))
         class_of = F.xxhash64("node")  # of half the width of a node, and enough to tell that there are two
         early = F.col("size") - F.col("place") >= F.ceil(F.col("size") * (2 * self.percent) / F.lit(100.0 + self.percent) - 1e-9)
-        common = rows.groupBy("gram").agg(F.min(class_of).alias("least"), F.max(class_of).alias("most"), F.bool_or(early).alias("early")).filter("early and least < most").select("gram")
-        return written(rows.join(common, "gram", "left_semi").distinct(), "postings")
+        common = rows.groupBy("gram").agg(F.min(class_of).alias("least"), F.max(class_of).alias("most"), F.bool_or(early).alias("early"), (F.count("*") > 2).alias("more")).filter("early and least < most").select("gram", "more")
+        return written(rows.join(common, "gram").distinct(), "postings")
 
     def _fits(self) -> Column:
         """Length filter, and the positional filter of one shared n-gram."""
@@ -192,18 +195,19 @@ class _Join:
         postings = self.shared()
         self.rows = written(self.table.join(postings.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), *(F.min(k).alias(k) for k in SKETCH)), "classes")
         links, tested, old = [], [], []
-        left = postings.withColumn("component", F.col("node"))
+        left, more = postings.withColumn("component", F.col("node")), postings.filter("more")
         for r in range(ROUNDS):
             tested.append(self._untested(self._led(left, r), tested))
             links.append(self.verified(tested[-1]))
             if r and links[-1].count() <= FEW * links[0].count():  # leaders help no more
                 break
             known = components(_all(links).toDF("u", "v"), STEPS, settle=False)
-            labelled = postings.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            # a node's later labels may be coarser or finer, but what was connected stays so
+            labelled = (left.drop("component") if r else more).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = labelled.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("gram")
             left = written(labelled.join(mixed, "gram", "left_semi"), "postings", *old)
             old = [known, left]
-        full = left.join(self.rows.drop("row"), "node")
+        full = left.drop("more").join(self.rows.drop("row"), "node")
         apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
         found = _sided(full, "a", "gram").join(_sided(full, "b", "gram"), "gram").filter(apart & self._fits() & self._suffix_fits()).select("a", "b")
         tested.append(self._untested(found.distinct(), tested))
@@ -225,11 +229,11 @@ class _Join:
         are the least of its classes by a hash of the class and the round, so n-grams of much the same classes have the
         same leaders.
         """
-        leaders = []
-        for seed in range(r * LEADERS, (r + 1) * LEADERS):
-            order = F.struct(*([F.col("place").alias("first")] if not seed else []), F.xxhash64("node", F.lit(seed)).alias("h"), "node", "size", "place", "component")
-            leaders.append(postings.groupBy("gram").agg(F.min(order).alias("x")).select("gram", "x.node", "x.size", "x.place", "x.component"))
-        found = _sided(_all(leaders), "a", "gram").join(_sided(postings, "b", "gram"), "gram").filter((F.col("component_a") != F.col("component_b")) & self._fits())
+        postings = postings.drop("more")
+        least = [F.min(F.struct((F.lit(0) if seed else F.col("place")).alias("first"), F.xxhash64("node", F.lit(seed)).alias("h"), "node", "size", "place", "component")) for seed in range(r * LEADERS, (r + 1) * LEADERS)]
+        leaders = postings.groupBy("gram").agg(F.array_distinct(F.array(*(F.struct(*(x[c].alias(c) for c in ("node", "size", "place", "component"))) for x in least))).alias("x"))
+        leaders = leaders.select("gram", F.explode("x").alias("x")).select("gram", "x.*")
+        found = _sided(leaders, "a", "gram").join(_sided(postings, "b", "gram"), "gram").filter((F.col("component_a") != F.col("component_b")) & self._fits())
         turned = F.col("a") > F.col("b")
         size = lambda x, y: F.when(turned, F.col(f"size_{x}")).otherwise(F.col(f"size_{y}"))
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), size("b", "a").alias("size_a"), size("a", "b").alias("size_b")).distinct()
