@@ -105,3 +105,17 @@ def json_path(text: Column, path: str, default: str) -> Column:
 def half_even(value: Column, digits: int) -> Column:
     """Rounding of a double's own decimal digits, halves to even."""
     return F.bround(value, digits)
+
+
+def coverage(text: Column, items: list[str]) -> Column:
+    """Share of the items that a text contains, whatever the case; 1 without items, 0 without text."""
+    if not items:
+        return F.lit(1.0)
+    small = F.lower(F.coalesce(text, F.lit("")))
+    return reduce(Column.__add__, [small.contains(x.lower()).cast("int") for x in items]) / F.lit(float(len(items)))
+
+
+def fenced_object(text: Column, tag: str) -> Column:
+    """Text of the JSON object in the first fenced block whose opening line is the tag (a pattern, in either case); null without one."""
+    block = F.regexp_extract(text, rf"(?is)```{tag}\s*\n\s*(.*?)\s*```", 1)
+    return F.when(block.startswith("{") & F.try_parse_json(block).isNotNull(), block)

@@ -412,3 +412,20 @@ def thread_classes(spark, d):
     k = F.col("p_partkey") % 12
     kind = s.thread_class(F.element_at(F.array(*(F.lit(x) for x in THREADS)), (k + 1).cast("int")), F.col("p_partkey"), F.when(k == 10, F.col("p_partkey")).otherwise(-1))
     return table(spark, d, "part").select("p_partkey", kind.alias("kind")).withColumn("score", s.thread_score(F.col("kind")))
+
+
+TERMS = ("the", "DATA", "Benchmark", "query")
+
+
+@query("SELECT doc_id, (" + " + ".join(f"CAST(contains(lower(coalesce(text, '')), '{x.lower()}') AS INTEGER)" for x in TERMS) + f") / {len(TERMS)}.0 AS coverage FROM documents")
+def coverage_scores(spark, d):
+    return table(spark, d, "documents").select("doc_id", t.coverage(F.col("text"), list(TERMS)).alias("coverage"))
+
+
+BLOCKS = ("no block", "a\n```Run-IO v1\n{\"a\": 1}\n``` b\n```run-io v1\n{\"a\": 2}```", "```run-io v1\n[1]```", "```run-io v1\n{\"a\": ```")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN '{\"a\": 1}' END AS payload FROM part")
+def fenced_payloads(spark, d):
+    text = F.element_at(F.array(*(F.lit(x) for x in BLOCKS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", t.fenced_object(text, r"run-io\s+v1").alias("payload"))
