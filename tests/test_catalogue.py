@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tracegrain.plans import analyses, catalogue  # noqa: F401  (analyses adds its queries)
+from tracegrain.plans import analyses, catalogue, comparisons  # noqa: F401  (both add their queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
