@@ -133,7 +133,7 @@ def _blocks(df: DataFrame, pivot: str, size: int, name: str) -> tuple[DataFrame,
     return df.join(F.broadcast(counts), pivot).withColumn(name, F.pmod(F.xxhash64("class"), F.col(f"{name}s")).cast("int")), counts
 
 
-def search(rows: DataFrame, queries: Column, k: int = 20, count: int = 128, prefix: int = 32, posted: int = 12, probed: int = 16, rerank: float = 0.7, least: int = 400, sample: int = 20_000) -> DataFrame:
+def search(rows: DataFrame, queries: Column, k: int = 20, count: int = 128, prefix: int = 32, posted: int = 8, probed: int = 16, rerank: float = 0.7, least: int = 400, sample: int = 20_000) -> DataFrame:
     """rows (id, vector); queries: which ids are queries. Returns query_id, rank, vec_id, score.
 
     count: pivots, a number that bounds all that is broadcast; rerank: share of a block's candidates that is reranked,

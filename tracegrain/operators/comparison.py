@@ -113,9 +113,10 @@ def api_states(rows: DataFrame, keys: list[str], order: str, api: str, is_input:
     return x.groupBy(*keys, "place").agg(F.first(api).alias(api), F.bool_and(~F.col("_in") | F.col("_same")).alias("input_match"), F.bool_and(F.col("_in") | F.col("_same")).alias("output_match"))
 
 
-def first_problem(states: DataFrame, keys: list[str], api: str) -> DataFrame:
+def first_problem(states: DataFrame, keys: list[str], api: str, left_out: Column | None = None) -> DataFrame:
     """The first API of each file with equal inputs and different outputs; without one, the last good API before the first
-    with different inputs, that one, and how many lie between."""
+    with different inputs, that one, and how many lie between. APIs left out keep their places, and are none of the three."""
+    states = states if left_out is None else states.filter(~left_out)
     here = F.struct("place", api)
     same, out = F.col("input_match"), F.col("output_match")
     marks = states.groupBy(*keys).agg(F.min(F.when(same & ~out, here)).alias("hit"), F.min(F.when(~same, here)).alias("bad"))
