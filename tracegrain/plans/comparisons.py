@@ -40,11 +40,11 @@ def module_buckets(spark, d):
 
 
 @query("""WITH tr AS (SELECT DISTINCT o_custkey % 20 AS run, 'm' || (o_orderkey % 50) AS key FROM orders), mp AS (SELECT i AS k, CASE i % 4 WHEN 0 THEN [] WHEN 1 THEN ['r' || i] ELSE ['r' || i, 'r' || (i + 1), 'r' || i] END AS peers FROM range(40) x(i)),
-ro AS (SELECT DISTINCT c_custkey % 20 AS run, 'r' || (c_custkey % 45) AS key FROM customer), ex AS (SELECT DISTINCT 'm' || k AS key, unnest(peers) AS peer FROM mp), fo AS (SELECT tr.run, tr.key, string_agg(peer, ',' ORDER BY peer) AS rollout_keys, count(*) AS n FROM tr JOIN ex USING (key) JOIN ro ON ro.run = tr.run AND ro.key = ex.peer GROUP BY ALL)
+ro AS (SELECT DISTINCT c_custkey % 20 AS run, 'r' || (c_custkey // 20 % 45) AS key FROM customer), ex AS (SELECT DISTINCT 'm' || k AS key, unnest(peers) AS peer FROM mp), fo AS (SELECT tr.run, tr.key, string_agg(peer, ',' ORDER BY peer) AS rollout_keys, count(*) AS n FROM tr JOIN ex USING (key) JOIN ro ON ro.run = tr.run AND ro.key = ex.peer GROUP BY ALL)
 SELECT run, key, coalesce(rollout_keys, '') AS rollout_keys, CASE WHEN n IS NULL THEN '1:0' WHEN n = 1 THEN '1:1' ELSE '1:N' END AS cardinality, CASE WHEN n IS NULL THEN 'low' ELSE 'high' END AS confidence FROM tr LEFT JOIN fo USING (run, key)""")
 def module_mapping(spark, d):
     train = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("run"), F.concat(F.lit("m"), (F.col("o_orderkey") % 50).cast("string")).alias("key")).distinct()
-    rollout = table(spark, d, "customer").select((F.col("c_custkey") % 20).alias("run"), F.concat(F.lit("r"), (F.col("c_custkey") % 45).cast("string")).alias("key"))
+    rollout = table(spark, d, "customer").select((F.col("c_custkey") % 20).alias("run"), F.concat(F.lit("r"), (F.floor(F.col("c_custkey") / 20) % 45).cast("string")).alias("key"))
     i = F.col("id")
     of = lambda x: F.concat(F.lit("r"), x.cast("string"))
     peers = F.when(i % 4 == 0, F.array().cast("array<string>")).when(i % 4 == 1, F.array(of(i))).otherwise(F.array(of(i), of(i + 1), of(i)))
@@ -68,14 +68,16 @@ def root_cause_suspects(spark, d):
     return comparison.suspects(pairs, train, rollout, "user_id")
 
 
-DUMP = f"""{EV}, du AS (SELECT user_id, idx, event_type AS api, event_id % 2 = 0 AS is_input, event_id % 6 <> 1 AND event_id % 10 <> 4 AS same FROM ev),
-gr AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS place FROM (SELECT *, CASE WHEN lag(api) OVER (PARTITION BY user_id ORDER BY idx) = api THEN 0 ELSE 1 END AS nw FROM du)),
-ap AS (SELECT user_id, CAST(place AS BIGINT) AS place, min(api) AS api, bool_and(NOT is_input OR same) AS input_match, bool_and(is_input OR same) AS output_match FROM gr GROUP BY user_id, place)"""
+DUMP = f"""{EV}, du AS (SELECT user_id, idx // 6 AS part, idx, event_type AS api, event_id % 2 = 0 AS is_input, event_id % 6 <> 1 AND event_id % 10 <> 4 AS same FROM ev),
+gr AS (SELECT *, sum(nw) OVER (PARTITION BY user_id, part ORDER BY idx ROWS UNBOUNDED PRECEDING) AS place FROM (SELECT *, CASE WHEN lag(api) OVER (PARTITION BY user_id, part ORDER BY idx) = api THEN 0 ELSE 1 END AS nw FROM du)),
+ap AS (SELECT user_id, part, CAST(place AS BIGINT) AS place, min(api) AS api, bool_and(NOT is_input OR same) AS input_match, bool_and(is_input OR same) AS output_match FROM gr GROUP BY user_id, part, place)"""
+DUMPS = ["user_id", "part"]
 
 
 def states(spark, d):
     n = F.col("event_id")
-    return comparison.api_states(traces(spark, d).withColumn("api", F.col("event_type")), ["user_id"], "idx", "api", n % 2 == 0, (n % 6 != 1) & (n % 10 != 4))
+    rows = traces(spark, d).withColumn("api", F.col("event_type")).withColumn("part", F.floor(F.col("idx") / 6))
+    return comparison.api_states(rows, DUMPS, "idx", "api", n % 2 == 0, (n % 6 != 1) & (n % 10 != 4))
 
 
 @query(f"WITH {DUMP} SELECT * FROM ap")
@@ -83,12 +85,13 @@ def dump_api_states(spark, d):
     return states(spark, d)
 
 
-@query(f"""WITH {DUMP}, mk AS (SELECT user_id, min(CASE WHEN input_match AND NOT output_match THEN place END) AS hit, min(CASE WHEN NOT input_match THEN place END) AS bad FROM ap GROUP BY 1),
-gd AS (SELECT user_id, max(place) AS good FROM ap JOIN mk USING (user_id) WHERE input_match AND output_match AND (bad IS NULL OR place < bad) GROUP BY 1)
-SELECT mk.user_id, h.api AS first_api, CASE WHEN hit IS NULL THEN g.api END AS last_good, CASE WHEN hit IS NULL THEN b.api END AS first_bad, CASE WHEN hit IS NULL AND bad IS NOT NULL AND good IS NOT NULL THEN greatest(bad - good - 1, 0) WHEN hit IS NULL THEN 0 END AS between
-FROM mk LEFT JOIN gd USING (user_id) LEFT JOIN ap h ON h.user_id = mk.user_id AND h.place = hit LEFT JOIN ap b ON b.user_id = mk.user_id AND b.place = bad LEFT JOIN ap g ON g.user_id = mk.user_id AND g.place = good""")
+@query(f"""WITH {DUMP}, us AS (SELECT * FROM ap WHERE api <> 'view'), mk AS (SELECT user_id, part, min(CASE WHEN input_match AND NOT output_match THEN place END) AS hit, min(CASE WHEN NOT input_match THEN place END) AS bad FROM us GROUP BY ALL),
+gd AS (SELECT user_id, part, max(place) AS good FROM us JOIN mk USING (user_id, part) WHERE input_match AND output_match AND (bad IS NULL OR place < bad) GROUP BY ALL),
+al AS (SELECT * FROM mk LEFT JOIN gd USING (user_id, part)), nm AS (SELECT user_id, part, place, api FROM ap)
+SELECT al.user_id, al.part, h.api AS first_api, CASE WHEN hit IS NULL THEN g.api END AS last_good, CASE WHEN hit IS NULL THEN b.api END AS first_bad, CASE WHEN hit IS NULL AND bad IS NOT NULL AND good IS NOT NULL THEN greatest(bad - good - 1, 0) WHEN hit IS NULL THEN 0 END AS between
+FROM al LEFT JOIN nm h ON h.user_id = al.user_id AND h.part = al.part AND h.place = hit LEFT JOIN nm b ON b.user_id = al.user_id AND b.part = al.part AND b.place = bad LEFT JOIN nm g ON g.user_id = al.user_id AND g.part = al.part AND g.place = good""")
 def dump_first_problem(spark, d):
-    return comparison.first_problem(states(spark, d), ["user_id"], "api")
+    return comparison.first_problem(states(spark, d), DUMPS, "api", F.col("api") == "view")
 
 
 @query(f"""WITH {EV}, nm AS (SELECT user_id, idx, CASE WHEN event_id % 5 = 0 THEN '' WHEN user_id % 3 = 0 THEN 'Module.' || event_type WHEN event_type = 'error' THEN 'Functional.add' ELSE 'Cell.' || event_type END AS name FROM ev)
