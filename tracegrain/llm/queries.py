@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracegrain.llm import annperm, bpe, decontam, fmdedup, langid, ngramjoin, preferences, resampling, secrets, toxicity
+from tracegrain.llm import annperm, bpe, decontam, fmdedup, langid, mixing, ngramjoin, pqcodes, preferences, resampling, secrets, toxicity, tput
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_language_id": langid.op9_language_id,
         "op10_substring_dedup": fmdedup.op10_substring_dedup,
+        "op11_ranked_search": tput.op11_ranked_search,
+        "op12_source_mix": mixing.op12_source_mix,
+        "op13_vector_codes": pqcodes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preferences": preferences.OP5_SQL}
+    return {"op5_preferences": preferences.OP5_SQL, "op11_ranked_search": tput.OP11_SQL, "op12_source_mix": mixing.OP12_SQL, "op13_vector_codes": pqcodes.OP13_SQL}
