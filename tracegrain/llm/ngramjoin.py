@@ -153,6 +153,9 @@ class _Join:
         schema = f"doc_id {kind}, row bigint, node decimal(38,0), size bigint, prefix array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCH)
         self.table = written(self.docs.mapInArrow(_prefixes(n, percent, counts.tobytes()), schema), "prefixes")
         # equal sets have equal prefixes, so any row stands for its class
+        repeats = self.table.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row")
+        self.repeats = written(repeats, "repeats")
+        self.repeated = not self.repeats.isEmpty()
         self.classes = self.table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def shared(self) -> DataFrame:
@@ -185,7 +188,11 @@ class _Join:
         """Pairs (a, b), of a written table, whose whole sets reach the similarity."""
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         rows = written(self.rows.join(wanted, "node", "left_semi").select("row"), "rows")
-        sets = written(self.docs.join(rows, "row", "left_semi").select("text").mapInArrow(_whole_sets(self.n), "node decimal(38,0), grams array<bigint>"), "sets")
+        texts = self.docs.join(rows, "row", "left_semi")
+        if self.repeated:  # rows of equal id and text stand for one class once
+            more = self.docs.join(rows.join(self.repeats, "row", "left_semi"), "row", "left_semi").dropDuplicates(["row"])
+            texts = texts.join(self.repeats, "row", "left_anti").unionByName(more)
+        sets = written(texts.select("text").mapInArrow(_whole_sets(self.n), "node decimal(38,0), grams array<bigint>"), "sets")
         both = pairs.join(_sided(sets, "a"), "a").join(_sided(sets, "b"), "b")
         shared = F.size(F.array_intersect("grams_a", "grams_b"))
         return written(both.filter(shared * (100 + self.percent) >= (F.size("grams_a") + F.size("grams_b")) * self.percent).select("a", "b").distinct(), "links", rows, sets)
