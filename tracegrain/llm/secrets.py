@@ -17,7 +17,8 @@ and scanned in windows of 1 MB, each of which begins at least 64 KB, and at most
 
 Edge cases: a null text counts as empty: no spans, digest of the empty string. Repeated rows and null ids give one
 result row each. n_unopened counts what was not scanned whole: such streams within each other more than `DEEP` times, and
-windows of 16 MB cut within a token. Other columns are ignored, whatever their names.
+windows of 16 MB cut within a token. Escapes nested more than `STEPS` deep are unwrapped to their end in one layer; the
+layers between, and compressed bytes escaped so often, are not scanned. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,10 +68,10 @@ def base_spans(text: str, runs: list[re.Match] | None = None) -> list[tuple[int,
 class Layer:
     """A text and where its characters came from: pieces (own start, parent start, parent end, copied as they are)."""
 
-    __slots__ = ("parent", "pieces", "starts", "text")
+    __slots__ = ("parent", "pieces", "starts", "steps", "text")
 
-    def __init__(self, text: str, parent: Layer | None = None, pieces: list[tuple[int, int, int, bool]] | None = None):
-        self.text, self.parent, self.pieces = text, parent, pieces or []
+    def __init__(self, text: str, parent: Layer | None = None, pieces: list[tuple[int, int, int, bool]] | None = None, steps: int = 0):
+        self.text, self.parent, self.pieces, self.steps = text, parent, pieces or [], steps
         self.starts = [p[0] for p in self.pieces]
 
     def source(self, start: int, end: int) -> tuple[int, int]:
@@ -88,6 +89,11 @@ BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
 #: Bytes of a window over a large stream at first and at most, that it shares with the next, and that are unpacked at once.
 WINDOW, MOST, SHARED, CHUNK = 1 << 20, 1 << 24, 1 << 16, 1 << 18
 DEEP = 8
+#: Escapes within escapes are unwrapped one layer at a time so often; then all that are left go in one pass.
+STEPS = 8
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+#: A character, or an escaped sign of escapes as often as it is escaped again.
+UNIT = re.compile(r"%(?:25)+|\\(?:u005[cC]|x5[cC])+|.", re.S)
 TOKEN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\{}\r\n"
 
 
@@ -254,7 +260,59 @@ def _rewritten(layer: Layer, pattern: re.Pattern, turn) -> Layer | None:
     if at < len(layer.text):
         out.append(layer.text[at:])
         pieces.append((size, at, len(layer.text), True))
-    return Layer("".join(out), layer, pieces) if pieces else None
+    return Layer("".join(out), layer, pieces, layer.steps + 1) if pieces else None
+
+
+def _complete(stack: list[tuple[str, int, int, bool]]) -> int:
+    """How many of the last characters are one escape; 0 if they are none. Raw bytes are no digits."""
+    digits = lambda n: len(stack) >= n and all(c in HEX_DIGITS and not raw for c, _, _, raw in stack[-n:])
+    sign = lambda n, c: len(stack) >= n and stack[-n][0] == c
+    if stack[-1][0] == "}":
+        at = next((n for n in range(2, 9) if sign(n, "{")), 0)
+        inner = [c for c, *_ in stack[-at + 1 : -1]] if at else []
+        return at + 2 if inner and all(c in HEX_DIGITS for c in inner) and sign(at + 1, "u") and sign(at + 2, "\\") else 0
+    if not digits(2):
+        return 0
+    if sign(3, "%"):
+        return 3
+    for mark, n in (("x", 2), ("u", 4), ("U", 8)):
+        if sign(n + 2, "\\") and sign(n + 1, mark) and digits(n):
+            return n + 2
+    return 0
+
+
+def _unescaped(layer: Layer) -> Layer | None:
+    """The layer with escapes unwrapped until none is left, in one pass: what is unwrapped can end the next escape."""
+    stack: list[tuple[str, int, int, bool]] = []  # character, its source, and whether it is a byte of more than 7 bits
+    for m in UNIT.finditer(layer.text):
+        char = m[0][0]
+        stack.append((char, m.start(), m.end(), False))
+        while (char in HEX_DIGITS or char == "}") and (n := _complete(stack)):
+            parts = stack[-n:]
+            byte = parts[0][0] == "%" or parts[1][0] == "x"
+            value = int("".join(c for c, *_ in parts[1 if parts[0][0] == "%" else 2 :]).strip("{}"), 16)
+            if value >= 0x110000:
+                break
+            del stack[-n:]
+            char = chr(value)
+            stack.append((char, parts[0][1], parts[-1][2], byte and value > 127))
+    if len(stack) == len(layer.text):
+        return None
+    out, pieces, size = [], [], 0
+    for raw, group in itertools.groupby(stack, lambda x: (x[3] or 0xD800 <= ord(x[0]) < 0xE000, x[2] - x[1] > 1)):
+        own = list(group)
+        text = "".join(c for c, *_ in own)
+        if raw[0]:
+            text = readings(text.encode("latin-1"))[0] if own[0][3] and own[-1][3] else text.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")
+            pieces.append((size, own[0][1], own[-1][2], False))
+        elif raw[1]:
+            pieces += [(size + i, a, b, False) for i, (_, a, b, _) in enumerate(own)]
+        else:
+            starts = [i for i in range(len(own)) if not i or own[i][1] != own[i - 1][2]]
+            pieces += [(size + i, own[i][1], own[j - 1][2], True) for i, j in zip(starts, [*starts[1:], len(own)], strict=True)]
+        out.append(text)
+        size += len(text)
+    return Layer("".join(out), layer, pieces, layer.steps + 1)
 
 
 def _escaped(layer: Layer, pattern: re.Pattern, room: Room) -> tuple[list[Layer], list[tuple[int, int, int]]]:
@@ -313,7 +371,9 @@ def children(layer: Layer, runs: list[re.Match], room: Room) -> tuple[list[Layer
     """All layers one step below, and (start, kind, end) of what streams hold that were not made layers for their size."""
     found, spans = [], []
     text = layer.text
-    for sign, pattern in (("%", PERCENT), ("\\", ESCAPE)):
+    if layer.steps >= STEPS and (last := _unescaped(layer)):
+        found.append(last)
+    for sign, pattern in (("%", PERCENT), ("\\", ESCAPE)) if layer.steps < STEPS else ():
         if sign in text:
             layers, more = _escaped(layer, pattern, room)
             found += layers
@@ -359,7 +419,7 @@ def scan(text: str, expansion: int = 1 << 24, room: Room | None = None) -> tuple
         found, below = known[mark]
         for start, kind, end in found:
             places.setdefault((mark, start, kind, end), set()).add(layer.source(start, end))
-        work += [Layer(x.text, layer, x.pieces) for x in below]
+        work += [Layer(x.text, layer, x.pieces, x.steps) for x in below]
     spans = {*base, *large}
     for (_, _, kind, _), of in places.items():
         stop = -1
