@@ -10,7 +10,8 @@ the bound are verified by banded alignment, which also gives the edits and the p
 Texts are compared in lower case, with every run of other characters than letters and digits as one space; spans are
 code points of the document's own text.
 
-The benchmark is taken in blocks of bounded size, each of which is sent to all tasks; documents are never shuffled.
+The benchmark is taken in blocks of bounded size, each of which is sent to all tasks before the next is collected; documents are never shuffled.
+Items of fewer characters than a probe are one probe, with as many fewer edits as the lemma's bound needs to stay above 0.
 
 Edge cases: a null or empty document or item matches nothing, nor does an item of fewer than q + 1 compared characters.
 Repeated rows give repeated results; items with equal texts give a result each. Null ids stay null. Other columns are
@@ -20,6 +21,8 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.llm import textvec
+from tracegrain.llm.scratch import written
 
 #: Bits that choose a cell in the table of the benchmark's q-grams.
 CELL_BITS = 22
@@ -244,15 +248,14 @@ def _search(groups: list[Probes], q: int):
     return run
 
 
-def blocks(benchmark: DataFrame, most: int) -> list[list[tuple]]:
-    """(item_id, text) rows in blocks of about `most` characters, each collected by itself when it is used."""
+def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
+    """(item_id, text) rows in blocks of about `most` characters, each collected when it is asked for."""
     sized = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
     total = sized.agg(F.sum(F.char_length("text"))).first()[0] or 0
     count = -(-total // most) or 1
-    if count == 1:
-        return [[tuple(r) for r in sized.sort("item_id", "text").collect()]]
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * count))
-    return [[tuple(r) for r in sized.filter(part == i).sort("item_id", "text").collect()] for i in range(2 * count)]
+    for i in range(2 * count if count > 1 else 1):
+        yield [tuple(r) for r in (sized.filter(part == i) if count > 1 else sized).sort("item_id", "text").collect()]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, probe: int = 128, rate: float = 0.1, block_chars: int = 4_000_000, short: int = 64) -> DataFrame:
@@ -262,21 +265,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, probe: int = 128,
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
     schema = "doc_id bigint, item_id bigint, probes bigint, matched bigint, edits bigint, spans string"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out, last = docs.sparkSession.createDataFrame([], schema), None
     for rows in blocks(benchmark, block_chars):
-        if rows and (known := probes(rows, q, probe, rate, short)):
-            out = out.unionByName(docs.mapInArrow(_search(known, q), schema))
-    return out
+        if last is not None:  # done before the next block is held
+            out = out.unionByName(written(last, "matches"))
+        known = probes(rows, q, probe, rate, short) if rows else None
+        last = docs.mapInArrow(_search(known, q), schema) if known else None
+        del rows, known
+    return out if last is None else out.unionByName(last)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id has no match; rows with a null doc_id are kept only if their text has none.
+    """The rows of docs whose text has no match. Rows are told apart by 64 bits of doc_id and text, so rows that share a doc_id are judged each.
 
-    The ids that match are few beside the documents, so Spark can choose how to join them.
+    The rows that match are few beside the documents, so Spark can choose how to join them.
     """
-    keyed = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("bigint"), -F.abs(F.xxhash64("text"))))
-    found = matches(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(found, "_row", "left_anti").drop("_row")
+    taken = {c.lower() for c in docs.columns}
+    row = next(c for c in itertools.chain(["_row"], (f"_row{i}" for i in itertools.count())) if c not in taken)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = matches(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(found, row, "left_anti").drop(row)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
