@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrain.functions import scalars
+from tracegrain.operators import scans
 from tracegrain.operators.memory import exact_sum
 
 
@@ -86,10 +87,10 @@ def outlier_links(rows: DataFrame, transport: str, bandwidth: str, share: float
 
 
 def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count, mean, deviation (of a sample), quartiles, extremes and sum of each group."""
-    quart = F.percentile(value, F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75))))
-    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("std_value"), F.min(value).alias("min_value"), quart.alias("_q"), F.max(value).alias("max_value"), exact_sum(value).alias("sum_value"))
-    return out.select(*keys, "n", (F.col("sum_value") / F.col("n")).alias("mean_value"), "std_value", "min_value", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median_value"), F.col("_q")[2].alias("q3"), "max_value", "sum_value")
+    """Count, mean, deviation (of a sample), quartiles, extremes and sum of each group; no task holds a group's values."""
+    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("std_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), exact_sum(value).alias("sum_value"))
+    out = scans.with_keys(out, scans.percentiles(rows, keys, value, {"q1": 0.25, "median_value": 0.5, "q3": 0.75}), keys)
+    return out.select(*keys, "n", (F.col("sum_value") / F.col("n")).alias("mean_value"), "std_value", "min_value", "q1", "median_value", "q3", "max_value", "sum_value")
 
 
 def extreme_ranks(rows: DataFrame, keys: list[str], rank: str, value: str) -> DataFrame:
@@ -101,27 +102,31 @@ def extreme_ranks(rows: DataFrame, keys: list[str], rank: str, value: str) -> Da
 
 
 def percentiles(rows: DataFrame, key: str, value: str, at: str, tie: str) -> DataFrame:
-    """Count, total, p50, p95, p99 and largest value with when it happened."""
-    q = F.percentile(value, F.array(*(F.lit(x) for x in (0.5, 0.95, 0.99))))
-    out = rows.groupBy(key).agg(F.count("*").alias("n"), exact_sum(value).alias("total"), q.alias("_q"), F.max_by(F.struct(F.col(value).alias("v"), F.col(at).alias("t")), F.struct(F.col(value), -F.col(tie))).alias("_x"))
-    return out.select(key, "n", "total", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p95"), F.col("_q")[2].alias("p99"), F.col("_x.v").alias("max_value"), F.col("_x.t").alias("max_at"))
+    """Count, total, mean, least, p50, p90, p95, p99 and largest value with when it happened."""
+    largest = F.max_by(F.struct(F.col(value).alias("v"), F.col(at).alias("t")), F.struct(F.col(value), -F.col(tie))).alias("_x")
+    out = rows.groupBy(key).agg(F.count("*").alias("n"), exact_sum(value).alias("total"), F.min(value).alias("min_value"), F.count(value).alias("_n"), largest)
+    out = scans.with_keys(out, scans.percentiles(rows, [key], value, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}), [key])
+    return out.select(key, "n", "total", (F.col("total") / F.nullif("_n", F.lit(0))).alias("mean_value"), "min_value", "p50", "p90", "p95", "p99", F.col("_x.v").alias("max_value"), F.col("_x.t").alias("max_at"))
 
 
 def busy_time(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Span, union of the intervals, free time between them and gaps of each group: gaps and islands by a running maximum."""
-    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    x = intervals.withColumn("_before", F.max(end).over(w))
+    """Span, union of the intervals, free time between them and gaps of each group: gaps and islands by a scanned maximum."""
+    x = scans.scanned(intervals.select(*keys, start, end), keys, [start, end], {"_before": ("max", F.col(end), False)})
     gap = F.greatest(F.col(start) - F.col("_before"), F.lit(0))
     out = x.groupBy(*keys).agg(F.min(start).alias("first_start"), F.max(end).alias("last_end"), F.coalesce(F.sum(gap), F.lit(0)).alias("free_time"), F.sum((gap > 0).cast("int")).alias("gaps"), F.max(F.coalesce(gap, F.lit(0))).alias("largest_gap"))
     return out.withColumn("span", F.col("last_end") - F.col("first_start")).withColumn("busy_time", F.col("span") - F.col("free_time")).na.fill(0, ["gaps"])
 
 
+def swept(intervals: DataFrame, keys: list[str], start: str, end: str, flags: dict[str, Column]) -> DataFrame:
+    """Pieces between neighbouring starts and ends of a group: keys, piece (its length), and of each flag how many of its intervals run."""
+    ends = F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d"))))
+    points = intervals.select(*keys, *(v.cast("int").alias(k) for k, v in flags.items()), ends.alias("e")).select(*keys, F.col("e.t").alias("t"), *((F.col(k) * F.col("e.d")).alias(k) for k in flags))
+    points = points.groupBy(*keys, "t").agg(*(F.sum(k).alias(f"_{k}") for k in flags))
+    x = scans.scanned(points, keys, ["t"], {"_since": ("last", F.col("t"), False)} | {k: ("sum", F.col(f"_{k}"), False) for k in flags})
+    return x.select(*keys, (F.col("t") - F.col("_since")).alias("piece"), *flags)
+
+
 def overlap_time(intervals: DataFrame, keys: list[str], start: str, end: str, kind: str, a: str, b: str) -> DataFrame:
     """Time in which intervals of kinds a and b run together, by a sweep over starts and ends."""
-    step = F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d"))))
-    x = intervals.filter(F.col(kind).isin(a, b)).select(*keys, F.col(kind).alias("kind"), step.alias("s")).select(*keys, F.col("s.t").alias("t"), (F.col("s.d") * (F.col("kind") == a).cast("int")).alias("da"), (F.col("s.d") * (F.col("kind") == b).cast("int")).alias("db"))
-    x = x.groupBy(*keys, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = Window.partitionBy(*keys).orderBy("t")
-    x = x.select(*keys, "t", F.lead("t").over(w).alias("next"), F.sum("da").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("na"), F.sum("db").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("nb"))
-    piece = F.col("next") - F.col("t")
-    return x.groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(c, piece)), F.lit(0)).alias(n) for n, c in (("time_a", F.col("na") > 0), ("time_b", F.col("nb") > 0), ("time_both", (F.col("na") > 0) & (F.col("nb") > 0)))))
+    x = swept(intervals.filter(F.col(kind).isin(a, b)), keys, start, end, {"na": F.col(kind) == a, "nb": F.col(kind) == b})
+    return x.groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(c, F.col("piece"))), F.lit(0)).alias(n) for n, c in (("time_a", F.col("na") > 0), ("time_b", F.col("nb") > 0), ("time_both", (F.col("na") > 0) & (F.col("nb") > 0)))))

@@ -8,16 +8,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrain.operators.scans import scanned
+
 
 def exact_sum(column: str | Column) -> Column:
-    """Sum of doubles that does not depend on the order of rows: as decimals of 8 places.
+    """Sum of doubles that hardly depends on the order of rows: exact in decimals of 8 places, and what those leave of each value as doubles.
 
-    Where these cannot hold the values (one of 1e29 or more, none of 1 or more, infinite, NaN), the sum of doubles.
+    Values with up to 8 places leave nothing, so their sum is the same in any order. Values that a decimal cannot hold
+    (1e30 or more, infinite, NaN) are summed apart; where the decimals' sum overflows, all values are summed as doubles.
     """
     value = (F.col(column) if isinstance(column, str) else column).cast("double")
     exact = value.try_cast("decimal(38,8)")
-    held = (F.count(exact) == F.count(value)) & (F.max(F.abs(value)) >= 1)
-    return F.coalesce(F.when(held, F.try_sum(exact).cast("double")), F.sum(value))
+    none = F.lit(0.0)
+    rest, large = F.sum(value - exact.cast("double")), F.sum(F.when(exact.isNull(), value))
+    whole = F.try_sum(exact).cast("double")
+    total = F.coalesce(whole, none) + F.coalesce(rest, none) + F.coalesce(large, none)
+    return F.when(F.count(value) > 0, F.when((F.count(exact) > 0) & whole.isNull(), F.sum(value)).otherwise(total))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -60,9 +66,11 @@ def stack_attribution(blocks: DataFrame, stack: str, size: str, n: int = 10) ->
 
 
 def running(traces: DataFrame, device: str, order: str, delta: Column) -> DataFrame:
-    """Running sum of a signed change within each device; every event gives a row."""
-    w = Window.partitionBy(device).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return traces.withColumn("delta", delta).withColumn("running", F.sum("delta").over(w))
+    """Running sum of a signed change within each device and the number of its event, from 1; every event gives a row.
+
+    A scan over blocks, so a device that holds much of all rows is many tasks.
+    """
+    return scanned(traces.withColumn("delta", delta), [device], [order], {"running": ("sum", F.col("delta"), True), "nth": ("count", F.lit(1), True)})
 
 
 def peaks(run: DataFrame, device: str, order: str) -> DataFrame:
@@ -76,16 +84,15 @@ def peaks(run: DataFrame, device: str, order: str) -> DataFrame:
 
 def baselines(run: DataFrame, device: str, order: str) -> DataFrame:
     """Running sum after event max(1, n // 10) of each device; 0 if there are no more events than that."""
-    numbered = run.withColumn("i", F.row_number().over(Window.partitionBy(device).orderBy(order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(device)))
-    cut = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
-    return numbered.groupBy(device).agg(F.coalesce(F.max(F.when(F.col("i") == cut, F.col("running"))), F.lit(0)).alias("baseline"))
+    cuts = run.groupBy(device).agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("cut"))
+    at = run.select(F.col(device).alias("_device"), F.col("nth"), "running")
+    found = cuts.join(at, F.col(device).eqNullSafe(F.col("_device")) & (F.col("nth") == F.col("cut") + 1), "left")
+    return found.select(device, F.coalesce("running", F.lit(0)).alias("baseline"))
 
 
 def monotonic(run: DataFrame, device: str, order: str) -> DataFrame:
     """Whether a device's running value never falls and ends above its start; false with fewer than two events."""
-    w = Window.partitionBy(device).orderBy(order)
-    steps = run.withColumn("before", F.lag("running").over(w))
-    ends = steps.groupBy(device).agg(F.count("*").alias("n"), F.bool_and(F.col("before").isNull() | (F.col("running") >= F.col("before"))).alias("never_falls"), F.min_by("running", order).alias("first"), F.max_by("running", order).alias("last"))
+    ends = run.groupBy(device).agg(F.count("*").alias("n"), F.bool_and((F.col("nth") == 1) | (F.col("delta") >= 0)).alias("never_falls"), F.min_by("running", order).alias("first"), F.max_by("running", order).alias("last"))
     return ends.select(device, "n", (F.col("never_falls") & (F.col("last") > F.col("first")) & (F.col("n") >= 2)).alias("monotonic"))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrain.operators.scans import with_keys
+from tracegrain.tables import dropped, written
+
 MISSING = "<MISSING>"
 
 
@@ -63,19 +66,72 @@ def counterpart(node: Column, ours: str = "NPU_", theirs: str = "Bench_") -> Col
 
 
 def ancestors(nodes: DataFrame, starts: DataFrame, key: str, parent: str, depth: int = 50) -> DataFrame:
-    """Each start's way up: start, node, depth. Steps are joins; a way ends at its root, at `depth`, or where it would repeat a node.
+    """Each start's way up: start, node, depth. A way ends at its root, at `depth`, or before it would repeat a node.
 
-    Stops as soon as no way grows, so a balanced tree of n nodes takes log n joins.
+    By pointer doubling on written tables: each round joins all ways so far with pointers of twice the last length, so a way of n
+    nodes takes log n joins. A key may be a struct (rank and name, say); it has one parent.
     """
-    up = nodes.select(F.col(key).alias("node"), F.col(parent).alias("above")).filter("above is not null")
-    step = starts.select(F.col(key).alias("start"), F.col(key).alias("node"), F.lit(0).alias("depth"), F.array(F.col(key)).alias("path"))
-    found = [step]
-    for i in range(1, depth + 1):
-        step = step.join(up, "node").filter(~F.array_contains("path", F.col("above"))).select("start", F.col("above").alias("node"), F.lit(i).alias("depth"), F.array_append("path", F.col("above")).alias("path"))
-        if step.isEmpty():
+    jumps = written(nodes.select(F.col(key).alias("node"), F.col(parent).alias("above")).filter("node is not null and above is not null").dropDuplicates(["node"]), "jumps")
+    ways = written(starts.select(F.col(key).alias("start")).distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "ways")
+    length = 1
+    while length <= depth:
+        longer = ways.join(jumps, "node").select("start", F.col("above").alias("node"), (F.col("depth") + length).alias("depth")).filter(F.col("depth") <= depth)
+        more = written(longer, "ways")
+        if more.isEmpty():
+            dropped(more)
             break
-        found.append(step)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.select("start", "node", "depth")
+        ways = written(ways.unionByName(more), "ways", ways, more)
+        further = jumps.join(jumps.select(F.col("node").alias("above"), F.col("above").alias("_next")), "above").select("node", F.col("_next").alias("above"))
+        jumps, length = written(further, "jumps", jumps), 2 * length
+    # a circle comes round to nodes that the way has: the first visit counts
+    return ways.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+
+
+def chains(links: DataFrame, starts: DataFrame, key: list[str], parent: str, depth: int = 1000) -> DataFrame:
+    """Each start's chain of callers: the key's columns, chain (the last key column of each node, from the start upwards).
+
+    links: the key's columns and the parent's name, within the other key columns. A chain holds at most `depth` + 1 names.
+    """
+    scope, name = key[:-1], key[-1]
+    node = F.struct(*(F.col(c) for c in key))
+    above = F.when(F.col(parent).isNotNull(), F.struct(*(F.col(c) for c in scope), F.col(parent).alias(name)))
+    found = ancestors(links.select(node.alias("_node"), above.alias("_above")), starts.select(node.alias("_node")), "_node", "_above", depth)
+    steps = F.sort_array(F.collect_list(F.struct("depth", F.col(f"node.{name}").alias("name"))))
+    return found.groupBy("start").agg(F.transform(steps, lambda x: x["name"]).alias("chain")).select("start.*", "chain")
+
+
+#: Beginnings of op names that fill or copy memory, and of those that give -inf by right.
+NOT_COMPUTING = ("torch.empty", "torch.full", "torch.zeros", "torch.ones", "tensor.to", "tensor.clone", "tensor.detach")
+NPU_FILLS = r"^npu\.\w*_(empty|full)"
+LEGAL_MINUS_INF = ("tensor.masked_fill", "torch.masked_fill", "tensor.where", "torch.where", "tensor.triu", "torch.triu", "tensor.tril", "torch.tril")
+
+
+def _begins(op: Column, names: tuple[str, ...]) -> Column:
+    """Whether the name is one of those, or goes on behind a dot or underscore."""
+    pattern = "^(" + "|".join(n.replace(".", r"\.") for n in names) + r")(?![a-z0-9])(?!_(?!\d|\b))"
+    return F.lower(op).rlike(pattern)
+
+
+def computes(op: Column) -> Column:
+    """Whether NaN and infinity of the op's values tell anything: not for ops that fill or copy memory."""
+    return ~(_begins(op, NOT_COMPUTING) | F.lower(op).rlike(NPU_FILLS))
+
+
+def anomalous(op: Column, *ends: Column) -> Column:
+    """Whether one of a tensor's ends (Max, Min; texts) is nan or infinite; -inf counts only where the op does not give it by right."""
+    values = F.array(*(F.lower(F.btrim(e, F.lit(" \t\r\n"))) for e in ends))
+    legal = _begins(op, LEGAL_MINUS_INF)
+    return F.coalesce(F.exists(values, lambda v: v.isin("nan", "inf", "+inf") | ((v == "-inf") & ~legal)), F.lit(False))
+
+
+def first_anomalies(tensors: DataFrame, links: DataFrame, stacks: DataFrame, rank: str, op: str, order: str, bad_input: Column, bad_output: Column, parent: str, stack: str, depth: int = 1000) -> DataFrame:
+    """Of each rank the first op in execution order with an anomaly in its input or output: rank, op, exec_order, kind, chain and stack.
+
+    kind: input, output or both. links (rank, op, parent): which op called which; stacks (rank, op, stack). Ops that do not compute are passed over.
+    """
+    x = tensors.filter(computes(F.col(op))).select(rank, op, F.col(order).alias("exec_order"), bad_input.alias("_i"), bad_output.alias("_o")).filter("_i or _o")
+    kind = F.when(F.col("_i") & F.col("_o"), "both").when(F.col("_i"), "input").otherwise("output")
+    first = x.groupBy(rank).agg(F.min_by(F.struct(op, "exec_order", kind.alias("kind")), F.struct("exec_order", op)).alias("x")).select(rank, "x.*")
+    first = written(first, "anomalies")
+    found = with_keys(first, chains(links.select(rank, op, parent), first, [rank, op], parent, depth), [rank, op])
+    return with_keys(found, stacks.select(rank, op, stack).dropDuplicates([rank, op]), [rank, op])

@@ -1,6 +1,6 @@
 """Steps and ranks: time metrics of a step, rows of stages, comparisons, top collectives, marks, time split and outliers.
 
-A group of rows that one window sorts is one step of one rank, or smaller.
+Sweeps over starts and ends are scans over blocks, so a step or rank of any size is many tasks.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegrain.operators.cluster import summary
+from tracegrain.operators.cluster import summary, swept
 from tracegrain.operators.memory import exact_sum
 
 COMPUTE, COMMUNICATE, COPY = "computation", "communication", "memory"
@@ -21,17 +21,11 @@ def step_metrics(rows: DataFrame, keys: list[str], start: str, end: str, kind: s
     input, as long integers. stage is what is not receiving, bubble is receiving; preparing and tail lie before the first
     and behind the last computation or communication. A metric without rows is 0, the mean launch delay null.
     """
-    is_kind = lambda k: (F.col(kind) == k).cast("int")
-    flags = {"c": is_kind(COMPUTE), "m": is_kind(COMMUNICATE), "y": is_kind(COPY), "r": ((F.col(kind) == COMMUNICATE) & receive).cast("int")}
-    ends = F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d"))))
-    points = rows.select(*keys, *(v.alias(k) for k, v in flags.items()), ends.alias("e")).select(*keys, F.col("e.t").alias("t"), *((F.col(k) * F.col("e.d")).alias(k) for k in flags))
-    points = points.groupBy(*keys, "t").agg(*(F.sum(k).alias(k) for k in flags))
-    w = Window.partitionBy(*keys).orderBy("t")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    points = points.select(*keys, (F.lead("t").over(w) - F.col("t")).alias("d"), *((F.sum(k).over(upto) > 0).alias(k) for k in flags))
-    time = lambda c: F.coalesce(F.sum(F.when(c, F.col("d"))), F.lit(0))
-    c, m, y, r = (F.col(k) for k in flags)
-    swept = points.groupBy(*keys).agg(
+    flags = {"c": F.col(kind) == COMPUTE, "m": F.col(kind) == COMMUNICATE, "y": F.col(kind) == COPY, "r": (F.col(kind) == COMMUNICATE) & receive}
+    pieces = swept(rows, keys, start, end, flags)
+    time = lambda c: F.coalesce(F.sum(F.when(c, F.col("piece"))), F.lit(0))
+    c, m, y, r = (F.coalesce(F.col(k) > 0, F.lit(False)) for k in flags)
+    times = pieces.groupBy(*keys).agg(
         time(c).alias("computation"), time(m & ~c).alias("communication_not_overlapped"), time(m & c).alias("overlapped"), time(m).alias("communication"), time(~c & ~m & ~y).alias("free"),
         time(y).alias("memory"), time(y & ~c & ~m).alias("memory_not_overlapped"), time(r).alias("bubble"), time(m & ~c & ~r).alias("communication_without_receive"),
     )
@@ -41,7 +35,7 @@ def step_metrics(rows: DataFrame, keys: list[str], start: str, end: str, kind: s
         F.coalesce(F.sum(F.when(F.col(kind) == COMMUNICATE, F.col(wait))), F.lit(0)).alias("wait"), F.coalesce(F.sum(F.when(F.col(kind) == COMMUNICATE, F.col(end) - F.col(start) - F.col(wait))), F.lit(0)).alias("transmit"),
         F.avg(F.col(start) - F.col(launched)).alias("launch_delay_avg"),
     )
-    return own.join(swept, keys).withColumn("stage", F.col("step_time") - F.col("bubble"))
+    return own.join(times, keys).withColumn("stage", F.col("step_time") - F.col("bubble"))
 
 
 def with_stages(rows: DataFrame, step: str, rank: str, stage: str, metrics: list[str]) -> DataFrame:

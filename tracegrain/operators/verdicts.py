@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracegrain.functions import textual
 from tracegrain.operators import memory
 from tracegrain.operators.memory import exact_sum
 
@@ -32,13 +33,13 @@ def contributors(rows: DataFrame, device: str, size: str, tie: str, n: int = 10)
 def fragmentation(segments: DataFrame, blocks: DataFrame, total: str, allocated: str, size: str, pending: Column) -> DataFrame:
     """One row: share of reserved bytes that is free, and how much of that only waits to be freed (above half: pseudo).
 
-    The totals are of all devices, whatever the details are narrowed to.
+    The totals are of all devices, whatever the details are narrowed to. Shares are rounded to one place before they are judged.
     """
     whole = segments.agg(exact_sum(total).alias("reserved"), exact_sum(allocated).alias("allocated"))
     waits = blocks.filter(pending).agg(F.coalesce(exact_sum(size), F.lit(0.0)).alias("pending"))
     x = whole.crossJoin(waits).withColumn("free", F.col("reserved") - F.col("allocated"))  # both are one row
-    x = x.withColumn("frag_pct", F.when(F.col("reserved") > 0, F.col("free") * 100.0 / F.nullif("reserved", F.lit(0.0))).otherwise(0.0))
-    x = x.withColumn("pending_pct", F.when(F.col("free") > 0, F.col("pending") * 100.0 / F.nullif("free", F.lit(0.0))).otherwise(0.0))
+    x = x.withColumn("frag_pct", F.when(F.col("reserved") > 0, textual.half_even(F.col("free") / F.nullif("reserved", F.lit(0.0)) * 100, 1)).otherwise(0.0))
+    x = x.withColumn("pending_pct", F.when(F.col("free") > 0, textual.half_even(F.col("pending") / F.nullif("free", F.lit(0.0)) * 100, 1)).otherwise(0.0))
     return x.withColumn("status", status(F.col("frag_pct"), 5, 15)).withColumn("pseudo", F.col("pending_pct") > 50)
 
 

@@ -163,7 +163,7 @@ def peak_contributors(spark, d):
 
 
 @query(f"""WITH {SEG}, a AS (SELECT {dec('l_extendedprice')} AS reserved, {dec('allocated')} AS allocated, coalesce({dec("CASE WHEN l_returnflag = 'R' THEN l_extendedprice * l_discount END")}, 0) AS pending FROM segs),
-b AS (SELECT *, reserved - allocated AS free, CASE WHEN reserved > 0 THEN (reserved - allocated) * 100.0 / reserved ELSE 0 END AS frag_pct, CASE WHEN reserved > allocated THEN pending * 100.0 / (reserved - allocated) ELSE 0 END AS pending_pct FROM a)
+b AS (SELECT *, reserved - allocated AS free, CASE WHEN reserved > 0 THEN round_even((reserved - allocated) / reserved * 100, 1) ELSE 0 END AS frag_pct, CASE WHEN reserved > allocated THEN round_even(pending / (reserved - allocated) * 100, 1) ELSE 0 END AS pending_pct FROM a)
 SELECT *, CASE WHEN frag_pct > 15 THEN 'critical' WHEN frag_pct > 5 THEN 'attention' ELSE 'healthy' END AS status, pending_pct > 50 AS pseudo FROM b""")
 def fragment_verdict(spark, d):
     x = segments(spark, d)

@@ -47,7 +47,7 @@ def traces(spark: SparkSession, d: str) -> DataFrame:
 SEG = "segs AS (SELECT l.*, l_extendedprice * (1 - l_discount) AS allocated, n_name, n_regionkey, s_nationkey FROM lineitem l JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"
 EV = "ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, epoch_us(ts) AS us FROM events)"
 RUN = "run AS (SELECT *, sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END * CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM ev)"
-dec = lambda x: f"CAST(sum(CAST({x} AS DECIMAL(38,8))) AS DOUBLE)"
+dec = lambda x: f"(CAST(sum(CAST({x} AS DECIMAL(38,8))) AS DOUBLE) + sum({x} - CAST(CAST({x} AS DECIMAL(38,8)) AS DOUBLE)))"
 
 
 # ---- memory ----
@@ -111,6 +111,7 @@ def net_trend(spark, d):
 
 
 def reserved(spark, d):
+    """Running value in hundredths."""
     sign = F.when(F.col("event_type").isin("purchase", "signup"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
     return memory.running(traces(spark, d), "user_id", "event_id", sign * F.round(F.col("value") * 100).cast("bigint"))
 
@@ -194,7 +195,7 @@ def comm_stats(spark, d):
 @query(f"""WITH x AS (SELECT l_returnflag, p_type, c_nationkey, s_nationkey, l_quantity, l_extendedprice, l_extendedprice / nullif(l_quantity, 0) / 100 AS bw FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey)
 SELECT l_returnflag, count(*) AS row_count, count(DISTINCT p_type) AS op_count, count(DISTINCT c_nationkey || '->' || s_nationkey) AS pair_count, {dec('l_quantity')} AS total_size, {dec('l_extendedprice')} AS total_time,
-min(bw) AS min_bw, max(bw) AS max_bw, CAST(sum(CASE WHEN bw < 10 THEN 1 ELSE 0 END) AS BIGINT) AS low_count, CAST(sum(CAST(bw AS DECIMAL(38,8))) AS DOUBLE) / count(bw) AS avg_bw FROM x GROUP BY 1""")
+min(bw) AS min_bw, max(bw) AS max_bw, CAST(sum(CASE WHEN bw < 10 THEN 1 ELSE 0 END) AS BIGINT) AS low_count, {dec('bw')} / count(bw) AS avg_bw FROM x GROUP BY 1""")
 def link_overview(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "c_nationkey")
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
@@ -260,14 +261,14 @@ def op_summary_rank(spark, d):
     return cluster.summary(typed(spark, d), ["l_suppkey", "p_type"], "v")
 
 
-@query("""WITH x AS (SELECT event_type, user_id, CAST(sum(CAST(value AS DECIMAL(38,8))) AS DOUBLE) AS v FROM events GROUP BY ALL), e AS (SELECT event_type, min(v) AS lo, max(v) AS hi FROM x GROUP BY 1)
+@query(f"""WITH x AS (SELECT event_type, user_id, {dec('value')} AS v FROM events GROUP BY ALL), e AS (SELECT event_type, min(v) AS lo, max(v) AS hi FROM x GROUP BY 1)
 SELECT event_type, string_agg(CASE WHEN v = lo THEN CAST(user_id AS VARCHAR) END, ',' ORDER BY user_id) AS min_ranks, string_agg(CASE WHEN v = hi THEN CAST(user_id AS VARCHAR) END, ',' ORDER BY user_id) AS max_ranks FROM x JOIN e USING (event_type) GROUP BY 1""")
 def api_summary(spark, d):
     per = table(spark, d, "events").groupBy("event_type", "user_id").agg(exact_sum("value").alias("v"))
     return cluster.extreme_ranks(per, ["event_type"], "user_id", "v")
 
 
-@query(f"""WITH x AS (SELECT event_type, count(*) AS n, {dec('value')} AS total, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS max_value, first(epoch_us(ts) ORDER BY value DESC, event_id) AS max_at FROM events GROUP BY 1) SELECT * FROM x""")
+@query(f"""WITH x AS (SELECT event_type, count(*) AS n, {dec('value')} AS total, {dec('value')} / count(value) AS mean_value, min(value) AS min_value, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS max_value, first(epoch_us(ts) ORDER BY value DESC, event_id) AS max_at FROM events GROUP BY 1) SELECT * FROM x""")
 def api_percentiles(spark, d):
     return cluster.percentiles(traces(spark, d), "event_type", "value", "us", "event_id")
 
