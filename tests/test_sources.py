@@ -1,10 +1,12 @@
 import json
 import pickle
+import random
 import sqlite3
+import struct
 
 import pytest
 
-from tracegrain.sources import files, snapshot, sqlite
+from tracegrain.sources import files, snapshot, sqlite, tensors, traces
 from tracegrain.streaming import events
 
 
@@ -88,3 +90,41 @@ def test_streams_match_batches(spark, tmp_path):
     calls = stream.filter("event_type = 'click'").selectExpr("user_id as run_id", "event_id as call_id", "ts as at")
     results = stream.filter("event_type = 'view'").selectExpr("user_id as run_id", "event_id as call_id", "ts as at")
     assert drained(events.paired(calls, results), "p").filter("result_at is not null").count() == 0
+
+
+def test_trace_events_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(4)
+    tricky = ['a "quoted" , {\\"ph\\": 1}', "brace } , {", "é 😀", '[{"ph": "X"}]', "back\\\\"]
+    rows = []
+    for i in range(3000):
+        args = {"n": i, "inner": {"ph": "no"}, "list": [{"a": 1}, {"b": rng.choice(tricky)}]} if i % 3 else None
+        rows.append({"name": rng.choice(tricky), "ph": rng.choice("Xsf"), "pid": i % 4, "tid": f"t{i % 3}", "ts": i * 1.5, "dur": 2, "id": i // 2, "cat": "async", "args": args, "big": "x" * rng.choice([0, 0, 5000])})
+    for j, text in enumerate((json.dumps(rows), json.dumps({"meta": {"k": [1, 2]}, "traceEvents": rows, "end": 1}, indent=1, ensure_ascii=False))):
+        path = tmp_path / f"trace{j}.json"
+        path.write_text(text, encoding="utf-8")
+        for parts in (1, 7, 60):
+            found = traces.read(spark, str(path), parts)
+            got = sorted((r.ts, r.name, r.ph, r.pid, r.tid, r.dur, r.id, r.args) for r in found.collect())
+            assert got == sorted((r["ts"], r["name"], r["ph"], str(r["pid"]), r["tid"], 2.0, str(r["id"]), None if r["args"] is None else json.dumps(r["args"])) for r in rows)
+    assert traces.slices(found).count() == sum(r["ph"] == "X" for r in rows)
+    starts, ends = traces.flow_ends(found)
+    assert starts.count() == sum(r["ph"] == "s" for r in rows) and ends.filter("flow like 'async:%'").count() == sum(r["ph"] == "f" for r in rows)
+    (tmp_path / "none.json").write_text("[]")
+    assert traces.read(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_tensor_index_opens_only_files_that_can_match(spark, tmp_path):
+    def shard(name, tensors):
+        head = json.dumps({"__metadata__": {"format": "pt"}} | {n: {"dtype": d, "shape": s, "data_offsets": [0, 0]} for n, d, s in tensors}).encode()
+        (tmp_path / name).write_bytes(struct.pack("<Q", len(head)) + head)
+
+    shard("a.safetensors", [("layers.0.weight", "BF16", [4, 8]), ("layers.0.bias", "F32", [8])])
+    shard("b.safetensors", [("layers.1.weight", "F8_E4M3", [])])
+    where = {"layers.0.weight": "a.safetensors", "layers.0.bias": "a.safetensors", "layers.1.weight": "b.safetensors", "layers.1.lost": "b.safetensors", "head.weight": "missing.safetensors"}
+    (tmp_path / tensors.INDEX).write_text(json.dumps({"weight_map": where}))
+    got = [tuple(r) for r in tensors.read(spark, str(tmp_path), "layers.*").collect()]
+    assert got == [("layers.0.bias", "(8,)", "torch.float32", "a.safetensors"), ("layers.0.weight", "(4, 8)", "torch.bfloat16", "a.safetensors"), ("layers.1.lost", "N/A", "N/A", "b.safetensors"), ("layers.1.weight", "()", "torch.float8_e4m3fn", "b.safetensors")]
+    assert [r.tensor_name for r in tensors.read(spark, str(tmp_path), "layers.[0]*", 1).collect()] == ["layers.0.bias"]
+    # the missing file is opened only if its tensor may be asked for
+    with pytest.raises(Exception, match="missing.safetensors"):
+        tensors.read(spark, str(tmp_path)).collect()

@@ -53,11 +53,26 @@ def partial_siblings(processes: DataFrame, groups: DataFrame) -> DataFrame:
     return hit.filter(~scalars.is_subset(F.col("siblings"), F.col("allowed"))).select("pid").distinct().withColumn("rule", F.lit("R009"))
 
 
+#: Sets of one item that a task pairs with the others of the item.
+TOGETHER = 1000
+
+
+def sharing(rows: DataFrame, key: str, item: str, scope: list[str]) -> DataFrame:
+    """Pairs of keys of one scope that share an item, with how many: joined on the items, so keys without one in common never meet.
+
+    An item of many keys is cut into parts on one side and repeated for each part on the other, so its pairs are many tasks.
+    """
+    x = rows.select(*scope, key, F.col(item).alias("item")).filter("item is not null").distinct()
+    parts = x.groupBy(*scope, "item").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).filter("parts > 1")
+    x = x.join(parts, [*scope, "item"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = x.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).drop("parts")
+    whole = x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts").withColumnRenamed(key, "other")
+    return cut.join(whole, [*scope, "item", "part"]).filter(F.col(key) < F.col("other")).groupBy(*scope, key, "other").agg(F.count("*").alias("shared"))
+
+
 def overlaps(sets: DataFrame, key: str, items: str, scope: list[str]) -> DataFrame:
-    """Pairs of sets of one scope that share an item, with how many: joined on the items, so disjoint sets never meet."""
-    x = sets.select(*scope, key, F.explode(F.array_distinct(items)).alias("item"))
-    y = x.withColumnRenamed(key, "other")
-    return x.join(y, [*scope, "item"]).filter(F.col(key) < F.col("other")).groupBy(*scope, key, "other").agg(F.count("*").alias("shared"))
+    """Pairs of sets (arrays) of one scope that share an item, with how many."""
+    return sharing(sets.select(*scope, key, F.explode(items).alias("item")), key, "item", scope)
 
 
 def plan(processes: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +72,33 @@ def first_rule(rows: DataFrame, value: str, rules: list[tuple[str, str]], defaul
 
 
 def token_bucket(rows: DataFrame, key: str, at: str, cost: str, rate: float, size: float) -> DataFrame:
-    """Requests that a bucket of `size`, refilled at `rate` a second, lets through, and what is left after each.
+    """Requests that a bucket of `size`, refilled at `rate` a second, lets through, and what is left after the last: key, passed, refused, level.
 
-    A fold over a key's requests in order; a key's requests are one client's, so its list is bounded.
+    Rows are dealt by key, sorted in their partition by time and cost, and folded batch by batch: a task holds one key's state, whatever its history.
     """
-    item = F.struct(F.col(at).alias("at"), F.col(cost).cast("double").alias("cost"))
-    start = F.struct(F.lit(size).alias("left"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("bigint").alias("passed"), F.lit(0).cast("bigint").alias("refused"))
-
-    def step(state: Column, x: Column) -> Column:
-        level = F.least(F.lit(size), state["left"] + F.coalesce(x["at"] - state["last"], F.lit(0.0)) * rate)
-        fits = level >= x["cost"]
-        return F.struct(F.when(fits, level - x["cost"]).otherwise(level).alias("left"), x["at"].alias("last"), (state["passed"] + fits.cast("bigint")).alias("passed"), (state["refused"] + (~fits).cast("bigint")).alias("refused"))
-
-    return rows.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list(item)), start, step).alias("x")).select(key, "x.passed", "x.refused", F.col("x.left").alias("level"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, none = None, None, object()
+        now = none
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], fields[0]), pa.array([state[2]], pa.int64()), pa.array([state[3]], pa.int64()), pa.array([state[0]], pa.float64())], ["key", "passed", "refused", "level"])
+
+        fields: list[pa.DataType] = []
+        for batch in batches:
+            fields = fields or [batch.schema.field(0).type]
+            for k, t, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if now is none or k != now:
+                    if now is not none:
+                        yield done()
+                    now, state = k, [size, None, 0, 0]
+                passed = 0.0 if state[1] is None or t is None else t - state[1]
+                level = min(size, state[0] + passed * rate)
+                fits = c is not None and level >= c
+                state = [level - c if fits else level, state[1] if t is None else t, state[2] + fits, state[3] + (not fits)]
+        if now is not none:
+            yield done()
+
+    ordered = rows.select(F.col(key).alias("key"), F.col(at).cast("double").alias("at"), F.col(cost).cast("double").alias("cost")).repartition("key").sortWithinPartitions("key", "at", "cost")
+    return ordered.mapInArrow(run, f"key {kind}, passed bigint, refused bigint, level double").withColumnRenamed("key", key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracegrain.functions import windows
-from tracegrain.operators import flows, names, sequences
+from tracegrain.operators import flows, names, profiler, sequences
 from tracegrain.plans.catalogue import EV, query, table, traces
 
 #: Two lanes, so each holds half of all rows; a call lasts as its value says.
@@ -129,3 +129,56 @@ def closest_names(spark, d):
     known = parts.select(F.upper("p_name").alias("name"))
     asked = parts.select(F.upper("p_type").alias("asked")).unionByName(parts.select(F.upper(F.concat_ws(" ", "p_brand", "p_type")).alias("asked")))
     return names.closest(asked, known, "asked", "name")
+
+
+# ---- profiler views: the dictionary is nations and, from 1000 on, parts ----
+
+STRINGS = "s AS (SELECT n_nationkey AS id, n_name AS value FROM nation UNION ALL SELECT 1000 + p_partkey, p_name FROM part WHERE p_partkey % 7 <> 0)"
+
+
+def strings(spark, d):
+    parts = table(spark, d, "part").filter("p_partkey % 7 <> 0").select((F.col("p_partkey") + 1000).alias("id"), F.col("p_name").alias("value"))
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("value")).unionByName(parts)
+
+
+def days(c):
+    return F.datediff(F.col(c), F.lit("1992-01-01").cast("date")).cast("bigint")
+
+
+@query(f"""WITH {STRINGS}, t AS (SELECT o_orderkey AS id, date_diff('day', DATE '1992-01-01', o_orderdate) AS a, date_diff('day', DATE '1992-01-01', o_orderdate) + o_orderkey % 50 AS b FROM orders WHERE o_orderkey % 3 <> 1)
+SELECT l_orderkey, l_linenumber, n.value AS op_name, k.value AS op_type, b - a AS duration FROM lineitem LEFT JOIN t ON t.id = l_orderkey LEFT JOIN s n ON n.id = 1000 + l_partkey LEFT JOIN s k ON k.id = l_suppkey % 30""")
+def compute_decoded(spark, d):
+    start = days("o_orderdate")
+    tasks = table(spark, d, "orders").filter("o_orderkey % 3 <> 1").select(F.col("o_orderkey").alias("globalTaskId"), start.alias("startNs"), (start + F.col("o_orderkey") % 50).alias("endNs"), F.lit(0).alias("deviceId"), F.lit(0).alias("streamId"))
+    info = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("globalTaskId"), (F.col("l_partkey") + 1000).alias("name"), (F.col("l_suppkey") % 30).alias("opType"))
+    return profiler.compute_view(tasks, info, strings(spark, d)).select("l_orderkey", "l_linenumber", "op_name", F.col("op_type"), F.col("durationNs").alias("duration"))
+
+
+@query(f"""WITH {STRINGS} SELECT l_orderkey, l_linenumber, n.value AS op_name, k.value AS op_type_name, g.value AS group_name, date_diff('day', o_orderdate, l_shipdate) AS duration
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN s n ON n.id = 1000 + l_partkey LEFT JOIN s k ON k.id = l_suppkey % 30 LEFT JOIN s g ON g.id = o_custkey % 40""")
+def communication_decoded(spark, d):
+    x = table(spark, d, "lineitem").join(table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    ops = x.select("l_orderkey", "l_linenumber", (F.col("l_partkey") + 1000).alias("opName"), (F.col("l_suppkey") % 30).alias("opType"), (F.col("o_custkey") % 40).alias("groupName"), days("o_orderdate").alias("startNs"), days("l_shipdate").alias("endNs"))
+    return profiler.communication_view(ops, strings(spark, d)).select("l_orderkey", "l_linenumber", "op_name", "op_type_name", "group_name", F.col("durationNs").alias("duration"))
+
+
+@query(f"""WITH {STRINGS} SELECT l_orderkey * 10 + l_linenumber AS task, n.value AS task_name, k.value AS api_name, g.value AS framework_name, date_diff('day', o_orderdate, l_shipdate) AS delay
+FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 2) o ON o_orderkey = l_orderkey LEFT JOIN (SELECT o_custkey AS conn, o_orderkey AS c FROM orders WHERE o_orderkey % 5 <> 3) x ON x.c = l_orderkey
+LEFT JOIN customer ON c_custkey = conn LEFT JOIN s n ON n.id = 1000 + l_partkey LEFT JOIN s k ON k.id = o_custkey % 25 LEFT JOIN s g ON g.id = c_nationkey""")
+def dispatch_decoded(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    tasks = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("globalTaskId"), F.col("l_orderkey").alias("connectionId"), days("l_shipdate").alias("startNs"), days("l_shipdate").alias("endNs"), (F.col("l_partkey") + 1000).alias("taskType"))
+    runtime = o.filter("o_orderkey % 4 <> 2").select(F.col("o_orderkey").alias("connectionId"), (F.col("o_custkey") % 25).alias("name"), days("o_orderdate").alias("startNs"))
+    connections = o.filter("o_orderkey % 5 <> 3").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("connectionId"))
+    framework = c.select(F.col("c_custkey").alias("connectionId"), F.col("c_nationkey").alias("name"), F.lit(0).alias("startNs"))
+    return profiler.dispatch_view(tasks, runtime, connections, framework, strings(spark, d)).select(F.col("globalTaskId").alias("task"), "task_name", "api_name", "framework_name", F.col("dispatch_delay").alias("delay"))
+
+
+@query(f"""WITH m AS (SELECT user_id, event_id AS record, epoch_us(ts) AS a, epoch_us(ts) + CAST(floor(value * 100) AS BIGINT) * 1000000 AS b FROM events WHERE event_type = 'signup')
+SELECT m.user_id, record, arg_min(event_id, (epoch_us(ts), event_id)) AS kernel, min(epoch_us(ts)) AS "at" FROM m JOIN events e ON e.user_id = m.user_id AND epoch_us(ts) >= a AND epoch_us(ts) < b AND event_type = 'click' GROUP BY ALL""")
+def first_kernels(spark, d):
+    """The first kernel that starts within each mark's time."""
+    x = traces(spark, d)
+    records = x.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("record"), F.col("us").alias("start"), (F.col("us") + F.floor(F.col("value") * 100).cast("bigint") * 1_000_000).alias("end"))
+    kernels = x.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("kernel"), F.col("us").alias("at"))
+    return profiler.first_within(records, kernels, ["user_id"], 3_600_000_000)

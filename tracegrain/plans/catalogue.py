@@ -384,8 +384,7 @@ def cpuset_ops(spark, d):
 @query("""WITH x AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), y AS (SELECT n_name, l_suppkey, l_orderkey FROM x JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)
 SELECT a.n_name, a.l_suppkey, b.l_suppkey AS other, count(*) AS shared FROM y a JOIN y b ON a.n_name = b.n_name AND a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL""")
 def overlap_pairs(spark, d):
-    sets = segments(spark, d).groupBy("n_name", "l_suppkey").agg(F.collect_set("l_orderkey").alias("items"))
-    return affinity.overlaps(sets, "l_suppkey", "items", ["n_name"])
+    return affinity.sharing(segments(spark, d), "l_suppkey", "l_orderkey", ["n_name"])
 
 
 @query("""WITH p AS (SELECT s_suppkey AS pid, s_suppkey % 64 AS lo, s_suppkey % 64 + s_nationkey AS hi, s_nationkey + 1 AS n, s_nationkey % 4 AS node, s_suppkey % 40 AS threads FROM supplier)
@@ -491,7 +490,11 @@ def weights_diff(spark, d):
     return x.select("vec_id", F.array_max(apart).alias("max_diff"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS i FROM events),
+b AS (SELECT user_id, i, t, CASE WHEN value <= 500 THEN 500 - value ELSE 500 END AS level, CAST(value <= 500 AS BIGINT) AS passed, CAST(value > 500 AS BIGINT) AS refused FROM e WHERE i = 1
+UNION ALL SELECT user_id, i, t, CASE WHEN now >= value THEN now - value ELSE now END, passed + CAST(now >= value AS BIGINT), refused + CAST(now < value AS BIGINT)
+FROM (SELECT e.*, passed, refused, least(500, level + (e.t - b.t) * 0.01) AS now FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1))
+SELECT user_id, arg_max(passed, i) AS passed, arg_max(refused, i) AS refused, arg_max(level, i) AS level FROM b GROUP BY 1""")
 def token_bucket(spark, d):
     return runlog.token_bucket(traces(spark, d).withColumn("at", F.col("us") / 1e6), "user_id", "at", "value", 0.01, 500.0)
 
