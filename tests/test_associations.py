@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracegrain.functions import windows
-from tracegrain.operators import flows, memory, names, scans, sequences
+from tracegrain.functions import formulas, windows
+from tracegrain.operators import affinity, flows, memory, names, scans, sequences, states
+from tracegrain.plans import macros
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -185,3 +186,49 @@ def test_closest_names(spark):
         got.setdefault(r.a, []).append(r.b)
     for word in asked:
         assert got.get(word, []) == difflib.get_close_matches(word, known, 5, 0.5), word
+
+
+def test_calls_expire_at_a_new_run(spark):
+    log = [(1, "begin", None), (2, "call", "a"), (3, "call", "b"), (4, "result", "a"), (5, "result", "a"), (6, "call", "c"), (7, "call", "c"), (8, "result", "c"), (9, "begin", None), (10, "result", "b"), (11, "call", "d")]
+    df = spark.createDataFrame([("k", *r) for r in log], "k string, n int, kind string, id string")
+    kind = F.col("kind")
+    got = sorted((r.called_at, r.run, r.result_at, r.state) for r in states.calls(df, "k", "n", "id", kind == "begin", kind == "call", kind == "result").collect())
+    assert got == [(2, 1, 4, "done"), (3, 1, None, "expired"), (6, 1, None, "replaced"), (7, 1, 8, "done"), (11, 2, None, "pending")]
+
+
+def test_reduced_states(spark):
+    rows = [("a", 1, 5, 7, {"x": 1, "y": 1}), ("a", 3, None, None, {"x": None}), ("a", 2, 2, 9, {"y": 2, "z": 3}), ("b", 1, None, None, None)]
+    df = spark.createDataFrame(rows, "k string, n int, tokens int, left int, files map<string,int>")
+    got = {r.k: (r.updates, r.tokens, r.left, r.files) for r in states.reduced(df, "k", "n", ["tokens"], ["left"], ["files"]).collect()}
+    assert got == {"a": (3, 7, 9, {"x": None, "y": 2, "z": 3}), "b": (1, 0, 0, {})}
+
+
+def test_formulas_refuse_unknown_types(spark):
+    own = formulas.standard()
+    df = spark.createDataFrame([("MatMul", 2), ("Other", 3)], "kind string, m int")
+    work = lambda how: own.column(F.col("kind"), how, m=F.col("m"), n=F.lit(3), k=F.lit(4), batch=F.lit(1))
+    assert [r.x for r in df.select(work("null").alias("x")).collect()] == [48.0, None]
+    with pytest.raises(Exception, match="no formula for Other"):
+        df.select(work("refuse").alias("x")).collect()
+    with pytest.raises(ValueError, match="already"):
+        own.register("MatMul")(lambda **_: F.lit(0))
+
+
+def test_expansion_macro(spark):
+    devices = spark.createDataFrame([(1, 0), (2, 4)], "id long, device_index long")
+    traces = spark.createDataFrame([(1, 5, "segment_alloc", 10), (2, 6, "segment_free", 20), (2, 7, "alloc", 30), (2, 90, "segment_map", 40)], "device_id long, trace_index long, action string, size long")
+    assert macros.install(spark, devices=devices, traces=traces) == ["expansion_timeline"]
+    rows = lambda device: sorted(tuple(r) for r in spark.sql(f"SELECT * FROM expansion_timeline({device}, 0, 50)").collect())
+    assert rows("NULL") == [(0, 5, "segment_alloc", 10), (4, 6, "segment_free", 20)] and rows(4) == [(4, 6, "segment_free", 20)]
+
+
+def test_pairs_of_a_hot_item(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "TOGETHER", 7)
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2]), k, item) for k in range(60) for item in ["hot", *rng.sample("abcdef", 2)]] + [(1, 3, None)]
+    got = {tuple(r) for r in affinity.sharing(spark.createDataFrame(rows, "g int, k int, item string"), "k", "item", ["g"]).collect()}
+    held = {}
+    for g, k, item in rows:
+        if item:
+            held.setdefault((g, k), set()).add(item)
+    assert got == {(g, a, b, len(held[g, a] & held[h, b])) for g, a in held for h, b in held if g == h and a < b and held[g, a] & held[h, b]}

@@ -20,7 +20,7 @@ CARRIED = {
     "max": F.greatest, "min": F.least, "last": F.coalesce,
 }
 ENDS = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
-BLOCK = "_block"
+BLOCK = "_scan_block"
 
 
 def blocked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -34,22 +34,22 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
 
     kind: sum, count, max, min or last (not null). inclusive: whether the row itself counts. Null keys are a key.
     """
-    rows = rows.select("*", *(value.alias(f"_v_{name}") for name, (_, value, _) in values.items()))
+    rows = rows.select("*", *(value.alias(f"_scan_v_{name}") for name, (_, value, _) in values.items()))
     rows = blocked(rows, keys, order)
     by = [F.col(c).asc_nulls_first() for c in order]
     block = Window.partitionBy(*keys, BLOCK).orderBy(*by)
-    ends = rows.groupBy(*keys, BLOCK).agg(*((F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))) if kind == "last" else TOTAL[kind](f"_v_{n}")).alias(f"_t_{n}") for n, (kind, _, _) in values.items()))
+    ends = rows.groupBy(*keys, BLOCK).agg(*((F.max_by(f"_scan_v_{n}", F.when(F.col(f"_scan_v_{n}").isNotNull(), F.struct(*order))) if kind == "last" else TOTAL[kind](f"_scan_v_{n}")).alias(f"_scan_t_{n}") for n, (kind, _, _) in values.items()))
     # a key has a row for each block that it reaches into
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    before = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(BLOCK).alias("_b"), *(ENDS[kind](f"_t_{n}").over(earlier).alias(f"_c_{n}") for n, (kind, _, _) in values.items()))
+    before = ends.select(*(F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)), F.col(BLOCK).alias("_scan_b"), *(ENDS[kind](f"_scan_t_{n}").over(earlier).alias(f"_scan_c_{n}") for n, (kind, _, _) in values.items()))
     for n, (kind, _, inclusive) in values.items():
-        rows = rows.withColumn(f"_o_{n}", TOTAL[kind](f"_v_{n}").over(block.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)))
-    same = F.col(BLOCK) == F.col("_b")
+        rows = rows.withColumn(f"_scan_o_{n}", TOTAL[kind](f"_scan_v_{n}").over(block.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)))
+    same = F.col(BLOCK) == F.col("_scan_b")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_scan_k{i}"))
     joined = rows.join(before, same)
-    names = [c for c in rows.columns if not c.startswith(("_v_", "_o_")) and c != BLOCK]
-    return joined.select(*names, *(CARRIED[kind](F.col(f"_o_{n}"), F.col(f"_c_{n}")).alias(n) for n, (kind, _, _) in values.items()))
+    names = [c for c in rows.columns if not c.startswith(("_scan_v_", "_scan_o_")) and c != BLOCK]
+    return joined.select(*names, *(CARRIED[kind](F.col(f"_scan_o_{n}"), F.col(f"_scan_c_{n}")).alias(n) for n, (kind, _, _) in values.items()))
 
 
 def with_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -1,11 +1,12 @@
-"""Queries on flows, call chains, first anomalies, text places and closest names. Users stand in for ranks, events for calls and tasks."""
+"""Queries on flows, call chains, first anomalies, text places, closest names, decoded views, states, formulas and macros. Users stand in for ranks, events for calls and tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracegrain.functions import windows
-from tracegrain.operators import flows, names, profiler, sequences
+from tracegrain.functions import formulas, windows
+from tracegrain.operators import flows, names, profiler, sequences, states
+from tracegrain.plans import macros
 from tracegrain.plans.catalogue import EV, query, table, traces
 
 #: Two lanes, so each holds half of all rows; a call lasts as its value says.
@@ -182,3 +183,64 @@ def first_kernels(spark, d):
     records = x.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("record"), F.col("us").alias("start"), (F.col("us") + F.floor(F.col("value") * 100).cast("bigint") * 1_000_000).alias("end"))
     kernels = x.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("kernel"), F.col("us").alias("at"))
     return profiler.first_within(records, kernels, ["user_id"], 3_600_000_000)
+
+
+# ---- states, formulas and macros ----
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN NULL ELSE event_id % 100 END AS tokens, CASE WHEN event_type = 'view' THEN event_id END AS seen, CAST(json_extract(props, '$.k') AS BIGINT) % 5 AS name FROM events),
+m AS (SELECT user_id, name, arg_max(event_id, event_id) AS v FROM e GROUP BY ALL), j AS (SELECT user_id, string_agg(name || '=' || v, ',' ORDER BY name) AS files FROM m GROUP BY 1)
+SELECT user_id, count(*) AS updates, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, coalesce(max(seen), 0) AS seen, any_value(files) AS files FROM e JOIN j USING (user_id) GROUP BY 1""")
+def reduced_states(spark, d):
+    name = (F.get_json_object("props", "$.k").cast("bigint") % 5).cast("string")
+    x = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 100).alias("tokens"), F.when(F.col("event_type") == "view", F.col("event_id")).alias("seen"), F.create_map(name, F.col("event_id")).alias("files"))
+    found = states.reduced(x, "user_id", "event_id", ["tokens"], ["seen"], ["files"])
+    return found.withColumn("files", F.array_join(F.transform(F.map_entries("files"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, event_id % 3 AS item, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
+l AS (SELECT user_id, max(run) AS last_run FROM e GROUP BY 1),
+x AS (SELECT *, lead(event_type) OVER w AS nxt, lead(event_id) OVER w AS nxt_at FROM e WHERE event_type IN ('click', 'view', 'error') WINDOW w AS (PARTITION BY user_id, run, item ORDER BY event_id))
+SELECT user_id, CAST(run AS BIGINT) AS run, item, event_id AS called_at, CASE WHEN nxt = 'error' THEN nxt_at END AS result_at, CASE WHEN nxt = 'error' THEN 'done' WHEN nxt IS NOT NULL THEN 'replaced' WHEN run < last_run THEN 'expired' ELSE 'pending' END AS state
+FROM x JOIN l USING (user_id) WHERE event_type IN ('click', 'view')""")
+def call_states(spark, d):
+    kind = F.col("event_type")
+    x = table(spark, d, "events").withColumn("item", F.col("event_id") % 3)
+    return states.calls(x, "user_id", "event_id", "item", kind == "signup", kind.isin("click", "view"), kind == "error")
+
+
+@query("""SELECT p_partkey, p_size, CASE p_partkey % 3 WHEN 0 THEN 2.0 * (p_size + 1) * 64 * 32 WHEN 1 THEN 2.0 * (p_partkey % 7 + 1) * (p_size + 1) * 64 * 32 ELSE CAST(p_size AS DOUBLE) * p_size * 12 END AS flops FROM part""")
+def registered_flops(spark, d):
+    """Standard formulas beside one that is registered for the query."""
+    own = formulas.standard()
+    own.register("Conv")(lambda m, n, k, batch: m.cast("double") * m * 12 / 1.0)
+    part = table(spark, d, "part")
+    kind = F.element_at(F.array(F.lit("MatMul"), F.lit("BatchMatMul"), F.lit("Conv")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = F.when(F.col("p_partkey") % 3 == 2, F.col("p_size")).otherwise(F.col("p_size") + 1)
+    return part.select("p_partkey", "p_size", own.column(kind, m=rows, n=F.lit(64), k=F.lit(32), batch=F.col("p_partkey") % 7 + 1).alias("flops"))
+
+
+def snapshot_tables(spark, d):
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
+    devices = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), (F.col("n_nationkey") % 5).cast("bigint").alias("device_index"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("device_id"))
+    orders = table(spark, d, "orders").join(customers, "o_custkey")
+    segments = orders.select(F.col("o_orderkey").alias("id"), "device_id", cents("o_totalprice").alias("total_size"), (cents("o_totalprice") - F.col("o_orderkey") % 1000).alias("allocated_size"), F.lit(0).cast("bigint").alias("active_size"), (F.col("o_orderstatus") == "O").cast("int").alias("is_expandable"))
+    blocks = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("segment_id"), F.col("l_linestatus").alias("state"), cents("l_extendedprice").alias("size"))
+    return {"devices": devices, "segments": segments, "blocks": blocks}
+
+
+SNAPSHOT = "seg AS (SELECT o_orderkey AS id, n_nationkey % 5 AS device_index, CAST(round(o_totalprice * 100) AS BIGINT) AS t, o_orderkey % 1000 AS rest, o_orderstatus FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
+
+
+@query(f"""WITH {SNAPSHOT} SELECT device_index, CAST(sum(t) AS BIGINT) AS reserved_bytes, CAST(sum(t - rest) AS BIGINT) AS allocated_bytes, CAST(0 AS BIGINT) AS active_bytes, round(CAST(sum(rest) * 100.0 / nullif(sum(t), 0) AS DOUBLE), 2) AS frag_pct, count(*) AS segment_count,
+CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS expandable_segments FROM seg GROUP BY 1""")
+def macro_overview(spark, d):
+    macros.install(spark, **snapshot_tables(spark, d))
+    return spark.sql("SELECT * FROM device_overview(NULL)")
+
+
+@query(f"WITH {SNAPSHOT} SELECT device_index, l_linestatus AS state, count(*) AS block_count, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS total_size, avg(CAST(round(l_extendedprice * 100) AS BIGINT)) AS avg_size FROM lineitem JOIN seg ON id = l_orderkey WHERE device_index = 3 GROUP BY ALL")
+def macro_blocks(spark, d):
+    macros.install(spark, **snapshot_tables(spark, d))
+    return spark.sql("SELECT * FROM block_state_dist(3)")
