@@ -59,11 +59,13 @@ def place(content: str, search: str, threshold: float) -> tuple | None:
         return None
     best, found = 0.0, None
     bounds = _bounds(lines, size, search)
-    for i in np.flatnonzero(bounds >= threshold).tolist():
-        if bounds[i] > best:
-            ratio = difflib.SequenceMatcher(None, search, "\n".join(lines[i : i + size])).ratio()
-            if ratio > best:
-                best, found = ratio, i
+    for i in np.argsort(-bounds, kind="stable").tolist():
+        # by falling bound: the rest cannot be more alike than the best so far
+        if bounds[i] < max(best, threshold):
+            break
+        ratio = difflib.SequenceMatcher(None, search, "\n".join(lines[i : i + size])).ratio()
+        if ratio > best or ratio == best and found is not None and i < found:
+            best, found = ratio, i
     return ("fuzzy", *span(found, size), best) if found is not None and best >= threshold else None
 
 
