@@ -87,7 +87,8 @@ class Probes:
     first: np.ndarray
     probe: np.ndarray
     offset: np.ndarray
-    cells: np.ndarray
+    starts: np.ndarray
+    span: int
 
 
 #: Probes that need fewer shared q-grams than this are searched by themselves, lest they let everything through.
@@ -128,66 +129,110 @@ def _indexed(items: list, item: np.ndarray, texts: list, budget: np.ndarray, q:
     code, own, offset = np.concatenate(grams), np.repeat(np.arange(len(texts)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])
     order = np.argsort(code, kind="stable")
     codes, first = np.unique(code[order], return_index=True)
-    cells = np.zeros(1 << CELL_BITS, bool)
-    cells[(codes >> np.uint64(64 - CELL_BITS)).astype(np.int64)] = True
-    return Probes(items, item, texts, budget, sizes + 1 - (budget + 1) * q, codes, np.append(first, len(code)), own[order], offset[order], cells)
+    cell, at = np.unique(codes >> np.uint64(64 - CELL_BITS), return_index=True)
+    starts = np.full(1 << CELL_BITS, -1, np.int32)  # the first code of each cell
+    starts[cell.astype(np.int64)] = at
+    return Probes(items, item, texts, budget, sizes + 1 - (budget + 1) * q, codes, np.append(first, len(code)), own[order], offset[order], starts, int((sizes + budget).max()))
 
 
-def aligned(pattern: np.ndarray, text: np.ndarray, anchored: int | None = None) -> np.ndarray:
+def _cells(groups: list[Probes]) -> np.ndarray:
+    """For each cell a bit for each group that has a q-gram in it."""
+    cells = np.zeros(1 << CELL_BITS, np.uint8)
+    for g, known in enumerate(groups):
+        cells |= (known.starts >= 0).astype(np.uint8) << g
+    return cells
+
+
+def _looked_up(known: Probes, code: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The index in known.codes of each code, -1 if it is not there: the codes of its cell are tried one by one."""
+    found = np.full(len(code), -1, np.int64)
+    left, at = np.arange(len(code)), known.starts[cell].astype(np.int64)
+    while len(left):
+        same = known.codes[at] == code[left]
+        found[left[same]] = at[same]
+        left, at = left[~same], at[~same] + 1
+        more = (at < len(known.codes)) & (known.codes[np.minimum(at, len(known.codes) - 1)] <= code[left])
+        left, at = left[more], at[more]
+    return found
+
+
+#: Rows of the pattern between two looks at which candidates are past the budget.
+STRIDE = 8
+
+
+def aligned(pattern: np.ndarray, text: np.ndarray, anchored: int | None = None, most: int = FAR) -> np.ndarray:
     """Edits of each row of `pattern` against each row of `text`, by the place in the band where the pattern ends.
 
     Row r of the pattern meets the band's places text[r : r + width]; width is what text has more than pattern, plus 1.
     The alignment begins at any place of the band; or at place `anchored`, before which text holds nothing that matches.
+    A band's least cost never falls from row to row, so bands above `most` are left as FAR. Patterns have fewer than FAR / 2 values.
     """
     many, size = pattern.shape
     width = text.shape[1] - size + 1
-    steps = np.arange(width, dtype=np.int32)
-    cost = np.broadcast_to(np.zeros(width, np.int32) if anchored is None else np.maximum(steps - anchored, 0), (many, width)).copy()
+    steps = np.arange(width, dtype=np.int16)[:, None]
+    # places first, so that each operation runs along the candidates
+    pattern, text = np.ascontiguousarray(pattern.T), np.ascontiguousarray(text.T)
+    cost = np.broadcast_to(np.zeros_like(steps) if anchored is None else np.maximum(steps - np.int16(anchored), 0), (width, many)).copy()
+    alive, out = np.arange(many), np.full((many, width), FAR, np.int16)
     for r in range(size):
-        new = cost + (text[:, r : r + width] != pattern[:, r, None])
-        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
-        cost = np.minimum.accumulate(new - steps, axis=1) + steps
-    return cost
-
-
-def _matches(known: Probes, code: np.ndarray, values: np.ndarray, at: np.ndarray, source: np.ndarray):
-    """(row, probe, edits, first code point, code point after the last) of all verified bands of a slice. code: its q-grams."""
-    hit = known.cells[(code >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-    if not hit.any():
-        return
+        new = cost + (text[r : r + width] != pattern[r])
+        np.minimum(new[:-1], cost[1:] + np.int16(1), out=new[:-1])
+        new -= steps
+        reach = 1
+        while reach < width:  # running minimum over the places
+            np.minimum(new[reach:], new[:-reach], out=new[reach:])
+            reach *= 2
+        new += steps
+        cost = new
+        if r % STRIDE == STRIDE - 1:
+            near = cost.min(axis=0) <= most
+            if near.sum() < 0.8 * len(alive):
+                alive, cost, pattern, text = alive[near], cost[:, near], pattern[:, near], text[:, near]
+                if not len(alive):
+                    return out
+    out[alive] = cost.T
+    return out
+
+
+def _matches(known: Probes, hit: np.ndarray, cell: np.ndarray, code: np.ndarray, values: np.ndarray, at: np.ndarray, source: np.ndarray):
+    """(row, probe, edits, first code point, code point after the last) of all verified bands of a slice.
+
+    code: its q-grams; cell: their cells; hit: whether the cells hold any q-gram of `known`.
+    """
+    n, span = len(hit), known.span
     # a band needs `bound` hits within probe + budget places: leave out hits that no such stretch holds
-    span = int((np.array([len(t) for t in known.texts]) + known.budget).max())
-    upto = np.concatenate((np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)))
-    full = np.flatnonzero(upto[np.minimum(np.arange(len(hit)) + span, len(hit))] - upto[:-1] >= max(1, int(known.bound.min())))
-    if not len(full):
+    upto = np.zeros(n + span + 1, np.int32)
+    np.cumsum(hit, out=upto[1 : n + 1])
+    upto[n + 1 :] = upto[n]
+    full = upto[span : n + span] - upto[:n] >= max(1, int(known.bound.min()))
+    if not full.any():
         return
-    inside = np.zeros(len(hit) + 1, np.int32)
-    new = np.flatnonzero(np.append(True, full[1:] > full[:-1] + 1))
-    np.add.at(inside, full[new], 1)
-    np.add.at(inside, np.minimum(full[np.append(new[1:], len(full)) - 1] + span, len(hit)), -1)
-    places = np.flatnonzero(hit & (np.cumsum(inside[:-1]) > 0))
-    found = np.minimum(np.searchsorted(known.codes, code[places]), len(known.codes) - 1)
-    places, found = places[known.codes[found] == code[places]], found[known.codes[found] == code[places]]
+    edge = np.flatnonzero(np.diff(full.astype(np.int8), prepend=0, append=0))
+    inside = np.bincount(edge[::2], minlength=n + 1) - np.bincount(np.minimum(edge[1::2] - 1 + span, n), minlength=n + 1)
+    places = np.flatnonzero(hit & (np.cumsum(inside[:-1], dtype=np.int32) > 0))
+    found = _looked_up(known, code[places], cell[places])
+    places, found = places[found >= 0], found[found >= 0]
     if not len(places):
         return
     times = known.first[found + 1] - known.first[found]
     spot = np.arange(times.sum()) + np.repeat(known.first[found] - (np.cumsum(times) - times), times)
     probe, place = known.probe[spot], np.repeat(places, times)
-    row = np.searchsorted(at, place, "right") - 1
+    row = np.repeat(np.searchsorted(at, places, "right") - 1, times)
     diagonal = place - known.offset[spot] - at[row] + span  # from 0 up
-    step = known.budget[probe] + 1
-    for shift in (0, 1):  # bands of two steps, each overlapping the next by one
-        band = (diagonal // step + shift) // 2
-        width = int(band.max()) + 1
-        keys = np.sort((row * len(known.texts) + probe) * width + band)
-        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        count = np.diff(np.append(new, len(keys)))
-        first = keys[new]
-        good = count >= known.bound[first // width % len(known.texts)]
-        if good.any():
-            p, b = first[good] // width % len(known.texts), first[good] % width
-            r = first[good] // width // len(known.texts)
-            yield from _verified(known, values, at, source, r, p, at[r] - span + (2 * b - shift) * (known.budget[p] + 1))
+    # bands are two steps of diagonals, each overlaps the next by one: counts of steps are added to those of the step that follows
+    step = diagonal // (known.budget[probe] + 1)
+    width = int(step.max()) + 2
+    keys = np.sort((row * len(known.texts) + probe) * width + step)
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    first, count = keys[new], np.diff(np.append(new, len(keys)))
+    count[:-1] += np.where(first[1:] == first[:-1] + 1, count[1:], 0)
+    few = np.flatnonzero(count >= int(known.bound.min()))
+    of, count = first[few], count[few]
+    good = count >= known.bound[of // width % len(known.texts)]
+    if good.any():
+        p, b = of[good] // width % len(known.texts), of[good] % width
+        r = of[good] // width // len(known.texts)
+        yield from _verified(known, values, at, source, r, p, at[r] - span + b * (known.budget[p] + 1))
 
 
 def _verified(known: Probes, values, at, source, rows, probe, low):
@@ -195,14 +240,14 @@ def _verified(known: Probes, values, at, source, rows, probe, low):
     sizes = np.array([len(known.texts[p]) for p in probe])
     for size, k in sorted({(int(s), int(known.budget[p])) for s, p in zip(sizes, probe, strict=True)}):
         same = np.flatnonzero((sizes == size) & (known.budget[probe] == k))
-        for some in np.array_split(same, -(-len(same) // 256)):
-            pattern = np.stack([known.texts[p] for p in probe[some]])
+        for some in np.array_split(same, -(-len(same) // 2048)):
+            pattern = np.stack([known.texts[p] for p in probe[some]]).astype(np.uint32)
             width = 4 * k + 4  # the band's 2 k + 2 diagonals, and k edits to either side
             start = low[some] - k - 1
             index = start[:, None] + np.arange(size + width - 1)
             inside = (index >= at[rows[some], None]) & (index < at[rows[some] + 1, None])
-            text = np.where(inside, values[np.clip(index, 0, len(values) - 1)], np.uint64(0))
-            cost = aligned(pattern, text)
+            text = np.where(inside, values[np.clip(index, 0, len(values) - 1)], np.uint64(0)).astype(np.uint32)
+            cost = aligned(pattern, text, most=k)
             stop = cost.argmin(axis=1)
             edits = cost[np.arange(len(some)), stop]
             good = np.flatnonzero(edits <= k)
@@ -212,7 +257,7 @@ def _verified(known: Probes, values, at, source, rows, probe, low):
             row, end = rows[some[good]], start[good] + size + stop[good]
             back = end[:, None] - 1 + k - np.arange(size + 2 * k)
             ok = (back >= at[row, None]) & (back < end[:, None]) & (back < at[row + 1, None])
-            reverse = aligned(pattern[good, ::-1], np.where(ok, values[np.clip(back, 0, len(values) - 1)], np.uint64(0)), k)
+            reverse = aligned(pattern[good, ::-1], np.where(ok, values[np.clip(back, 0, len(values) - 1)], np.uint64(0)).astype(np.uint32), k)
             begin = np.maximum(at[row], end - size - reverse.argmin(axis=1) + k)
             last = np.minimum(end, at[row + 1]) - 1
             yield from zip(row.tolist(), probe[some[good]].tolist(), edits[good].tolist(), source[begin].tolist(), (source[last] + 1).tolist(), strict=True)
@@ -224,12 +269,15 @@ def _search(groups: list[Probes], q: int):
 
     def run(batches):
         total = sum(np.bincount(known.item, minlength=len(known.items)) for known in groups)
+        cells = _cells(groups)
         for batch in textvec.slices(batches, "text"):
             values, at, source = textvec.folded(batch.column("text"), _characters())
             best: dict[tuple, dict] = {}
             code = qgrams(values, q)
+            cell = (code >> np.uint64(64 - CELL_BITS)).astype(np.int32)
+            hit = cells[cell]
             for g, known in enumerate(groups):
-                for row, probe, edits, start, end in _matches(known, code, values, at, source):
+                for row, probe, edits, start, end in _matches(known, (hit & (1 << g)) != 0, cell, code, values, at, source):
                     of = best.setdefault((row, int(known.item[probe])), {})
                     of.setdefault((g, probe), []).append((edits, start, end))
             ids = batch.column("doc_id").to_pylist()
