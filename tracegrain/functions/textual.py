@@ -119,3 +119,37 @@ def fenced_object(text: Column, tag: str) -> Column:
     """Text of the JSON object in the first fenced block whose opening line is the tag (a pattern, in either case); null without one."""
     block = F.regexp_extract(text, rf"(?is)```{tag}\s*\n\s*(.*?)\s*```", 1)
     return F.when(block.startswith("{") & F.try_parse_json(block).isNotNull(), block)
+
+
+def commit_of(text: Column) -> Column:
+    """The first commit id of a text: 7 to 40 hex digits as a word, with a letter among them unless it is a whole id; '' without one."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\b([0-9a-f]{7,40})\b"), 1)
+    return F.coalesce(F.get(F.filter(words, lambda w: (F.length(w) == 40) | w.rlike("(?i)[a-f]")), F.lit(0)), F.lit(""))
+
+
+def branch_of(text: Column) -> Column:
+    """What is left of a text of branch and commit without the commit id, words for it and separators; '' if that says unknown."""
+    text = F.trim(F.coalesce(text, F.lit("")))
+    commit = commit_of(text)
+    # ids are hex digits only, so they need no quoting
+    bare = F.when(commit == "", text).otherwise(F.regexp_replace(text, F.concat(F.lit(r"(?i)\b"), commit, F.lit(r"\b")), F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)\b(commit(?:\s+id)?|sha|revision)\b", ""), r"[()@,，:/|]+", " ")
+    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.when(F.lower(bare).isin("unknown", "n/a", "na"), "").otherwise(bare)
+
+
+def score_of(text: Column, label: str) -> Column:
+    """What stands as `x/100` after a label and a colon; '' without one."""
+    return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), label + r"[:：]\s*`?([^`\n]+/100)`?", 1))
+
+
+def numbered_under(text: Column, heading: str) -> Column:
+    """Texts of the numbered lines between a bullet that begins with heading and the next bullet."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    top = F.array_position(F.transform(lines, lambda x: x.startswith(f"- {heading}")), True).cast("int")
+    under = F.when(top > 0, F.slice(lines, top + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+    # a further bullet of the same heading goes on, as the list does
+    stops = F.transform(under, lambda x: x.startswith("- ") & ~x.startswith(f"- {heading}"))
+    end = F.array_position(stops, True).cast("int")
+    kept = F.when(end > 0, F.slice(under, 1, F.greatest(end - 1, F.lit(0)))).otherwise(under)
+    return F.transform(F.filter(kept, lambda x: x.rlike(r"^\d+\.\s+")), lambda x: F.regexp_replace(x, r"^\d+\.\s+", ""))

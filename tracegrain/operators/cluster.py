@@ -130,3 +130,17 @@ def overlap_time(intervals: DataFrame, keys: list[str], start: str, end: str, ki
     """Time in which intervals of kinds a and b run together, by a sweep over starts and ends."""
     x = swept(intervals.filter(F.col(kind).isin(a, b)), keys, start, end, {"na": F.col(kind) == a, "nb": F.col(kind) == b})
     return x.groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(c, F.col("piece"))), F.lit(0)).alias(n) for n, c in (("time_a", F.col("na") > 0), ("time_b", F.col("nb") > 0), ("time_both", (F.col("na") > 0) & (F.col("nb") > 0)))))
+
+
+def group_stats(rows: DataFrame, groups: DataFrame, name: str, group: str, elapsed: str, total_name: str | None = "Total Op Info") -> DataFrame:
+    """Total, mean and longest time by op and group, with what groups (group_name, group_id, pg_name, ...) tell of the group: '' if nothing.
+
+    A null group is ''; a group that stands twice in groups counts its rows twice, by definition. total_name: the row of totals that is left out.
+    """
+    kept = rows if total_name is None else rows.filter(F.col(name) != total_name)
+    told = [c for c in groups.columns if c != "group_name"]
+    by = kept.groupBy(name, F.coalesce(group, F.lit("")).alias("group_name")).agg(exact_sum(elapsed).alias("_total"), F.count(elapsed).alias("_n"), F.max(elapsed).alias("_longest"))
+    # rows are added up before they meet their group; what the group tells is part of the key
+    x = by.join(groups, "group_name", "left").select(name, "group_name", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in told), "_total", "_n", "_longest")
+    out = x.groupBy(name, "group_name", *told).agg(exact_sum("_total").alias("total_elapse"), F.sum("_n").alias("_n"), F.max("_longest").alias("max_elapse"))
+    return out.withColumn("avg_elapse", F.col("total_elapse") / F.nullif("_n", F.lit(0))).drop("_n")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracegrain.functions.scalars import cpu_list
+
 #: Header names of statistics files, the first that is present wins.
 OP_NAMES = ("OP Type", "Op Type", "op_type", "OpType", "Type")
 OP_TIMES = ("Total Time(us)", "Total Time (us)", "total_time", "TotalTime")
@@ -122,6 +124,30 @@ def topology(spark: SparkSession, path: str) -> DataFrame:
     return x.filter("link is not null and source <> target").select("source", "target", "link")
 
 
+def _numbered(spark: SparkSession, pattern: str, number: str) -> DataFrame:
+    """number (from the path) and text of small files, each whole."""
+    rows = spark.read.text(pattern, wholetext=True)
+    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), number, 1).try_cast("int").alias("number"), F.trim(F.regexp_replace("value", r"[\r\n]+", " ")).alias("text")).filter("number is not null")
+
+
+def node_distances(spark: SparkSession, root: str) -> DataFrame:
+    """node and distances of `devices/system/node/nodeN/distance`; empty files and rows with anything but numbers are left out."""
+    rows = _numbered(spark, f"{root}/devices/system/node/node*/distance", r"/node(\d+)/distance$")
+    parts = F.split("text", r"\s+")
+    return rows.filter((F.col("text") != "") & F.forall(parts, lambda x: x.rlike(r"^[+-]?\d+$"))).select(F.col("number").alias("node"), F.transform(parts, lambda x: x.try_cast("int")).alias("distances"))
+
+
+def thread_siblings(spark: SparkSession, root: str) -> DataFrame:
+    """cpu and siblings (ordered) of the CPUs that are online; a CPU without a readable list is its own."""
+    online = spark.read.text(f"{root}/devices/system/cpu/online", wholetext=True).select(F.explode(cpu_list(F.col("value"))).alias("cpu"))
+    rows = _numbered(spark, f"{root}/devices/system/cpu/cpu*/topology/thread_siblings_list", r"/cpu(\d+)/topology/thread_siblings_list$")
+    parts = F.split(F.regexp_replace("text", r"\s", ""), ",")
+    low, high = (lambda x: F.split_part(x, F.lit("-"), F.lit(1)).try_cast("int")), (lambda x: F.element_at(F.split(x, "-"), -1).try_cast("int"))
+    sound = F.forall(F.filter(parts, lambda x: x != ""), lambda x: x.rlike(r"^\d+(-\d+)?$") & (low(x) <= high(x)))
+    listed = rows.filter((F.col("text") != "") & sound).select(F.col("number").alias("cpu"), cpu_list(F.col("text")).alias("siblings"))
+    return online.join(listed, "cpu", "left").select("cpu", F.coalesce("siblings", F.array("cpu")).alias("siblings"))
+
+
 def sections(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, title and body of the `## ` sections of Markdown texts."""
     parts = F.filter(F.split(text, r"(?m)^## "), lambda p: p != "")
