@@ -281,14 +281,19 @@ def weight_keys(spark, d):
     return matching.key_counts(side("O"), side("F"), "k")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'a' ELSE 'a,b' END AS shared, CASE WHEN p_size % 3 = 0 THEN 'c' ELSE 'c' END AS missing_left, CASE WHEN p_size % 3 = 0 THEN 'b' ELSE '' END AS missing_right,
-CASE WHEN p_size % 3 = 0 THEN 'a=9,b=2,c=3' ELSE 'a=9,b=8,c=3' END AS merged FROM part""")
+@query("""WITH x AS (SELECT l_orderkey, CAST(l_partkey % 6 AS VARCHAR) AS k, l_returnflag = 'N' AS r, CAST(max(l_suppkey) AS VARCHAR) AS v FROM lineitem GROUP BY ALL),
+y AS (SELECT l_orderkey, k, max(v) FILTER (NOT r) AS a, max(v) FILTER (r) AS b FROM x GROUP BY ALL)
+SELECT l_orderkey, coalesce(string_agg(k, ',' ORDER BY k) FILTER (a IS NOT NULL AND b IS NOT NULL), '') AS shared, coalesce(string_agg(k, ',' ORDER BY k) FILTER (a IS NULL), '') AS missing_left,
+coalesce(string_agg(k, ',' ORDER BY k) FILTER (b IS NULL), '') AS missing_right, string_agg(k || '=' || coalesce(b, a), ',' ORDER BY k) AS merged FROM y GROUP BY 1""")
 def key_sets(spark, d):
-    left = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
-    right = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("c"), F.lit("3"), F.lit("a"), F.lit("9"))).otherwise(F.create_map(F.lit("c"), F.lit("3"), F.lit("a"), F.lit("9"), F.lit("b"), F.lit("8")))
-    x = table(spark, d, "part").select("p_partkey", matching.key_sets(left, right).alias("k"), matching.merged(left, right).alias("m"))
+    """Of each order, a map of the lines that came back or were kept against one of the lines that are on their way; an order has few lines."""
+    side = F.when(F.col("l_returnflag") == "N", "right").otherwise("left")
+    x = table(spark, d, "lineitem").groupBy("l_orderkey", side.alias("side"), (F.col("l_partkey") % 6).cast("string").alias("k")).agg(F.max("l_suppkey").cast("string").alias("v"))
+    of = lambda name: F.map_from_entries(F.collect_list(F.when(F.col("side") == name, F.struct("k", "v")))).alias(name)
+    maps = x.groupBy("l_orderkey").agg(of("left"), of("right"))
+    found = maps.select("l_orderkey", matching.key_sets(F.col("left"), F.col("right")).alias("k"), matching.merged(F.col("left"), F.col("right")).alias("m"))
     pairs = F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return x.select("p_partkey", *(F.array_join(f"k.{c}", ",").alias(c) for c in ("shared", "missing_left", "missing_right")), F.array_join(pairs, ",").alias("merged"))
+    return found.select("l_orderkey", *(F.array_join(f"k.{c}", ",").alias(c) for c in ("shared", "missing_left", "missing_right")), F.array_join(pairs, ",").alias("merged"))
 
 
 # ---- rules, counters, places ----
@@ -357,27 +362,28 @@ def numbers_for_people(spark, d):
     return table(spark, d, "part").select("p_partkey", t.tokens_text(n).alias("tokens"), t.ago(n).alias("ago"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ':' || p_size WHEN 1 THEN p_brand || ' → ' || p_name || ':3' WHEN 2 THEN '' ELSE NULL END AS path FROM part""".replace("\\u2192", "→"))
+@query("""WITH x AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: NOT starts_with(w, 'th')) AS w FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(w[1:5], lambda w: CASE WHEN length(w) % 4 = 0 THEN w ELSE w || ':' || length(w) % 4 END), ' → ') AS path FROM x""")
 def call_paths(spark, d):
-    def frame(name, line):
-        return F.concat(F.lit('{"name": "'), name, F.lit('", "line": '), line.cast("string"), F.lit("}"))
-
-    k = F.col("p_partkey") % 4
-    skipped = frame(F.lit("torch::unwind::x"), F.lit(1))
-    frames = F.when(k == 0, F.concat(F.lit("["), skipped, F.lit(","), frame(F.col("p_name"), F.col("p_size")), F.lit("]"))).when(k == 1, F.concat(F.lit("["), frame(F.col("p_brand"), F.lit(0)), F.lit(","), frame(F.col("p_name"), F.lit(3)), F.lit("]"))).when(k == 2, "[]")
-    return table(spark, d, "part").select("p_partkey", t.call_path(frames).alias("path"))
+    """Words stand for frames: their length for the line, and those in th for frames to skip."""
+    frame = lambda w: F.struct(F.when(w.startswith("th"), F.concat(F.lit("torch::unwind::"), w)).otherwise(w).alias("name"), (F.length(w) % 4).alias("line"))
+    frames = F.to_json(F.transform(F.split("text", " "), frame))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.call_path(frames).alias("path"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'format' WHEN 2 THEN 'rank' WHEN 3 THEN 'pid' ELSE 'npu' END AS error, CASE p_partkey % 5 WHEN 0 THEN p_partkey ELSE NULL END AS rank,
-CASE p_size % 4 WHEN 0 THEN 'major' WHEN 1 THEN 'minor' WHEN 2 THEN 'minor' ELSE 'error' END AS severity, 'TABLE_' || p_size AS title FROM part""")
+@query("""WITH x AS (SELECT *, CASE WHEN p_size % 5 = 1 THEN p_brand ELSE CAST(p_partkey AS VARCHAR) END AS a, CASE WHEN p_size % 5 = 2 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS b, CASE WHEN p_size % 5 = 3 THEN p_type ELSE replace(p_brand, 'Brand#', '') END AS c FROM part)
+SELECT p_partkey, CASE WHEN p_size % 5 = 4 THEN 'format' WHEN try_cast(a AS INTEGER) IS NULL THEN 'rank' WHEN try_cast(b AS INTEGER) IS NULL THEN 'pid' WHEN try_cast(c AS INTEGER) IS NULL THEN 'npu' ELSE '' END AS error,
+CASE WHEN p_size % 5 <> 4 AND try_cast(a AS INTEGER) IS NOT NULL AND try_cast(b AS INTEGER) IS NOT NULL AND try_cast(c AS INTEGER) IS NOT NULL THEN p_partkey END AS rank,
+CASE WHEN p_size % 7 = 0 THEN 'minor' WHEN p_type = 'PROMO' THEN 'major' WHEN p_type = 'ECONOMY' THEN 'minor' ELSE 'error' END AS severity, upper(string_split(p_name, ' ')[1]) || '_' || p_size AS title FROM x""")
 def parsed_texts(spark, d):
-    k, key = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
-    text = F.when(k == 0, F.concat(key, F.lit("=7:3, "))).when(k == 1, "7:3").when(k == 2, "x=7:3").when(k == 3, "1=x:3").otherwise("1=2:x")
-    first = t.rank_map(text)[0]
-    z = F.col("p_size") % 4
-    given = F.when(z == 0, " Blocker ").when(z == 1, "low").when(z == 2, "").otherwise("what")
-    title = F.concat(F.lit("table\\_"), F.col("p_size").cast("string"), F.lit("(db only) x"))
-    return table(spark, d, "part").select("p_partkey", F.coalesce(first["error"], F.lit("")).alias("error"), F.when(first["error"].isNull(), first["rank"]).cast("bigint").alias("rank"), t.severity(given, {"blocker": "major", "low": "minor"}, "minor").alias("severity"), t.table_title(title).alias("title"))
+    """Rank maps, severities and titles written from the columns of parts, some with a word where a number belongs or without the equals sign."""
+    size = F.col("p_size") % 5
+    rank, pid = F.when(size == 1, F.col("p_brand")).otherwise(F.col("p_partkey").cast("string")), F.when(size == 2, F.col("p_name")).otherwise(F.col("p_size").cast("string"))
+    npu = F.when(size == 3, F.col("p_type")).otherwise(F.replace("p_brand", F.lit("Brand#"), F.lit("")))
+    first = t.rank_map(F.concat(F.lit(" "), rank, F.when(size == 4, "~").otherwise("="), pid, F.lit(":"), npu, F.lit(" , ")))[0]
+    given = F.when(F.col("p_size") % 7 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("p_type")))
+    title = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("\\_"), F.col("p_size").cast("string"), F.lit(" ("), F.col("p_brand"), F.lit(")"))
+    return table(spark, d, "part").select("p_partkey", F.coalesce(first["error"], F.lit("")).alias("error"), F.when(first["error"].isNull(), first["rank"]).cast("bigint").alias("rank"), t.severity(given, {"promo": "major", "economy": "minor"}, "minor").alias("severity"), t.table_title(title).alias("title"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 20 AND p_size BETWEEN 15 AND 30 THEN 'overlap' WHEN p_size BETWEEN 15 AND 30 THEN 'target' WHEN p_size BETWEEN 10 AND 20 THEN 'allowed' ELSE 'none' END AS cell, replace(p_name, ' ', ' ') AS name,
@@ -394,13 +400,18 @@ def json_paths(spark, d):
     return table(spark, d, "events").select("event_id", t.json_path(F.col("props"), "k", "none").alias("k"), t.json_path(F.col("props"), "a.b", "none").alias("missing"), t.stamp(F.col("ts")).alias("stamp"))
 
 
-ENVELOPES = ('{"protocol": 1, "type": "delegation_input", "commands": []}', '{"type": "delegation_output", "status": "odd"}', '{"protocol": 1, "type": "delegation_output", "status": "failed", "commands": {}}', "{", '{"protocol": 1}')
-
-
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'protocol,status' WHEN 2 THEN 'commands' WHEN 3 THEN 'malformed,protocol,type' ELSE 'type' END AS errors FROM part")
+@query("""WITH x AS (SELECT event_id, event_type, event_id % 11 = 0 AS cut, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, array_to_string(list_filter([CASE WHEN cut THEN 'malformed' END, CASE WHEN cut OR k % 3 = 0 THEN 'protocol' END, CASE WHEN cut OR event_type IN ('purchase', 'signup') THEN 'type' END,
+CASE WHEN NOT cut AND event_type IN ('view', 'error') AND k % 4 IN (2, 3) THEN 'status' END, CASE WHEN NOT cut AND k % 5 = 1 THEN 'commands' END], lambda e: e IS NOT NULL), ',') AS errors FROM x""")
 def envelope_codes(spark, d):
-    text = F.element_at(F.array(*(F.lit(x) for x in ENVELOPES)), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(runlog.envelope_errors(text), ",").alias("errors"))
+    """Envelopes written from events: some without a protocol, with an odd status or with commands that are no list, some no JSON at all."""
+    k, kind = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_type")
+    named = F.struct(
+        F.when(k % 3 != 0, k).alias("protocol"), F.when(kind == "click", "delegation_input").when(kind.isin("view", "error"), "delegation_output").otherwise(kind).alias("type"),
+        F.when(k % 4 == 0, "success").when(k % 4 == 1, "failed").when(k % 4 == 2, "odd").alias("status"), F.when(k % 5 != 1, F.array(kind)).alias("commands"), F.lit("it").alias("note"),
+    )
+    text = F.when(k % 5 == 1, F.replace(F.to_json(named), F.lit('"note"'), F.lit('"commands"'))).otherwise(F.to_json(named))
+    return table(spark, d, "events").select("event_id", F.array_join(runlog.envelope_errors(F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("#"), text)).otherwise(text)), ",").alias("errors"))
 
 
 THREADS = ("dev0_sq_task", "acl_thread", "hccl_comm", "mkl_x", "omp1", "pt_data_x", "api-server", "task_manager", "tokenizer0", "engine3", "idle", "other")
@@ -422,10 +433,10 @@ def coverage_scores(spark, d):
     return table(spark, d, "documents").select("doc_id", t.coverage(F.col("text"), list(TERMS)).alias("coverage"))
 
 
-BLOCKS = ("no block", "a\n```Run-IO v1\n{\"a\": 1}\n``` b\n```run-io v1\n{\"a\": 2}```", "```run-io v1\n[1]```", "```run-io v1\n{\"a\": ```")
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN '{\"a\": 1}' END AS payload FROM part")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 IN (0, 3) THEN '{"conv_id":' || conv_id || ',"role":"' || role || '"}' END AS payload FROM conversations""")
 def fenced_payloads(spark, d):
-    text = F.element_at(F.array(*(F.lit(x) for x in BLOCKS)), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", t.fenced_object(text, r"run-io\s+v1").alias("payload"))
+    """The first block of each turn's text: an object, none, a list, or an object with another block behind it."""
+    kind, own = F.col("turn") % 4, F.to_json(F.struct("conv_id", "role"))
+    block = lambda x: F.concat(F.lit("\n```Run-IO v1 \n"), x, F.lit("\n```"))
+    behind = F.when(kind == 0, block(own)).when(kind == 1, F.lit("")).when(kind == 2, block(F.concat(F.lit("["), own, F.lit("]")))).otherwise(F.concat(block(own), F.col("text"), block(F.lit('{"other": 1}'))))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.fenced_object(F.concat(F.coalesce("text", F.lit("")), behind), r"run-io\s+v1").alias("payload"))
