@@ -1,8 +1,12 @@
 """Nested escapes, rows that repeat, and clashing names."""
 
+import base64
 import time
+import zlib
 from urllib.parse import quote
 
+import pytest
+
 from tracegrain.llm import decontam, ngramjoin, secrets
 
 TOKEN = "password = abcdefghijklmnop1"
@@ -53,3 +57,48 @@ def test_clean_judges_each_row_and_keeps_all_columns(spark):
     kept = decontam.clean(docs, bench)
     assert kept.columns == ["doc_id", "text", "_row"] and sorted(r._row for r in kept.collect()) == ["b", "d", "e"]
     assert sorted(r._row for r in decontam.clean(docs, bench, block_chars=150).collect()) == ["b", "d", "e"]
+
+
+def _found(text):
+    return secrets.joined(secrets.scan(text)[1])
+
+
+@pytest.mark.parametrize("before", ["", "i", "id", "idx", "idxy", "prefix", "x" * 7])
+def test_base64_right_behind_letters(before):
+    token = base64.b64encode(b"the password = abcdefghijkl1234 as given").decode().rstrip("=")
+    found = _found(f"A key {before}{token} ends.")
+    kind, a, b = found.split(",")[-1].split(":")
+    assert kind == "assign" and 6 <= int(a) <= 6 + len(before) and int(b) == 6 + len(before) + len(token)
+
+
+def test_raw_deflate():
+    tool = zlib.compressobj(9, zlib.DEFLATED, -15)
+    data = tool.compress(b"some words and secret: zyxwvutsrqponm and more words") + tool.flush()
+    token = base64.b64encode(data).decode()
+    assert _found(f"see {token} there") == f"assign:4:{4 + len(token)}"
+
+
+def test_large_raw_deflate():
+    tool = zlib.compressobj(9, zlib.DEFLATED, -15)
+    data = tool.compress(b"word " * 5_000_000 + b"secret: zyxwvutsrqponm" + b" word" * 1000) + tool.flush()
+    token = base64.b64encode(data).decode()
+    assert f"assign:0:{len(token)}" in _found(token)
+
+
+@pytest.mark.parametrize("columns", [16, 20, 24, 32, 38])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_base64_in_short_lines(columns, end):
+    token = base64.b64encode(b"in many lines api_key=abcdefghijklmnop and some more to fill them").decode()
+    wrapped = end.join(token[i : i + columns] for i in range(0, len(token), columns))
+    assert f"assign:7:{7 + len(wrapped)}" in _found(f"before\n{wrapped}\nafter").split(",")
+
+
+def test_words_on_lines_give_nothing():
+    assert _found("internationalisation\n" * 3 + "counterrevolutionaries\nend\n" + "x" * 50 + "\n") == ""
+
+
+def test_many_short_lines_in_time():
+    began = time.time()
+    assert _found("\n".join("abcdefghijklmnopqrstuvwx"[: 16 + i % 9] for i in range(40_000))) == ""
+    assert _found("Ab3" * 400_000) == ""
+    assert time.time() - began < 20

@@ -8,6 +8,9 @@ each other (a token with and without its escaped end) the outermost counts. Each
 every character came from, so spans map back, layer by layer, to code points of the text.
 
 A span inside base64 or compressed data maps to the whole encoded token; one across escapes to all of their characters.
+A token may begin right behind up to three other letters (or any number, if it holds no compressed bytes); its span then begins at
+the first of its characters that were decoded. Tokens may be wrapped in lines of one length of 16 and more. Bytes that are one
+whole raw deflate stream are unpacked as such.
 
 Bytes are read as UTF-8, or as latin-1 where they are not that; bytes with a NUL also as UTF-16 of either byte order, from
 their first and from their second byte. Bytes that do not look like text make a layer only if something can be found there.
@@ -48,6 +51,7 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+\r?\n)+[A-Za-z0-9+/]+={0,2}")
+SHORT_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,39}\r?\n)+[A-Za-z0-9+/]{1,39}={0,2}(?![A-Za-z0-9+/=])")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)")
 
@@ -85,6 +89,8 @@ class Layer:
 
 
 MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor), (b"x", zlib.decompressobj))
+#: In front of a raw deflate stream it makes a zlib stream without its checksum.
+ZLIB_HEAD = b"\x78\x9c"
 BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
 #: Bytes of a window over a large stream at first and at most, that it shares with the next, and that are unpacked at once.
 WINDOW, MOST, SHARED, CHUNK = 1 << 20, 1 << 24, 1 << 16, 1 << 18
@@ -342,23 +348,40 @@ def _escaped(layer: Layer, pattern: re.Pattern, room: Room) -> tuple[list[Layer]
     return ([new] if new else []) + more, spans
 
 
+def _raw_deflate(data: bytes) -> bool:
+    """Whether the bytes are one whole raw deflate stream; what it unpacks to is not kept."""
+    tool, size = zlib.decompressobj(-15), 0
+    try:
+        while data and not tool.eof:
+            size += len(tool.decompress(data, CHUNK))
+            data = tool.unconsumed_tail
+    except zlib.error:
+        return False
+    return tool.eof and not tool.unused_data and size > 0
+
+
 def _base64(layer: Layer, token: str, start: int, room: Room) -> tuple[list[Layer], list[tuple[int, int, int]]]:
-    """Layers within one token and spans of large streams; if it does not decode to text, also within its parts between / _ and -."""
-    bare = re.sub(r"\s", "", token).rstrip("=")
-    found, spans = [], []
-    if len(bare) % 4 != 1:
+    """Layers within one token and spans of large streams; if it does not decode to text, also within its parts between / _ and -.
+
+    A token may stand right behind other letters, so it is decoded from each of its first four characters until that gives text.
+    """
+    bare = re.sub(r"\s", "", token).rstrip("=").translate({45: 43, 95: 47})
+    found, spans, end = [], [], start + len(token)
+    for phase in range(4 if len(bare) >= 19 else 1):
+        if len(bare) % 4 == (1 + phase) % 4:
+            continue
         try:
-            data = base64.b64decode(bare.translate({45: 43, 95: 47}) + "=" * (-len(bare) % 4))
+            data = base64.b64decode(bare[phase:] + "=" * (-(len(bare) - phase) % 4))
         except (binascii.Error, ValueError):
-            data = b""
-        if data:
+            continue
+        for packed in (data, ZLIB_HEAD + data) if _raw_deflate(data) else (data,):
             try:
-                texts, whole = opened(data, room)
+                texts, whole = opened(packed, room)
             except OverflowError:
-                return [], [(start, kind, start + len(token)) for kind in streamed(data, room)]
-            found = [Layer(x, layer, [(0, start, start + len(token), False)]) for i, x in enumerate(texts) if x and (whole and not i or _may_hold(x))]
-            if whole:
-                return found, []
+                return found, spans + [(start + phase, kind, end) for kind in streamed(packed, room)]
+            found += [Layer(x, layer, [(0, start + phase, end, False)]) for i, x in enumerate(texts) if x and (whole and not i or _may_hold(x))]
+            if whole and texts[0]:
+                return found, spans
     for part in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}", token):
         if part[0] != token:
             layers, more = _base64(layer, part[0], start + part.start(), room)
@@ -367,6 +390,23 @@ def _base64(layer: Layer, token: str, start: int, room: Room) -> tuple[list[Laye
     return found, spans
 
 
+def _short_lines(text: str) -> Iterator[tuple[str, int]]:
+    """Tokens wrapped at fewer than 40 columns: lines of one length, and the next if it is no longer."""
+    for block in SHORT_LINES.finditer(text):
+        lines = [(m.start(), m.end()) for m in re.finditer(r"[^\s]+", block[0])]
+        at = 0
+        while at < len(lines) - 1:
+            size = lines[at][1] - lines[at][0]
+            last = at
+            while last < len(lines) - 1 and lines[last][1] - lines[last][0] == size:
+                last += 1
+            if lines[last][1] - lines[last][0] > size + 2:  # longer, and not by its padding only
+                last -= 1
+            if last > at:
+                yield block[0][lines[at][0] : lines[last][1]], block.start() + lines[at][0]
+            at = max(last, at + 1)
+
+
 def children(layer: Layer, runs: list[re.Match], room: Room) -> tuple[list[Layer], list[tuple[int, int, int]]]:
     """All layers one step below, and (start, kind, end) of what streams hold that were not made layers for their size."""
     found, spans = [], []
@@ -381,6 +421,8 @@ def children(layer: Layer, runs: list[re.Match], room: Room) -> tuple[list[Layer
     tokens = [(m[0], m.start()) for m in runs]
     if any(len(token) >= 40 for token, _ in tokens):
         tokens += [(m[0], m.start()) for m in LINES.finditer(text)]
+    if runs and "\n" in text:
+        tokens += _short_lines(text)
     for token, start in tokens:
         layers, more = _base64(layer, token, start, room)
         found += layers
