@@ -55,6 +55,13 @@ SHORT_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,39}\r?\n)+[A-Za
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)")
 
+#: Whether there are any of these; patterns that begin with a fixed sign are found sooner.
+ANY_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+ANY_ESCAPE = re.compile(r"\\(?:u\{[0-9A-Fa-f]{1,6}\}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})")
+#: Each byte that a run may hold as one letter, all others as a space.
+PLAIN = b"a"
+CLASSES = bytes(97 if chr(c) in "+/_-" or c < 128 and chr(c).isalnum() else 32 for c in range(256))
+
 
 def base_spans(text: str, runs: list[re.Match] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the secrets that stand in the text as it is."""
@@ -89,6 +96,8 @@ class Layer:
 
 
 MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor), (b"x", zlib.decompressobj))
+#: Tab and line ends count as printable.
+SPACED = dict.fromkeys(b"\t\n\r", " ")
 #: In front of a raw deflate stream it makes a zlib stream without its checksum.
 ZLIB_HEAD = b"\x78\x9c"
 BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
@@ -178,7 +187,7 @@ def opened(data: bytes, room: Room) -> tuple[list[str], bool]:
         packed, data = True, b"".join(parts)
         room.left -= size
     texts = readings(data)
-    return texts, packed or all(c.isprintable() or c in "\t\n\r" for c in texts[0]) and texts[0].encode() == data
+    return texts, packed or texts[0].encode("utf-8", "surrogatepass") == data and texts[0].translate(SPACED).isprintable()
 
 
 def _windows(source: Iterable[bytes], room: Room) -> Iterator[bytes]:
@@ -242,7 +251,8 @@ def streamed(data: bytes, room: Room) -> frozenset[int]:
 
 
 def _may_hold(text: str) -> bool:
-    return bool(RUN.search(text) or PERCENT.search(text) or ESCAPE.search(text) or base_spans(text, []))
+    """Whether the text holds a run, an escape or a secret; what is decoded from no token at all is seldom text, and long."""
+    return PLAIN * 16 in text.encode("latin-1", "replace").translate(CLASSES) or bool(ANY_ESCAPE.search(text) or ANY_PERCENT.search(text) or base_spans(text, []))
 
 
 def _rewritten(layer: Layer, pattern: re.Pattern, turn) -> Layer | None:
