@@ -1,13 +1,14 @@
 """Nested escapes, rows that repeat, and clashing names."""
 
 import base64
+import hashlib
 import time
 import zlib
 from urllib.parse import quote
 
 import pytest
 
-from tracegrain.llm import decontam, ngramjoin, secrets
+from tracegrain.llm import decontam, fmdedup, ngramjoin, secrets
 
 TOKEN = "password = abcdefghijklmnop1"
 
@@ -102,3 +103,26 @@ def test_many_short_lines_in_time():
     assert _found("\n".join("abcdefghijklmnopqrstuvwx"[: 16 + i % 9] for i in range(40_000))) == ""
     assert _found("Ab3" * 400_000) == ""
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("shard", [1, 30, fmdedup.SHARD])
+def test_anchors_of_more_segments_than_a_shard_holds(spark, monkeypatch, shard):
+    """One passage between 25 beginnings and 25 ends: its anchors have hundreds of different segments, whose windows meet in part."""
+    middle = [f"m{i}" for i in range(14)]
+    texts = [" ".join([f"a{i % 25}.{k}" for k in range(12)] + middle + [f"z{i // 25}.{k}" for k in range(12)]) for i in range(625)]
+    texts += [texts[7], " ".join(middle * 3), None, ""]
+    seen, want = set(), {}
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        windows = [tuple(words[k : k + 20]) for k in range(len(words) - 19)]
+        cut = set()
+        for k, w in enumerate(windows):
+            cut |= set(range(k, k + 20)) if w in seen else set()
+            seen.add(w)
+        want[i] = (len(words), len(cut), hashlib.sha256(" ".join(w for k, w in enumerate(words) if k not in cut).encode()).hexdigest())
+    used = []
+    plain = fmdedup._earlier_windows
+    monkeypatch.setattr(fmdedup, "_earlier_windows", lambda *a: used.append(1) or plain(*a))
+    got = fmdedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard=shard)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()} == want
+    assert bool(used) == (shard < fmdedup.SHARD)

@@ -11,6 +11,9 @@ builds a suffix array, its Burrows-Wheeler transform in a wavelet matrix with pa
 through backward search; as soon as a match is longer than a window it is cut back to the window's length, so every
 window gets the interval of all its occurrences. Windows whose interval holds an earlier start are reported.
 
+An anchor is in one shard. Segments of one that more than `shard` segments have would fill it, so they are cut into their
+windows instead, at most 15 each, and equal windows meet in a grouped aggregation, whose least start each is held against.
+
 Which anchors occur twice, and which documents are looked at, is kept in maps of `map_bits` bits at most; a wrong hit there
 only costs a segment or a document that finds nothing. Texts are told apart by 256 bits, segments by 120, and words in the
 index by 64.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from tracegrain.llm import textvec
 from tracegrain.llm.scratch import written
 
-#: Words of an anchor, and segments of a shard.
+#: Words of an anchor, and segments of a shard; an anchor of more has none.
 ANCHOR, SHARD = 6, 40_000
 #: Anchors of more segments than this are frequent, and so many of the most frequent come last in the order.
 FREQUENT, MOST_FREQUENT = 1000, 512
@@ -292,6 +295,16 @@ def _removed(window: int):
     return run
 
 
+def _earlier_windows(segments: DataFrame, window: int) -> DataFrame:
+    """seg and the windows of segments (seg, doc, seq, at, words) that start earlier elsewhere, without a shard: equal windows are grouped."""
+    n = (F.octet_length("words") / 8).cast("int") - window
+    cut = F.transform(F.sequence(F.lit(0), n), lambda i: F.substr("words", i * 8 + 1, F.lit(8 * window)))
+    x = segments.select("seg", "doc", "seq", "at", F.posexplode(cut).alias("i", "window")).withColumn("start", F.struct("doc", "seq", F.col("at") + F.col("i")))
+    # written, so that Spark can split what a very common window fills in the join
+    least = written(x.groupBy("window").agg(F.min("start").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "windows")
+    return x.join(least, "window").filter(F.col("least") < F.col("start")).groupBy("seg").agg(F.sort_array(F.collect_list("i")).alias("earlier"))
+
+
 def _map(values: DataFrame, name: str, n: int, most: int) -> bytes:
     """A bit for the place of each of n values, among 16 places for each value, but at most `most`."""
     bits = min(most, max(1 << 20, 1 << (16 * max(1, n) - 1).bit_length()))
@@ -303,7 +316,7 @@ def _map(values: DataFrame, name: str, n: int, most: int) -> bytes:
     return bytes(found)
 
 
-def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28, shard: int = SHARD) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_words, n_removed, kept_sha256 for each row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), "text")
     rows = written(docs.mapInArrow(_summaries, "doc_id bigint, doc bigint, seq bigint, n_words bigint, whole string"), "documents")
@@ -325,8 +338,12 @@ def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28) ->
     with_words = texts.mapInArrow(_occurrences(window, frequent, places, repeated, True), place + ", anchor bigint, words binary")
     known = with_words.groupBy("seg").agg(F.min(F.struct("doc", "seq", "at")).alias("x"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
     known = written(known.select("seg", "x.*", "anchor", "words"), "segments")
-    shards = max(1, -(-known.count() // SHARD))
-    found = known.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_searched(window), "seg decimal(38,0), earlier array<int>")
+    hot = counts.filter(F.col("n") > shard).select("anchor")
+    crowded = None if hot.isEmpty() else known.join(hot, "anchor", "left_semi")
+    fitting = known if crowded is None else known.join(hot, "anchor", "left_anti")
+    shards = max(1, -(-known.count() // shard))
+    found = fitting.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_searched(window), "seg decimal(38,0), earlier array<int>")
+    found = found if crowded is None else found.unionByName(_earlier_windows(crowded, window))
     # written, so that the join below is of two shuffles, of which Spark can split what a very common segment fills
     found = written(known.select("seg", F.struct("doc", "seq", "at").alias("first")).join(written(found, "found"), "seg", "left"), "found")
     occurrences = texts.mapInArrow(_occurrences(window, frequent, places, repeated, False), place).join(found, "seg")
