@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tracegrain.plans import analyses, associations, catalogue, comparisons, kernels  # noqa: F401  (all add their queries)
+from tracegrain.plans import analyses, associations, catalogue, comparisons, evidence, kernels  # noqa: F401  (all add their queries)
 
 FOLDER = "/root/testdata/sf0.001"
 

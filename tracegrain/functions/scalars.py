@@ -141,12 +141,9 @@ def error_bucket(a: Column, b: Column, ok: float = 1e-4, warn: float = 1e-2) ->
 
 
 def bytes_text(size: Column) -> Column:
-    return (
-        F.when(size < 1024, F.format_string("%.0f B", size.cast("double")))
-        .when(size < 1024**2, F.format_string("%.1f KB", size / 1024.0))
-        .when(size < 1024**3, F.format_string("%.1f MB", size / 1024.0**2))
-        .otherwise(F.format_string("%.2f GB", size / 1024.0**3))
-    )
+    """A size for people; halves go to the even digit."""
+    of = lambda unit, power, digits: F.format_string(f"%.{digits}f {unit}", F.bround(size / 1024.0**power, digits))
+    return F.when(size < 1024, of("B", 0, 0)).when(size < 1024**2, of("KB", 1, 1)).when(size < 1024**3, of("MB", 2, 1)).otherwise(of("GB", 3, 2))
 
 
 def token_estimate(text: Column) -> Column:

@@ -135,3 +135,15 @@ def first_anomalies(tensors: DataFrame, links: DataFrame, stacks: DataFrame, ran
     first = written(first, "anomalies")
     found = with_keys(first, chains(links.select(rank, op, parent), first, [rank, op], parent, depth), [rank, op])
     return with_keys(found, stacks.select(rank, op, stack).dropDuplicates([rank, op]), [rank, op])
+
+
+#: Kinds of node that a drawn way shows, and what they are called.
+DRAWN = {"0": "Module", "1": "API"}
+
+
+def drawn(way: Column) -> Column:
+    """Lines of a way (array of struct of kind and name, from the root down): its modules and APIs, each two spaces further in."""
+    names = F.create_map(*(F.lit(x) for pair in DRAWN.items() for x in pair))
+    shown = F.filter(way, lambda n: F.coalesce(n["kind"].isin(*DRAWN), F.lit(False)))
+    arrow = lambda i: F.when(i > 0, "\u2192 ").otherwise("")
+    return F.array_join(F.transform(shown, lambda n, i: F.concat(F.repeat(F.lit("  "), i), arrow(i), F.coalesce(n["name"], F.lit("?")), F.lit(" ["), names[n["kind"]], F.lit("]"))), "\n")
