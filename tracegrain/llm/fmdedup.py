@@ -13,6 +13,7 @@ window gets the interval of all its occurrences. Windows whose interval holds an
 
 An anchor is in one shard. Segments of one that more than `shard` segments have would fill it, so they are cut into their
 windows instead, at most 15 each, and equal windows meet in a grouped aggregation, whose least start each is held against.
+Such anchors are marked in a map too; a wrong hit there only sends an anchor's segments that way.
 
 Which anchors occur twice, and which documents are looked at, is kept in maps of `map_bits` bits at most; a wrong hit there
 only costs a segment or a document that finds nothing. Texts are told apart by 256 bits, segments by 120, and words in the
@@ -123,17 +124,21 @@ def _anchors(window: int, frequent: np.ndarray, places: bytes):
     return run
 
 
-def _occurrences(window: int, frequent: np.ndarray, places: bytes, repeated: bytes, with_words: bool):
-    """For mapInArrow: segments whose anchor may occur twice: digest, place, windows, and anchor and words if asked for."""
+def _marked(values: np.ndarray, places: bytes) -> np.ndarray:
+    """Which values stand in a map of places."""
+    bits = np.frombuffer(places, np.uint8)
+    place = values % (len(bits) * 8)
+    return (bits[place >> 3] >> (place & 7)) & 1 == 1
+
+
+def _occurrences(window: int, frequent: np.ndarray, places: bytes, repeated: bytes, crowded: bytes | None = None):
+    """For mapInArrow: segments whose anchor may occur twice: digest, place, windows; with a map of crowded anchors also anchor, words and crowded."""
 
     def run(batches):
-        bits = np.frombuffer(repeated, np.uint8)
-        size = len(bits) * 8
         for batch in _kept(batches, places):
             _, _, _, rows, hashes, first = _words(batch)
             start, count, anchor = segments(hashes, rows, window, frequent)
-            place = anchor % size
-            keep = np.flatnonzero((bits[place >> 3] >> (place & 7)) & 1)
+            keep = np.flatnonzero(_marked(anchor, repeated))
             start, count, anchor = start[keep], count[keep], anchor[keep]
             row = rows[start]
             sequences = {r: _digest(hashes[first[r] : first[r + 1]]) for r in np.unique(row).tolist()}
@@ -141,9 +146,9 @@ def _occurrences(window: int, frequent: np.ndarray, places: bytes, repeated: byt
             parts = [hashes[a:b] for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
             columns = [textvec.digests(parts), batch.column("doc").take(pa.array(row)), pa.array([sequences[r] for r in row.tolist()], pa.int64()), pa.array((start - first[row]).astype(np.int32)), pa.array(count.astype(np.int32))]
             names = ["seg", "doc", "seq", "at", "n"]
-            if with_words:
-                columns += [pa.array(anchor), pa.array([x.tobytes() for x in parts], pa.binary())]
-                names += ["anchor", "words"]
+            if crowded is not None:
+                columns += [pa.array(anchor), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(_marked(anchor, crowded))]
+                names += ["anchor", "words", "crowded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -335,18 +340,18 @@ def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28, sha
         counts = written(counted(frequent), "anchors")
     repeated = _map(counts, "anchor", counts.count(), map_bits)
     place = "seg decimal(38,0), doc bigint, seq bigint, at int, n int"
-    with_words = texts.mapInArrow(_occurrences(window, frequent, places, repeated, True), place + ", anchor bigint, words binary")
-    known = with_words.groupBy("seg").agg(F.min(F.struct("doc", "seq", "at")).alias("x"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
-    known = written(known.select("seg", "x.*", "anchor", "words"), "segments")
-    hot = counts.filter(F.col("n") > shard).select("anchor")
-    crowded = None if hot.isEmpty() else known.join(hot, "anchor", "left_semi")
-    fitting = known if crowded is None else known.join(hot, "anchor", "left_anti")
+    hot = counts.filter(F.col("n") > shard)
+    n_hot = hot.count()
+    crowded = _map(hot, "anchor", n_hot, map_bits)
+    with_words = texts.mapInArrow(_occurrences(window, frequent, places, repeated, crowded), place + ", anchor bigint, words binary, crowded boolean")
+    known = with_words.groupBy("seg").agg(F.min(F.struct("doc", "seq", "at")).alias("x"), *(F.first(c).alias(c) for c in ("anchor", "words", "crowded")))
+    known = written(known.select("seg", "x.*", "anchor", "words", "crowded"), "segments")
     shards = max(1, -(-known.count() // shard))
-    found = fitting.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_searched(window), "seg decimal(38,0), earlier array<int>")
-    found = found if crowded is None else found.unionByName(_earlier_windows(crowded, window))
+    found = known.filter("not crowded").drop("crowded").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_searched(window), "seg decimal(38,0), earlier array<int>")
+    found = found.unionByName(_earlier_windows(known.filter("crowded"), window)) if n_hot else found
     # written, so that the join below is of two shuffles, of which Spark can split what a very common segment fills
     found = written(known.select("seg", F.struct("doc", "seq", "at").alias("first")).join(written(found, "found"), "seg", "left"), "found")
-    occurrences = texts.mapInArrow(_occurrences(window, frequent, places, repeated, False), place).join(found, "seg")
+    occurrences = texts.mapInArrow(_occurrences(window, frequent, places, repeated), place).join(found, "seg")
     all_windows = F.sequence(F.lit(0), F.col("n") - 1)
     offsets = F.when(F.struct("doc", "seq", "at") == F.col("first"), F.coalesce("earlier", F.array().cast("array<int>"))).otherwise(all_windows)
     removed = occurrences.withColumn("starts", F.transform(offsets, lambda x: x + F.col("at"))).filter(F.size("starts") > 0).groupBy("doc", "seq").agg(F.flatten(F.collect_list("starts")).alias("starts"))
