@@ -1,6 +1,7 @@
 """Hand-checked cases of the operators."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,12 @@ def test_estimates(spark):
     assert params == 6_915_358_720
     assert value(spark, estimators.tensor_parallel(lit(8), lit(32))) == 8
     assert value(spark, estimators.cache_bytes_per_token(lit(32), lit(8), lit(128), lit(8))) == 16384
+
+
+def test_range_text_is_linear(spark):
+    # 1,000 sets of 2,000 CPUs: minutes if each CPU looks through its set
+    cpus = F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: (i + F.floor(i / 500)).cast("int"))
+    began = time.perf_counter()
+    rows = spark.range(1000).select(s.cpu_text(F.transform(cpus, lambda i: i + F.col("id").cast("int"))).alias("text"), "id").filter(F.col("text") != F.concat_ws(",", *(F.concat_ws("-", (F.col("id") + a).cast("string"), (F.col("id") + a + 499).cast("string")) for a in (0, 501, 1002, 1503))))
+    assert rows.count() == 0 and time.perf_counter() - began < 20
+    assert value(spark, s.cpu_text(F.array().cast("array<int>"))) == "" and value(spark, s.cpu_text(F.lit(None).cast("array<int>"))) is None

@@ -206,10 +206,15 @@ def cpu_list(text: Column) -> Column:
 
 def cpu_text(cpus: Column) -> Column:
     """Ordered distinct CPUs as a range list."""
-    start = F.filter(cpus, lambda x: ~F.array_contains(cpus, x - 1))
-    stop = F.filter(cpus, lambda x: ~F.array_contains(cpus, x + 1))
-    text = F.zip_with(start, stop, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string"))))
-    return F.array_join(text, ",")
+
+    def ranges(own: Column) -> Column:
+        # neighbours tell where a range begins and ends
+        start = F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1) != x - 1))
+        stop = F.filter(own, lambda x, i: (i == F.size(own) - 1) | (F.get(own, i + 1) != x + 1))
+        return F.zip_with(start, stop, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string"))))
+
+    # as an element of an array the set is worked out once, not for each CPU
+    return F.array_join(F.get(F.transform(F.array(cpus), ranges), F.lit(0)), ",")
 
 
 def is_subset(part: Column, whole: Column) -> Column:
