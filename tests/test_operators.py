@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tracegrain.functions import guard
+from tracegrain.functions import guard, textual
 from tracegrain.functions import scalars as s
 from tracegrain.operators import affinity, cluster, estimators, memory, profiler, runlog, sequences
 
@@ -210,3 +210,10 @@ def test_range_text_is_linear(spark):
     rows = spark.range(1000).select(s.cpu_text(F.transform(cpus, lambda i: i + F.col("id").cast("int"))).alias("text"), "id").filter(F.col("text") != F.concat_ws(",", *(F.concat_ws("-", (F.col("id") + a).cast("string"), (F.col("id") + a + 499).cast("string")) for a in (0, 501, 1002, 1503))))
     assert rows.count() == 0 and time.perf_counter() - began < 20
     assert value(spark, s.cpu_text(F.array().cast("array<int>"))) == "" and value(spark, s.cpu_text(F.lit(None).cast("array<int>"))) is None
+
+
+def test_numbers_are_rounded_as_printf_does(spark):
+    ns = [*range(1_000, 1_000_000, 500), *range(1_000_000, 1_000_000_000, 449_950), *range(1_050_000, 2_000_000_000, 350_000), 395_950_000, 999, 999_499, 999_500, 999_999, 9_007_199_250_050_000, 7]
+    text = lambda n: f"{n / 1e6:.1f}M" if n >= 1e6 else f"{n / 1e3:.0f}K" if n >= 1e3 else str(n)
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", textual.tokens_text(F.col("n")).alias("t")).collect()
+    assert [(r.n, r.t) for r in got if r.t != text(r.n)] == []

@@ -11,8 +11,17 @@ from tracegrain.functions.scalars import shortened, starts_with_any
 
 
 def tokens_text(n: Column) -> Column:
-    """1.2M, 123K or the number itself."""
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000.0)).when(n >= 1_000, F.format_string("%.0fK", n / 1_000.0)).otherwise(n.cast("string"))
+    """1.2M, 123K or the whole number itself. Rounded as C's printf rounds the double of the quotient: halves by what it truly holds."""
+    n = n.cast("bigint")
+    thousands, rest = F.floor(n / 1_000), n % 1_000
+    thousands += ((rest > 500) | ((rest == 500) & (thousands % 2 == 1))).cast("int")  # a half of a thousand is a double, so it goes to even
+    tenths, rest = F.floor(n / 100_000), n % 100_000
+    # most halves of a tenth are no doubles: v = n / 1e6 is above q / 20 if 4 v > q - 16 v, and doubles hold all three
+    v, q = n / 1_000_000.0, (tenths * 2 + 1).cast("double")
+    above, below = v * 4 > q - v * 16, v * 4 < q - v * 16
+    tenths += ((rest > 50_000) | ((rest == 50_000) & (above | (~below & (tenths % 2 == 1))))).cast("int")
+    millions = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("M"))
+    return F.when(n >= 1_000_000, millions).when(n >= 1_000, F.concat(thousands.cast("string"), F.lit("K"))).otherwise(n.cast("string"))
 
 
 #: Frames that a call path leaves out begin with these.
