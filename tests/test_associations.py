@@ -3,13 +3,14 @@
 import difflib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracegrain.functions import formulas, windows
-from tracegrain.operators import affinity, flows, memory, names, scans, sequences, states
+from tracegrain.operators import affinity, flows, memory, names, profiler, scans, sequences, states
 from tracegrain.plans import macros
 
 
@@ -232,3 +233,23 @@ def test_pairs_of_a_hot_item(spark, monkeypatch):
         if item:
             held.setdefault((g, k), set()).add(item)
     assert got == {(g, a, b, len(held[g, a] & held[h, b])) for g, a in held for h, b in held if g == h and a < b and held[g, a] & held[h, b]}
+
+
+def test_innermost_makes_no_pairs(spark):
+    # 20,000 calls run at each of 20,000 moments, in blocks before theirs: 400 million pairs
+    n = 20_000
+    calls = spark.range(n).select(F.lit(1).alias("lane"), F.col("id").alias("call"), F.col("id").alias("a"), (F.lit(10 * n) - F.col("id") % 7).alias("b"))
+    tasks = spark.range(n).select(F.lit(1).alias("lane"), F.col("id").alias("task"), (F.col("id") + n).alias("at"))
+    began = time.perf_counter()
+    rows = flows.launched_by(tasks, calls, ["lane"], "task", "at", "call", "a", "b").groupBy("call", "depth").count().collect()
+    assert [tuple(r) for r in rows] == [(n - 1, n, n)] and time.perf_counter() - began < 40
+
+
+def test_the_first_kernel_makes_no_pairs(spark):
+    # all kernels and marks lie in one block of the width given, and each mark spans all kernels after it
+    n = 20_000
+    marks = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("record"), F.col("id").alias("start"), F.lit(2 * n).alias("end"))
+    work = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("kernel"), F.col("id").alias("at"))
+    began = time.perf_counter()
+    found = profiler.first_within(marks, work.unionByName(work.withColumn("kernel", F.col("kernel") + n)), ["k"], 10 * n)
+    assert found.filter("kernel = record and at = record").count() == n and time.perf_counter() - began < 40
