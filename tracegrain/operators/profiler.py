@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracegrain.operators import scans
+
 
 def named(rows: DataFrame, strings: DataFrame, **columns: str) -> DataFrame:
     """rows with a decoded column for each `name=code`, by left joins with the (id, value) dictionary; null if unknown.
@@ -48,8 +52,11 @@ def top_ops(view: DataFrame, name: str, duration: str, n: int = 20) -> DataFrame
 def first_within(records: DataFrame, kernels: DataFrame, key: list[str], width: int) -> DataFrame:
     """For each record (record, start, end), the first kernel (kernel, at) that starts within it.
 
-    A range join on blocks of `width`, so a kernel meets only the records that reach into its block.
+    Both sides are scanned in one order, back in time, so a record meets the next kernel only, however many start within it. Of kernels that start
+    together the least counts. width: how long records are at most in the usual case; the result does not depend on it.
     """
-    blocks = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("end", F.col("start") + 1) - 1) / width)))
-    x = records.withColumn("_block", blocks).join(kernels.withColumn("_block", F.floor(F.col("at") / width)), [*key, "_block"]).filter("at >= start and at < end")
-    return x.groupBy(*key, "record").agg(F.min(F.struct("at", "kernel")).alias("x")).select(*key, "record", "x.kernel", "x.at")
+    known = functools.reduce(lambda x, k: x & F.col(k).isNotNull(), key, F.lit(True))
+    first = kernels.filter(known & F.col("at").isNotNull()).groupBy(*key, "at").agg(F.min("kernel").alias("kernel")).withColumn("_back_at", -F.col("at"))
+    asked = records.filter(known & F.col("start").isNotNull()).select(*key, "record", "end", (-F.col("start")).alias("_back"))
+    x = scans.as_of(asked, first, key, "_back", "_back_at", {"_kernel": "kernel", "_at": "at"}, "at").filter("_at < end")
+    return x.groupBy(*key, "record").agg(F.min(F.struct(F.col("_at").alias("at"), F.col("_kernel").alias("kernel"))).alias("x")).select(*key, "record", "x.kernel", "x.at")
