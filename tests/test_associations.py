@@ -3,7 +3,9 @@
 import difflib
 import math
 import random
+import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -253,3 +255,18 @@ def test_the_first_kernel_makes_no_pairs(spark):
     began = time.perf_counter()
     found = profiler.first_within(marks, work.unionByName(work.withColumn("kernel", F.col("kernel") + n)), ["k"], 10 * n)
     assert found.filter("kernel = record and at = record").count() == n and time.perf_counter() - began < 40
+
+
+def test_sharing_deals_by_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "ROWS", 100, raising=False)
+    rng = random.Random(5)
+    rows = {(rng.choice("ab"), rng.randrange(30), rng.choice([1, rng.randrange(200)])) for _ in range(2000)}
+    df = spark.createDataFrame([*rows, *list(rows)[:50], (None, 1, 1), ("a", 2, None)], "scope string, k int, item int")
+    found = affinity.sharing(df, "k", "item", ["scope"])
+    held = {}
+    for scope, k, item in rows:
+        held.setdefault((scope, item), set()).add(k)
+    want = Counter((scope, a, b) for (scope, _), ks in held.items() for a in ks for b in ks if a < b)
+    assert {(r.scope, r.k, r.other): r.shared for r in found.collect()} == want
+    # a task's rows do not grow with the table
+    assert f"hashpartitioning(scope, item, {-(-(len(rows) + 51) // 100)})" in re.sub(r"#\d+", "", found._jdf.queryExecution().executedPlan().toString())

@@ -55,14 +55,21 @@ def partial_siblings(processes: DataFrame, groups: DataFrame) -> DataFrame:
 
 #: Sets of one item that a task pairs with the others of the item.
 TOGETHER = 1000
+#: Rows that a task looks for shared items in.
+ROWS = 1 << 18
 
 
 def sharing(rows: DataFrame, key: str, item: str, scope: list[str]) -> DataFrame:
     """Pairs of keys of one scope that share an item, with how many: joined on the items, so keys without one in common never meet.
 
-    An item of many keys is cut into parts on one side and repeated for each part on the other, so its pairs are many tasks.
+    Rows are dealt once, by item, into as many parts as their number asks for, and items of one key only are left out there, so what a task
+    holds does not grow with the table. An item of many keys is cut into parts on one side and repeated for each part on the other, so its
+    pairs are many tasks.
     """
-    x = rows.select(*scope, key, F.col(item).alias("item")).filter("item is not null").distinct()
+    x = rows.select(*scope, key, F.col(item).alias("item")).filter(F.col("item").isNotNull() & F.col(key).isNotNull())
+    dealt = x.repartition(max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-x.count() // ROWS)), *scope, "item")
+    shared = dealt.groupBy(*scope, "item").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).filter("_a < _b").select(*scope, "item")
+    x = dealt.join(shared, [*scope, "item"], "left_semi").distinct()
     parts = x.groupBy(*scope, "item").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).filter("parts > 1")
     x = x.join(parts, [*scope, "item"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     cut = x.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts"))).drop("parts")
