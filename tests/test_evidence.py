@@ -1,5 +1,7 @@
 """Hand-checked cases of compared values, audit logs, completions, drawn ways and sizes."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,14 @@ def test_drawn_ways_and_sizes(spark):
     sizes = [0, 1023, 1024, 1280, 1792, 3 * 2**19 + 2**18, 5 * 2**27 + 2**30]
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select(scalars.bytes_text(F.col("n")).alias("t")).collect()
     assert [r.t for r in got] == ["0 B", "1023 B", "1.0 KB", "1.2 KB", "1.8 KB", "1.8 MB", "1.62 GB"]
+
+
+def test_values_meet_in_one_shuffle_by_pair(spark):
+    pairs = spark.createDataFrame([(1, "a", "b")], "run int, train_key string, rollout_key string")
+    tensors = "run int, key string, target string, name string, dtype string, shape array<bigint>, Max double, Min double, Mean double, Norm double"
+    train = spark.createDataFrame([(1, "a", "output.0", None, "fp32", [2, 3], 1.0, 0.0, 0.5, 1.0), (1, "a", None, None, "fp32", [2], 1.0, 0.0, 0.5, 1.0)], tensors)
+    rollout = spark.createDataFrame([(1, "b", "output.0", "", "fp32", [2, 3], 1.0, 0.0, 0.5, 1.0), (1, "b", None, None, "fp32", [2], 1.0, 0.0, 0.5, 1.0)], tensors)
+    found = values.compared(pairs, train, rollout)
+    assert sorted((r.target or "", r.status) for r in found.collect()) == [("", "missing_on_rollout"), ("", "missing_on_train"), ("output.0", "ok")]
+    plan = re.sub(r"#\d+", "", found._jdf.queryExecution().executedPlan().toString())
+    assert len(re.findall(r"Exchange hashpartitioning\(run, train_key, rollout_key", plan.split("Initial Plan")[-1])) == 1

@@ -45,14 +45,17 @@ def value_bucket(differs: Column, relation: Column) -> Column:
 def compared(pairs: DataFrame, train: DataFrame, rollout: DataFrame) -> DataFrame:
     """Each target of each pair: consistency (match, mismatch, missing), relation of shapes, worst metric, rank, bucket, status.
 
-    Both sides meet by one shuffle on pair and target. A parameter that differs where the pair's output agrees is rank 5.
+    Both sides meet in one shuffle by pair, which also tells what a pair's output says. A parameter that differs where the pair's output
+    agrees is rank 5.
     """
 
     def side(tensors: DataFrame, key: str) -> DataFrame:
         own = tensors.withColumnRenamed("key", key).join(pairs.select(*PAIR), ["run", key])
-        return own.select(*PAIR, "target", F.coalesce("name", F.lit("")).alias("name"), F.struct("dtype", "shape", *STATISTICS).alias(f"_{key[:1]}"))
+        # targets that are null are not equal
+        return own.select(*PAIR, "target", F.coalesce("name", F.lit("")).alias("name"), F.when(F.col("target").isNull(), key).alias("_lone"), F.struct("dtype", "shape", *STATISTICS).alias(f"_{key[:1]}"))
 
-    x = side(train, "train_key").join(side(rollout, "rollout_key"), [*PAIR, "target", "name"], "full")
+    x = side(train, "train_key").unionByName(side(rollout, "rollout_key"), allowMissingColumns=True).repartition(*PAIR)
+    x = x.groupBy(*PAIR, "target", "name", "_lone").agg(F.first("_t", True).alias("_t"), F.first("_r", True).alias("_r"))
     there = F.col("_t").isNotNull() & F.col("_r").isNotNull()
     x = x.withColumn("worst_metric", F.when(there, worst_of(*({m: F.col(f"{s}.{m}") for m in STATISTICS} for s in ("_t", "_r")))).otherwise("missing"))
     differs = F.col("worst_metric").isin("warn", "alert")

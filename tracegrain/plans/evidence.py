@@ -48,7 +48,8 @@ def sides(spark, d):
     n = F.col("l_linenumber")
     target = F.when(n == 1, values.OUTPUT).when(n == 2, values.PARAMETER).when(n == 3, values.ARGUMENT).otherwise(values.NAMED)
     own = {"l_partkey": "p", "l_suppkey": "s", "l_extendedprice": "price", "l_quantity": "q", "l_discount": "d", "l_tax": "t", "l_returnflag": "flag"}
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), n).agg(*(F.max(c).alias(name) for c, name in own.items()))
+    # dealt by order, lines are grouped and meet their order where they are
+    lines = table(spark, d, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey"), n).agg(*(F.max(c).alias(name) for c, name in own.items()))
     x = lines.join(pairs, "o_orderkey").withColumn("target", target).withColumn("name", F.when(n > 3, F.concat(F.lit("k"), n.cast("string"))).otherwise(""))
     p, q, flag, rows = F.col("p"), F.col("q").cast("bigint"), F.col("flag"), F.col("p") % 3 + 1
     dtype = F.when(p % 5 == 0, "bf16").otherwise("fp32")
