@@ -37,6 +37,8 @@ from tracegrain.llm.scratch import dropped, written
 
 #: Cells of the table of document counts, and how many are summed in one row.
 CELLS, BLOCK = 1 << 22, 1 << 16
+#: Bytes of text that a task hashes at a time: arrays of eight times that are what a worker holds beside the table.
+SLICE = 1 << 18
 #: Rounds of pairing with leaders at most, leaders of an n-gram in a round, and steps of components between rounds.
 ROUNDS, LEADERS, STEPS = 6, 2, 3
 #: A round that adds less than this part of the first one's links is followed by the last round.
@@ -70,8 +72,8 @@ def _cells(n: int):
     """For mapInArrow: document counts of a task's n-grams by cell, as rows of BLOCK counts."""
 
     def run(batches):
-        counts = np.zeros(CELLS, np.int64)
-        for batch in textvec.slices(batches, "text"):
+        counts = np.zeros(CELLS, np.int32)
+        for batch in textvec.slices(batches, "text", SLICE):
             for own in _sets(batch, n):
                 cells, times = np.unique((own % np.uint64(CELLS)).astype(np.int64), return_counts=True)
                 counts[cells] += times
@@ -89,6 +91,12 @@ def document_counts(docs: DataFrame, n: int) -> np.ndarray:
     return counts.reshape(-1)
 
 
+def _codes(counts: np.ndarray) -> np.ndarray:
+    """Document counts in a byte each: themselves below 128, then four steps to a doubling. Any monotone code gives an order of n-grams."""
+    large = 128 + np.floor(4 * np.log2(np.maximum(counts, 128) / 128))
+    return np.where(counts < 128, counts, np.minimum(large, 255)).astype(np.uint8)
+
+
 def _least_shared(size, percent: int):
     """n-grams that a set of that size shares at least with any that reaches the similarity."""
     return -(-size * percent // 100)
@@ -107,8 +115,8 @@ def _prefixes(n: int, percent: int, counts: pa.Buffer):
     """For mapInArrow: class, size, sketch and rare-first prefix of each document."""
 
     def run(batches):
-        table = np.frombuffer(counts, np.int32)
-        for batch in textvec.slices(batches, "text"):
+        table = np.frombuffer(counts, np.uint8)
+        for batch in textvec.slices(batches, "text", SLICE):
             sets = list(_sets(batch, n))
             prefixes = []
             for own in sets:
@@ -124,7 +132,7 @@ def _whole_sets(n: int):
     """For mapInArrow: class and n-gram hashes of each document."""
 
     def run(batches):
-        for batch in textvec.slices(batches, "text"):
+        for batch in textvec.slices(batches, "text", SLICE):
             sets = list(_sets(batch, n))
             yield pa.RecordBatch.from_arrays([textvec.digests(sets), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "grams"])
 
@@ -148,7 +156,7 @@ class _Join:
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.n, self.percent = n, percent
         self.docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-        counts = np.minimum(document_counts(self.docs, n), (1 << 31) - 1).astype(np.int32)
+        counts = _codes(document_counts(self.docs, n))
         kind = docs.schema["doc_id"].dataType.simpleString()
         schema = f"doc_id {kind}, row bigint, node decimal(38,0), size bigint, prefix array<bigint>, " + ", ".join(f"{k} bigint" for k in SKETCH)
         self.table = written(self.docs.mapInArrow(_prefixes(n, percent, counts.tobytes()), schema), "prefixes")

@@ -104,7 +104,7 @@ _tables: dict[int, np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     if len(_tables.get(base, ())) < n:
-        steps = np.full(max(n, 2 * SLICE_BYTES), base, np.uint64)
+        steps = np.full(max(2 * n, 1 << 16), base, np.uint64)
         steps[0] = 1
         _tables[base] = np.cumprod(steps, dtype=np.uint64)
     return _tables[base]
