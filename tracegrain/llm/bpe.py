@@ -246,7 +246,7 @@ def encoder(path: str, keys: list[str], whole: bool):
     """A function for mapInArrow. whole: digests of each text; else ids and bytes of each piece."""
 
     def run(batches):
-        for batch in textvec.slices(batches, "text"):
+        for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
             found = list(_encoded(batch.column("text"), path))
             kept = [batch.column(k) for k in keys]
             counts = pa.array([len(x[0]) for x in found], pa.int64())
@@ -258,7 +258,7 @@ def encoder(path: str, keys: list[str], whole: bool):
                 names = ["n_tokens", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([*kept, counts, *more], [*keys, *names])
 
-    return run
+    return textvec.lean(run)
 
 
 def chunk_rows(docs: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:
@@ -273,7 +273,7 @@ def _edges(chunk_chars: int, overlap: int):
     """For mapInArrow: boundaries that a chunk has in its overlap with the chunk before, and with the one after."""
 
     def run(batches):
-        for batch in textvec.slices(batches, "text"):
+        for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
             data, offsets = textvec.utf8(batch.column("text"))
             points, at, _ = textvec.codepoints(data, offsets)
             starts = boundaries(points, at)
@@ -286,7 +286,7 @@ def _edges(chunk_chars: int, overlap: int):
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(heads, kind), pa.array(tails, kind)], ["row", "k", "head", "tail"])
 
-    return run
+    return textvec.lean(run)
 
 
 def stitched(long: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:

@@ -87,9 +87,20 @@ class Probes:
     first: np.ndarray
     probe: np.ndarray
     offset: np.ndarray
-    starts: np.ndarray
     span: int
 
+    @functools.cached_property
+    def starts(self) -> np.ndarray:
+        """The first code of each cell, -1 where it has none."""
+        cell, at = np.unique(self.codes >> np.uint64(64 - CELL_BITS), return_index=True)
+        starts = np.full(1 << CELL_BITS, -1, np.int32)
+        starts[cell.astype(np.int64)] = at
+        return starts
+
+    def __getstate__(self) -> dict:
+        """Without the cells: each task makes its own, which is quicker than to send them and is held once."""
+        return {k: v for k, v in self.__dict__.items() if k != "starts"}
+
 
 #: Probes that need fewer shared q-grams than this are searched by themselves, lest they let everything through.
 FEW = 20
@@ -129,10 +140,7 @@ def _indexed(items: list, item: np.ndarray, texts: list, budget: np.ndarray, q:
     code, own, offset = np.concatenate(grams), np.repeat(np.arange(len(texts)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])
     order = np.argsort(code, kind="stable")
     codes, first = np.unique(code[order], return_index=True)
-    cell, at = np.unique(codes >> np.uint64(64 - CELL_BITS), return_index=True)
-    starts = np.full(1 << CELL_BITS, -1, np.int32)  # the first code of each cell
-    starts[cell.astype(np.int64)] = at
-    return Probes(items, item, texts, budget, sizes + 1 - (budget + 1) * q, codes, np.append(first, len(code)), own[order], offset[order], starts, int((sizes + budget).max()))
+    return Probes(items, item, texts, budget, sizes + 1 - (budget + 1) * q, codes, np.append(first, len(code)), own[order], offset[order], int((sizes + budget).max()))
 
 
 def _cells(groups: list[Probes]) -> np.ndarray:
@@ -270,7 +278,7 @@ def _search(groups: list[Probes], q: int):
     def run(batches):
         total = sum(np.bincount(known.item, minlength=len(known.items)) for known in groups)
         cells = _cells(groups)
-        for batch in textvec.slices(batches, "text"):
+        for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
             values, at, source = textvec.folded(batch.column("text"), _characters())
             best: dict[tuple, dict] = {}
             code = qgrams(values, q)
@@ -293,7 +301,7 @@ def _search(groups: list[Probes], q: int):
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if name == "spans" else pa.int64()) for name, c in zip(names, columns, strict=True)], names)
 
-    return run
+    return textvec.lean(run)
 
 
 def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:

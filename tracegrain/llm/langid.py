@@ -90,7 +90,7 @@ def _count(order: int):
     def run(batches):
         held: dict[str, list] = {}
         size = 0
-        for batch in textvec.slices(batches, "text"):
+        for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
             letters, at = normalised(batch.column("text"))
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in set(langs.tolist()):
@@ -107,7 +107,7 @@ def _count(order: int):
         if held:
             yield from rows(held)
 
-    return run
+    return textvec.lean(run)
 
 
 def profiles(labelled: DataFrame, order: int = 3, profile: int = 400, most_languages: int = 1000) -> dict[str, np.ndarray]:
@@ -139,7 +139,7 @@ def _predictor(known: dict[str, np.ndarray], order: int, profile: int):
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             langs, scores = [], []
-            for batch in textvec.slices([pa.RecordBatch.from_arrays([column], ["text"])], "text"):
+            for batch in textvec.slices([pa.RecordBatch.from_arrays([column], ["text"])], "text", textvec.SMALL_SLICE):
                 letters, at = normalised(batch.column(0))
                 for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     lang, score = UNKNOWN, 0.0
@@ -151,7 +151,7 @@ def _predictor(known: dict[str, np.ndarray], order: int, profile: int):
                     scores.append(max(0.0, score))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return run
+    return textvec.lean(run)
 
 
 def identified(docs: DataFrame, known: dict[str, np.ndarray], order: int = 3, profile: int = 400, name: str = "language") -> DataFrame:

@@ -37,8 +37,6 @@ from tracegrain.llm.scratch import dropped, written
 
 #: Cells of the table of document counts, and how many are summed in one row.
 CELLS, BLOCK = 1 << 22, 1 << 16
-#: Bytes of text that a task hashes at a time: arrays of eight times that are what a worker holds beside the table.
-SLICE = 1 << 18
 #: Rounds of pairing with leaders at most, leaders of an n-gram in a round, and steps of components between rounds.
 ROUNDS, LEADERS, STEPS = 6, 2, 3
 #: A round that adds less than this part of the first one's links is followed by the last round.
@@ -73,14 +71,14 @@ def _cells(n: int):
 
     def run(batches):
         counts = np.zeros(CELLS, np.int32)
-        for batch in textvec.slices(batches, "text", SLICE):
+        for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
             for own in _sets(batch, n):
                 cells, times = np.unique((own % np.uint64(CELLS)).astype(np.int64), return_counts=True)
                 counts[cells] += times
         blocks = counts.reshape(-1, BLOCK)
         yield counting.batch({int(i): blocks[i] for i in np.flatnonzero(blocks.any(axis=1))})
 
-    return run
+    return textvec.lean(run)
 
 
 def document_counts(docs: DataFrame, n: int) -> np.ndarray:
@@ -116,7 +114,7 @@ def _prefixes(n: int, percent: int, counts: pa.Buffer):
 
     def run(batches):
         table = np.frombuffer(counts, np.uint8)
-        for batch in textvec.slices(batches, "text", SLICE):
+        for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
             sets = list(_sets(batch, n))
             prefixes = []
             for own in sets:
@@ -125,18 +123,18 @@ def _prefixes(n: int, percent: int, counts: pa.Buffer):
             columns = [batch.column("doc_id"), batch.column("row"), textvec.digests(sets), pa.array([len(x) for x in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *_sketches(sets)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "size", "prefix", *SKETCH])
 
-    return run
+    return textvec.lean(run)
 
 
 def _whole_sets(n: int):
     """For mapInArrow: class and n-gram hashes of each document."""
 
     def run(batches):
-        for batch in textvec.slices(batches, "text", SLICE):
+        for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
             sets = list(_sets(batch, n))
             yield pa.RecordBatch.from_arrays([textvec.digests(sets), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "grams"])
 
-    return run
+    return textvec.lean(run)
 
 
 def _needed(percent: int) -> Column:

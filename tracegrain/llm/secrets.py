@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegrain.llm import textvec
+
 KINDS = ("assign", "access", "hex")
 #: The base patterns, and the least lengths of group 2, match and match.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -527,7 +529,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                     out.append("".join(parts) + text[done:] if spans else text)
             yield pa.array(out, pa.string())
 
-    return docs.withColumn("text", F.arrow_udf(run, "string")("text"))
+    return docs.withColumn("text", F.arrow_udf(textvec.lean(run), "string")("text"))
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:

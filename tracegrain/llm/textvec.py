@@ -6,9 +6,10 @@ slice limit (or by one text, if a single text is longer than the limit).
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one slice of a batch holds, unless one text alone is longer.
 SLICE_BYTES = 1 << 20
+#: The same where a slice's arrays are many times its text: a worker holds a few of them at once.
+SMALL_SLICE = 1 << 18
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +43,26 @@ def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.Record
                 yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Give what this process has freed back to the system: Arrow's pool and, where the C library can, its heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for a task's batches, after which the worker keeps no freed memory: workers are used again by other steps."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def codepoints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points, the rows' offsets in code points, and the byte position of each code point (and the end)."""
     lead = (data & 0xC0) != 0x80
