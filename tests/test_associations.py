@@ -270,3 +270,29 @@ def test_sharing_deals_by_the_number_of_rows(spark, monkeypatch):
     assert {(r.scope, r.k, r.other): r.shared for r in found.collect()} == want
     # a task's rows do not grow with the table
     assert f"hashpartitioning(scope, item, {-(-(len(rows) + 51) // 100)})" in re.sub(r"#\d+", "", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_ratio_is_that_of_the_standard_library_and_ends_early():
+    r = random.Random(7)
+    for size in (0, 1, 30, 199, 200, 420):
+        for letters in (3, 40):
+            for _ in range(12):
+                a = "".join(chr(97 + min(int(r.expovariate(0.15)), letters)) for _ in range(size))
+                b = "".join(r.choice("abcx") if r.random() < 0.1 else c for c in (a if r.random() < 0.7 else a[::-1])) + r.choice(["", "\U0001f600 end"])
+                want = difflib.SequenceMatcher(None, a, b).ratio()
+                assert windows._ratio(a, b, 0.0) == windows._ratio(a, b, want) == want
+                assert a + b == "" or windows._ratio(a, b, want + 1e-9) is None
+                assert windows._alike(windows._masks(a), len(a), b, want)
+
+
+def test_few_windows_of_much_the_same_characters_are_compared(monkeypatch):
+    r = random.Random(5)
+    lines = ["".join(r.choice("etaoinshrdlu ") for _ in range(60)) for _ in range(150)]
+    content, search = "\n".join(lines), "\n".join(lines[50:53]).replace("e", "w")
+    ratios = [difflib.SequenceMatcher(None, search, "\n".join(lines[i : i + 3])).ratio() for i in range(148)]
+    best = max(ratios)
+    compared, ratio = [], windows._ratio
+    monkeypatch.setattr(windows, "_ratio", lambda *x: compared.append(x) or ratio(*x))
+    found = windows.place(content, search, 0.6)
+    assert found[0] == "fuzzy" and found[3:] == (ratios.index(best) + 1, best) == (51, best)
+    assert len(compared) < 8  # the counts of characters alone let dozens through
