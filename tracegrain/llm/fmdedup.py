@@ -11,9 +11,11 @@ builds a suffix array, its Burrows-Wheeler transform in a wavelet matrix with pa
 through backward search; as soon as a match is longer than a window it is cut back to the window's length, so every
 window gets the interval of all its occurrences. Windows whose interval holds an earlier start are reported.
 
-An anchor is in one shard. Segments of one that more than `shard` segments have would fill it, so they are cut into their
-windows instead, at most 15 each, and equal windows meet in a grouped aggregation, whose least start each is held against.
-Such anchors are marked in a map too; a wrong hit there only sends an anchor's segments that way.
+An anchor is in one shard. Segments of one that more than `shard` different segments have would fill it, so they are cut
+into their windows instead, at most 15 each, and equal windows meet in a grouped aggregation, whose least start each is
+held against. Such anchors are few (segments / `shard` at most) and are counted among the merged segments.
+
+A task holds the arrays of a slice of 256 KB or of one shard, and its worker gives back what it freed.
 
 Which anchors occur twice, and which documents are looked at, is kept in maps of `map_bits` bits at most; a wrong hit there
 only costs a segment or a document that finds nothing. Texts are told apart by 256 bits, segments by 120, and words in the
@@ -37,7 +39,7 @@ from tracegrain.llm import textvec
 from tracegrain.llm.scratch import written
 
 #: Words of an anchor, and segments of a shard; an anchor of more has none.
-ANCHOR, SHARD = 6, 40_000
+ANCHOR, SHARD = 6, 10_000
 #: Anchors of more segments than this are frequent, and so many of the most frequent come last in the order.
 FREQUENT, MOST_FREQUENT = 1000, 512
 LAST = (1 << 63) - 1
@@ -55,9 +57,10 @@ def _digest(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), signed=True)
 
 
+@textvec.lean
 def _summaries(batches):
     """For mapInArrow: digest, word count and digest of all words of each document."""
-    for batch in textvec.slices(batches, "text"):
+    for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
         data, _, _, _, hashes, first = _words(batch)
         _, offsets = textvec.utf8(batch.column("text"))
         raw = data.tobytes()
@@ -69,7 +72,7 @@ def _summaries(batches):
 def _kept(batches, places: bytes):
     """Slices of the documents that stand in the map of places."""
     bits = np.frombuffer(places, np.uint8)
-    for batch in textvec.slices(batches, "text"):
+    for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
         place = batch.column("doc").to_numpy(zero_copy_only=False) % (len(bits) * 8)
         keep = np.flatnonzero((bits[place >> 3] >> (place & 7)) & 1)
         if len(keep):
@@ -115,6 +118,7 @@ def segments(hashes: np.ndarray, rows: np.ndarray, window: int, frequent: np.nda
 def _anchors(window: int, frequent: np.ndarray, places: bytes):
     """For mapInArrow: anchors of a task's segments and how many have them."""
 
+    @textvec.lean
     def run(batches):
         for batch in _kept(batches, places):
             _, _, _, rows, hashes, _ = _words(batch)
@@ -131,9 +135,10 @@ def _marked(values: np.ndarray, places: bytes) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7)) & 1 == 1
 
 
-def _occurrences(window: int, frequent: np.ndarray, places: bytes, repeated: bytes, crowded: bytes | None = None):
-    """For mapInArrow: segments whose anchor may occur twice: digest, place, windows; with a map of crowded anchors also anchor, words and crowded."""
+def _occurrences(window: int, frequent: np.ndarray, places: bytes, repeated: bytes, whole: bool = False):
+    """For mapInArrow: segments whose anchor may occur twice: digest, place, windows; `whole`: also anchor and words."""
 
+    @textvec.lean
     def run(batches):
         for batch in _kept(batches, places):
             _, _, _, rows, hashes, first = _words(batch)
@@ -146,9 +151,9 @@ def _occurrences(window: int, frequent: np.ndarray, places: bytes, repeated: byt
             parts = [hashes[a:b] for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
             columns = [textvec.digests(parts), batch.column("doc").take(pa.array(row)), pa.array([sequences[r] for r in row.tolist()], pa.int64()), pa.array((start - first[row]).astype(np.int32)), pa.array(count.astype(np.int32))]
             names = ["seg", "doc", "seq", "at", "n"]
-            if crowded is not None:
-                columns += [pa.array(anchor), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(_marked(anchor, crowded))]
-                names += ["anchor", "words", "crowded"]
+            if whole:
+                columns += [pa.array(anchor), pa.array([x.tobytes() for x in parts], pa.binary())]
+                names += ["anchor", "words"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -181,14 +186,15 @@ class FMIndex:
     def __init__(self, text: np.ndarray, window: int):
         n = len(text)
         self.text, self.window = text, window
-        rank, ranks, step = np.unique(text, return_inverse=True)[1], {}, 1
+        rank, ranks, step = np.unique(text, return_inverse=True)[1].astype(np.int32), {}, 1
         while step < 32:
             ranks[step] = rank
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1
-            rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1]
+            after += rank * np.int64(n + 2)
+            rank = np.unique(after, return_inverse=True)[1].astype(np.int32)
             step *= 2
-        self.order = np.argsort(rank, kind="stable")
+        self.order = np.argsort(rank, kind="stable").astype(np.int32)
         # suffixes with the same first `window` words form a block: compare ranks of power-of-two lengths that cover it
         same = np.zeros(n, bool)
         same[1:] = True
@@ -200,7 +206,7 @@ class FMIndex:
                 same[1:] &= value[1:] == value[:-1]
                 at, left = at + size, left - size
         first = np.flatnonzero(~same)
-        self.block = np.cumsum(~same) - 1
+        self.block = np.cumsum(~same, dtype=np.int32) - 1
         self.block_start, self.block_end = first, np.append(first[1:], n)
         self.before = np.searchsorted(np.sort(text), np.arange(int(text.max()) + 2))
         values = text[self.order - 1]
@@ -242,28 +248,39 @@ class FMIndex:
                 yield place, self.block[low]
 
 
+def _earlier(table: pa.Table, window: int) -> pa.Table:
+    """Segments of a shard with the windows that have an earlier occurrence in it."""
+    data, cuts = textvec.utf8(table.column("words").combine_chunks())
+    sizes = np.diff(cuts) // 8
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    segment = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    offset = (np.arange(len(segment)) - begin[segment]).astype(np.int32)
+    text = np.zeros(len(segment), np.int32)
+    text[offset < sizes[segment]] = np.unique(data.view(np.uint64), return_inverse=True)[1] + 1
+    doc, seq, at = (table.column(c).to_numpy() for c in ("doc", "seq", "at"))
+    # a number for each document, in their order, and the place in it: windows of equal words start at different ones
+    by = np.lexsort((seq, doc))
+    new = np.zeros(len(by), np.int64)
+    new[1:] = (doc[by[1:]] != doc[by[:-1]]) | (seq[by[1:]] != seq[by[:-1]])
+    base = np.empty(len(by), np.int64)
+    base[by] = np.cumsum(new) << 32
+    start = (base + at)[segment] + offset
+    index = FMIndex(text, window)
+    earliest = np.minimum.reduceat(start[index.order], index.block_start)
+    found = [place[earliest[block] < start[place]] for place, block in index.windows(begin + sizes, sizes)]
+    found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    own, cut = np.unique(segment[found], return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(found)).astype(np.int32)), pa.array(offset[found]))
+    return pa.table([table.column("seg").take(pa.array(own)), lists], ["seg", "earlier"])
+
+
 def _searched(window: int):
-    """For applyInArrow: segments of a shard with the windows that have an earlier occurrence in it."""
+    """For applyInArrow: `_earlier` of a shard, after which the worker keeps no freed memory."""
 
     def run(table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
-        sizes = np.array([len(w) for w in words])
-        symbols = np.unique(np.concatenate(words), return_inverse=True)[1] + 1
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        text = np.zeros(int((sizes + 1).sum()), np.int64)
-        segment = np.repeat(np.arange(len(words)), sizes + 1)
-        offset = np.arange(len(text)) - begin[segment]
-        text[offset < sizes[segment]] = symbols
-        doc, seq, at = (table.column(c).to_numpy() for c in ("doc", "seq", "at"))
-        rank = np.empty(len(text), np.int64)
-        rank[np.lexsort((at[segment] + offset, seq[segment], doc[segment]))] = np.arange(len(text))
-        index = FMIndex(text, window)
-        earliest = np.minimum.reduceat(rank[index.order], index.block_start)
-        found = [place[earliest[block] < rank[place]] for place, block in index.windows(begin + sizes, sizes)]
-        found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        own, cut = np.unique(segment[found], return_index=True)
-        lists = np.split(offset[found].astype(np.int32), cut[1:]) if len(own) else []
-        return pa.table([table.column("seg").take(pa.array(own)), pa.array(lists, pa.list_(pa.int32()))], ["seg", "earlier"])
+        found = _earlier(table, window)
+        textvec.release()
+        return found
 
     return run
 
@@ -271,6 +288,7 @@ def _searched(window: int):
 def _texts(places: bytes):
     """For mapInArrow: documents in the map of places, with their digests."""
 
+    @textvec.lean
     def run(batches):
         for batch in _kept(batches, places):
             _, _, _, _, hashes, first = _words(batch)
@@ -283,8 +301,9 @@ def _texts(places: bytes):
 def _removed(window: int):
     """For mapInArrow: what is left of each text without the words of the windows that start at `starts`."""
 
+    @textvec.lean
     def run(batches):
-        for batch in textvec.slices(batches, "text"):
+        for batch in textvec.slices(batches, "text", textvec.SMALL_SLICE):
             data, starts, ends, _, _, first = _words(batch)
             raw, counts, digests = data.tobytes(), [], []
             for i, windows in enumerate(batch.column("starts").to_pylist()):
@@ -340,15 +359,16 @@ def deduplicated(docs: DataFrame, window: int = 20, map_bits: int = 1 << 28, sha
         counts = written(counted(frequent), "anchors")
     repeated = _map(counts, "anchor", counts.count(), map_bits)
     place = "seg decimal(38,0), doc bigint, seq bigint, at int, n int"
-    hot = counts.filter(F.col("n") > shard)
-    n_hot = hot.count()
-    crowded = _map(hot, "anchor", n_hot, map_bits)
-    with_words = texts.mapInArrow(_occurrences(window, frequent, places, repeated, crowded), place + ", anchor bigint, words binary, crowded boolean")
-    known = with_words.groupBy("seg").agg(F.min(F.struct("doc", "seq", "at")).alias("x"), *(F.first(c).alias(c) for c in ("anchor", "words", "crowded")))
-    known = written(known.select("seg", "x.*", "anchor", "words", "crowded"), "segments")
+    with_words = texts.mapInArrow(_occurrences(window, frequent, places, repeated, whole=True), place + ", anchor bigint, words binary")
+    known = with_words.groupBy("seg").agg(F.min(F.struct("doc", "seq", "at")).alias("x"), *(F.first(c).alias(c) for c in ("anchor", "words")))
+    known = written(known.select("seg", "x.*", "anchor", "words"), "segments")
     shards = max(1, -(-known.count() // shard))
-    found = known.filter("not crowded").drop("crowded").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_searched(window), "seg decimal(38,0), earlier array<int>")
-    found = found.unionByName(_earlier_windows(known.filter("crowded"), window)) if n_hot else found
+    # written, as the size of its few rows lets Spark send them to the segments
+    crowded = written(known.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > shard).select("anchor"), "crowded")
+    n_crowded = crowded.count()
+    rest = known.join(crowded, "anchor", "left_anti") if n_crowded else known
+    found = rest.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_searched(window), "seg decimal(38,0), earlier array<int>")
+    found = found.unionByName(_earlier_windows(known.join(crowded, "anchor", "left_semi"), window)) if n_crowded else found
     # written, so that the join below is of two shuffles, of which Spark can split what a very common segment fills
     found = written(known.select("seg", F.struct("doc", "seq", "at").alias("first")).join(written(found, "found"), "seg", "left"), "found")
     occurrences = texts.mapInArrow(_occurrences(window, frequent, places, repeated), place).join(found, "seg")
