@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracegrain.functions import scalars
 from tracegrain.operators import audit, sequences, values
+from tracegrain.plans import evidence
 
 TENSOR = "run long, key string, target string, name string, dtype string, shape array<bigint>, Max double, Min double, Mean double, Norm double"
 
@@ -83,3 +84,36 @@ def test_values_meet_in_one_shuffle_by_pair(spark):
     assert sorted((r.target or "", r.status) for r in found.collect()) == [("", "missing_on_rollout"), ("", "missing_on_train"), ("output.0", "ok")]
     plan = re.sub(r"#\d+", "", found._jdf.queryExecution().executedPlan().toString())
     assert len(re.findall(r"Exchange hashpartitioning\(run, train_key, rollout_key", plan.split("Initial Plan")[-1])) == 1
+
+
+def test_buckets_are_counted_in_one_pass(spark, both, monkeypatch):
+    pairs, train, rollout = both
+    pairs = pairs.unionByName(pairs)
+    found = values.compared(pairs, train, rollout)
+    want = {(r.kind, r.bucket, r.n) for r in values.counted(found, values.module_statuses(pairs, found)).collect()}
+    counts = values.bucket_counts(pairs, found)
+    assert {(r.kind, r.bucket, r.n) for r in counts.collect()} == want and len(want) == 7
+    # one branch reads the tensors
+    tensors = train.withColumn("trained", F.lit(True)).unionByName(rollout.withColumn("trained", F.lit(False)))
+    for n in (None, 9):
+        counts = values.bucket_counts(pairs, values.met(pairs, tensors, n), n)
+        assert {(r.kind, r.bucket, r.n) for r in counts.collect()} == want
+        plan = re.sub(r"#\d+L?", "", counts._jdf.queryExecution().executedPlan().toString()).split("Initial Plan")[-1]
+        assert len(re.findall(r"Exchange hashpartitioning\(run, train_key, rollout_key, \d+\), REPARTITION", plan)) == (2 if n else 1)
+        assert n is None or "hashpartitioning(run, trained, key, 9)" in plan
+
+
+def test_tensors_are_read_once_and_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    lines = "cast(id % 50 as bigint) l_orderkey, cast(id % 7 + 1 as int) l_linenumber, id l_partkey, id % 9 l_suppkey, id * 1.5D l_extendedprice, cast(id % 40 + 1 as double) l_quantity, 0.05D l_discount, 0.02D l_tax, 'R' l_returnflag"
+    spark.range(700).selectExpr(*lines.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(60).selectExpr("id o_orderkey", "id * 3 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    queries = evidence.value_buckets, evidence.module_values, evidence.value_compare
+    few = [sorted(map(str, q(spark, str(tmp_path)).collect())) for q in queries]
+    monkeypatch.setattr(values, "ROWS", 100, raising=False)
+    for q, rows in zip(queries, few, strict=True):
+        found = q(spark, str(tmp_path))
+        assert sorted(map(str, found.collect())) == rows
+        plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString()).split("Initial Plan")[-1]
+        assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == 1
+        # a task's rows do not grow with the table
+        assert "hashpartitioning(l_orderkey, 7)" in plan and "hashpartitioning(run, train_key, rollout_key, 7)" in plan

@@ -39,46 +39,49 @@ md AS (SELECT *, CASE WHEN bucket = 'normal_aligned' THEN 4 WHEN bucket LIKE '%a
 
 
 def sides(spark, d):
-    """Pairs of modules, and the tensors of both runs."""
+    """Pairs of modules, the tensors of both runs, made from one reading of the lines, and into how many parts they are dealt."""
     o = F.col("o_orderkey")
     fused = o % 6 == 0
     train_key = F.concat(F.lit("Module.layers."), o.cast("string"), F.when(fused, ".linear_q_down_proj").otherwise(".fc"))
     rollout_key = F.concat(F.lit("model."), o.cast("string"), F.when(fused, ".fused_qkv_a_proj").otherwise(".fc"))
     pairs = table(spark, d, "orders").select(o, (F.col("o_custkey") % 10).alias("run"), train_key.alias("train_key"), rollout_key.alias("rollout_key"))
-    n = F.col("l_linenumber")
-    target = F.when(n == 1, values.OUTPUT).when(n == 2, values.PARAMETER).when(n == 3, values.ARGUMENT).otherwise(values.NAMED)
+    k = F.col("l_linenumber")
+    target = F.when(k == 1, values.OUTPUT).when(k == 2, values.PARAMETER).when(k == 3, values.ARGUMENT).otherwise(values.NAMED)
     own = {"l_partkey": "p", "l_suppkey": "s", "l_extendedprice": "price", "l_quantity": "q", "l_discount": "d", "l_tax": "t", "l_returnflag": "flag"}
+    read = table(spark, d, "lineitem")
+    n = values.parts(spark, read.count())
     # dealt by order, lines are grouped and meet their order where they are
-    lines = table(spark, d, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey"), n).agg(*(F.max(c).alias(name) for c, name in own.items()))
-    x = lines.join(pairs, "o_orderkey").withColumn("target", target).withColumn("name", F.when(n > 3, F.concat(F.lit("k"), n.cast("string"))).otherwise(""))
+    lines = read.repartition(*([n] if n else []), "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey"), k).agg(*(F.max(c).alias(name) for c, name in own.items()))
+    x = lines.join(values.dealt(pairs, n, "o_orderkey"), "o_orderkey")
     p, q, flag, rows = F.col("p"), F.col("q").cast("bigint"), F.col("flag"), F.col("p") % 3 + 1
-    dtype = F.when(p % 5 == 0, "bf16").otherwise("fp32")
-    train = x.filter(p % 17 != 0).select("run", F.col("train_key").alias("key"), "target", "name", dtype.alias("dtype"), F.array(q, rows).alias("shape"), F.col("price").alias("Max"), F.col("q").alias("Min"), F.col("d").alias("Mean"), F.col("t").alias("Norm"))
     shape = F.when(F.col("s") % 4 == 0, F.array(q, rows)).when(F.col("s") % 4 == 1, F.array(q, F.lit(1).cast("bigint"), rows)).when(F.col("s") % 4 == 2, F.array(rows, q)).otherwise(F.array(q + 1, rows))
     factor = F.when(flag == "R", 1.001).when(flag == "A", 1.1).otherwise(1.0)
-    rollout = x.filter(p % 13 != 0).select(
-        "run", F.col("rollout_key").alias("key"), "target", "name", F.lit("fp32").alias("dtype"), shape.alias("shape"), (F.col("price") * factor).alias("Max"),
-        F.when(p % 7 != 0, F.col("q")).alias("Min"), F.when(p % 11 == 0, F.col("d") + 0.02).otherwise(F.col("d")).alias("Mean"), F.col("t").alias("Norm"),
+    tensor = lambda **columns: F.struct(*(c.alias(name) for name, c in columns.items()))
+    train = tensor(trained=F.lit(True), key=F.col("train_key"), dtype=F.when(p % 5 == 0, "bf16").otherwise("fp32"), shape=F.array(q, rows), Max=F.col("price"), Min=F.col("q"), Mean=F.col("d"), Norm=F.col("t"))
+    rollout = tensor(
+        trained=F.lit(False), key=F.col("rollout_key"), dtype=F.lit("fp32"), shape=shape, Max=F.col("price") * factor,
+        Min=F.when(p % 7 != 0, F.col("q")), Mean=F.when(p % 11 == 0, F.col("d") + 0.02).otherwise(F.col("d")), Norm=F.col("t"),
     )
-    return pairs.drop("o_orderkey"), train, rollout
+    both = F.array_compact(F.array(F.when(p % 17 != 0, train), F.when(p % 13 != 0, rollout)))
+    tensors = x.select("run", target.alias("target"), F.when(k > 3, F.concat(F.lit("k"), k.cast("string"))).otherwise("").alias("name"), F.inline(both))
+    return pairs.drop("o_orderkey"), tensors, n
 
 
 @query(f"WITH {TENSORS} SELECT * FROM va")
 def value_compare(spark, d):
-    return values.compared(*sides(spark, d))
+    return values.met(*sides(spark, d))
 
 
 @query(f"WITH {STATUSES} SELECT * FROM md")
 def module_values(spark, d):
-    pairs, train, rollout = sides(spark, d)
-    return values.module_statuses(pairs, values.compared(pairs, train, rollout))
+    pairs, tensors, n = sides(spark, d)
+    return values.module_statuses(pairs, values.met(pairs, tensors, n), n)
 
 
 @query(f"WITH {STATUSES} SELECT 'value' AS kind, bucket, count(*) AS n FROM va GROUP BY ALL UNION ALL SELECT 'module', bucket, count(*) FROM md GROUP BY ALL")
 def value_buckets(spark, d):
-    pairs, train, rollout = sides(spark, d)
-    found = values.compared(pairs, train, rollout)
-    return values.counted(found, values.module_statuses(pairs, found))
+    pairs, tensors, n = sides(spark, d)
+    return values.bucket_counts(pairs, values.met(pairs, tensors, n), n)
 
 
 # ---- bindings ----
