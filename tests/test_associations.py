@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracegrain.functions import formulas, windows
 from tracegrain.operators import affinity, flows, memory, names, profiler, scans, sequences, states
 from tracegrain.plans import macros
+from tracegrain.plans.associations import text_places
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -296,3 +297,58 @@ def test_few_windows_of_much_the_same_characters_are_compared(monkeypatch):
     found = windows.place(content, search, 0.6)
     assert found[0] == "fuzzy" and found[3:] == (ratios.index(best) + 1, best) == (51, best)
     assert len(compared) < 8  # the counts of characters alone let dozens through
+
+
+def _lines(r, n, letters="etaoinshrdlu etaoinshr"):
+    """Lines of common letters, some of them with a rare one."""
+    return ["".join(r.choice("XQZ7") if r.random() < 0.04 else r.choice(letters) for _ in range(r.randrange(20, 60))) for _ in range(n)]
+
+
+def test_bounds_are_never_below_the_ratio():
+    r = random.Random(11)
+    for case in range(60):
+        lines, size = _lines(r, r.randrange(9, 30), "ab \n"[: 2 + case % 3] if case % 4 == 0 else "etaoinshrdlu etaoinshr"), 0
+        lines = "\n".join(lines).split("\n")
+        size = r.randrange(4, len(lines))
+        at = r.randrange(len(lines) - size + 1)
+        search = "\n".join(lines[at : at + size])
+        search = "".join(r.choice("wXe ") if r.random() < (0.01, 0.1, 0.3)[case % 3] else c for c in search if r.random() > 0.01)
+        size = search.count("\n") + 1
+        if size > len(lines):
+            continue
+        ratios = [difflib.SequenceMatcher(None, search, "\n".join(lines[i : i + size])).ratio() for i in range(len(lines) - size + 1)]
+        for least in (0.0, 0.6):
+            bounds = windows._bounds(lines, size, search, least)
+            assert all(b >= x for b, x in zip(bounds, ratios, strict=True) if x >= least)
+        best = max(ratios)
+        found = windows.place("\n".join(lines), search, 0.6)
+        if found is None or found[0] == "fuzzy":
+            assert (found[3:] if found else None) == ((ratios.index(best) + 1, best) if best >= 0.6 else None)
+
+
+def test_windows_that_share_too_short_runs_are_left_out(monkeypatch):
+    lines = _lines(random.Random(12), 300)
+    search = "\n".join(lines[100:200]).translate(str.maketrans("ae", "ea"))
+    looked, alike = [], windows._alike
+    monkeypatch.setattr(windows, "_alike", lambda *x: looked.append(x) or alike(*x))
+    assert windows.place("\n".join(lines), search, 0.85) is None and not looked  # the characters in common let every window through
+
+
+def test_the_whole_middle_third_is_placed(spark, tmp_path):
+    r = random.Random(13)
+    docs = [(i, "\n".join(_lines(r, n))) for i, n in enumerate([1, 2, 3, 40, 61, 75, 30, 90, 4])]
+    docs += [(9, None), (10, ""), (11, "\n".join(x.replace("a", "i").replace("e", "o") + "a" * (k % 9 == 0) for k, x in enumerate(_lines(r, 60))))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in text_places(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, text in docs if text is not None}
+    for i, text in docs[:9]:
+        lines = text.split("\n")
+        part = "\n".join(lines[len(lines) // 3 : len(lines) // 3 + -(-len(lines) // 3)])
+        if i % 3 < 2:
+            at = text.find(part)
+            assert (got[i].start, got[i].end, got[i].ratio) == (at, at + len(part), 1.0) and got[i].line == text.count("\n", 0, at) + 1
+            assert got[i].kind == ("normalised" if i % 3 else "exact")
+        else:
+            best = _window(text, part.translate(str.maketrans("ae", "ea")), 0.85)
+            assert (got[i].line, got[i].ratio) == (best or (None, None))
+    assert got[11].kind == "fuzzy" and got[11].line == 21 and docs[11][1][got[11].start : got[11].end].count("\n") == 19
